@@ -15,7 +15,7 @@ from holdfast.functions.scalars import MISSING, fill_category, hash_key, long_ce
 from holdfast.operators.ordered import running_sums
 from holdfast.operators.quantiles import exact_quantiles
 from holdfast.schema import ID, TARGET
-from holdfast.session import broadcast_if_small
+from holdfast.session import broadcast_if_small, durable, rows_if_small
 
 INFREQUENT = "__INFREQUENT__"
 LABEL_MISSING = "nan"
@@ -35,7 +35,7 @@ def impute(df: DataFrame, values: Mapping[str, float | str]) -> DataFrame:
 
 
 def columns_with_nulls(train: DataFrame, columns: Sequence[str]) -> list[str]:
-    row = train.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
+    row = train.agg(*[F.expr(f"count_if({c} is null) as {c}") for c in columns]).first()
     return [c for c in columns if row[c] > 0]
 
 
@@ -50,8 +50,8 @@ def add_indicators(df: DataFrame, columns: Sequence[str], group: str) -> DataFra
 
 def fit_scales(train: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
     """Mean and population deviation; a constant column is scaled by 1."""
-    row = train.agg(*[F.avg(c).alias(f"m_{c}") for c in columns],
-                    *[F.stddev_pop(c).alias(f"s_{c}") for c in columns]).first()
+    row = train.agg(*[F.expr(f"avg({c}) as m_{c}") for c in columns],
+                    *[F.expr(f"stddev_pop({c}) as s_{c}") for c in columns]).first()
     return {c: (row[f"m_{c}"], row[f"s_{c}"] or 1.0) for c in columns if row[f"m_{c}"] is not None}
 
 
@@ -88,14 +88,28 @@ def fit_codes(train: DataFrame, columns: Sequence[str]) -> DataFrame:
     return ranked.select("feature", "value", (F.col("place") - 1).cast("int").alias("code"))
 
 
+def _by_feature(table: DataFrame, columns: Sequence[str], value: str) -> dict[str, DataFrame]:
+    """Split a (feature, value, ...) table into one lookup per column, keyed by ``_v``.
+
+    The table is read once; its lookups carry a broadcast hint only if it is proven small.
+    """
+    table = table.select("feature", F.col("value").alias("_v"), F.col(value).alias("_new"))
+    schema = table.drop("feature").schema
+    rows = rows_if_small(table)
+    if rows is None:
+        written = durable(table)
+        return {c: written.filter(F.col("feature") == c).drop("feature") for c in columns}
+    spark = table.sparkSession
+    return {c: F.broadcast(spark.createDataFrame([r[1:] for r in rows if r.feature == c], schema)) for c in columns}
+
+
 def apply_codes(df: DataFrame, codes: DataFrame, columns: Sequence[str], unknown: int = -1,
                 suffix: str = "_code") -> DataFrame:
     """Add ``<column>_code``; categories unseen in training, and NULL, get ``unknown``."""
-    for c in columns:
-        lookup = broadcast_if_small(
-            codes.filter(F.col("feature") == c).select(F.col("value").alias("_v"), F.col("code").alias(f"{c}{suffix}")))
-        df = df.join(lookup, F.col(c) == F.col("_v"), "left").drop("_v")
-    return df.withColumns({f"{c}{suffix}": F.coalesce(F.col(f"{c}{suffix}"), F.lit(unknown)) for c in columns})
+    for c, lookup in _by_feature(codes, columns, "code").items():
+        code = F.coalesce(F.col("_new"), F.lit(unknown))
+        df = df.join(lookup, F.col(c) == F.col("_v"), "left").withColumn(f"{c}{suffix}", code).drop("_v", "_new")
+    return df
 
 
 def fit_onehot_slots(train: DataFrame, columns: Sequence[str], min_frequency: int = 10) -> DataFrame:
@@ -104,6 +118,13 @@ def fit_onehot_slots(train: DataFrame, columns: Sequence[str], min_frequency: in
         "feature", "value", F.when(F.col("n") < min_frequency, INFREQUENT).otherwise(F.col("value")).alias("slot"))
 
 
+def apply_slots(df: DataFrame, slots: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Replace each category by its slot; a category unseen in training becomes NULL."""
+    for c, lookup in _by_feature(slots, columns, "slot").items():
+        df = df.join(lookup, F.col(c) == F.col("_v"), "left").withColumn(c, F.col("_new")).drop("_v", "_new")
+    return df
+
+
 def onehot_counts(df: DataFrame, slots: DataFrame, columns: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """Rows that set each one-hot slot. An unseen category sets none of its column's slots."""
     counts = long_cells(df, keep, columns).groupBy(*keep, "feature", "value").agg(F.count(F.lit(1)).alias("n"))
@@ -134,6 +155,7 @@ def ordered_target_encode(df: DataFrame, columns: Sequence[str], part: str = "pa
         F.col(target).cast("long").alias("_y"), F.lit(1).cast("long").alias("_one"))
     running = running_sums(seen, [F.col("_h"), F.col(key)], {"_sy": "_y", "_sn": "_one"},
                            group=["feature", "value"])
+
     def smoothed(positives, rows):
         return (positives + F.lit(smoothing * prior)) / (rows + F.lit(smoothing))
 
@@ -145,3 +167,11 @@ def ordered_target_encode(df: DataFrame, columns: Sequence[str], part: str = "pa
         key, part, "feature", "value",
         smoothed(F.coalesce("_sy", F.lit(0)), F.coalesce("_sn", F.lit(0))).alias("encoded"))
     return own.unionByName(others)
+
+
+def encoded_columns(df: DataFrame, encoded: DataFrame, columns: Sequence[str], key: str = ID,
+                    suffix: str = "_te") -> DataFrame:
+    """Join the long encoding back as one ``<column>_te`` per category column."""
+    wide = encoded.groupBy(key).agg(
+        *[F.max(F.when(F.col("feature") == c, F.col("encoded"))).alias(f"{c}{suffix}") for c in columns])
+    return df.join(wide, key)

@@ -26,7 +26,7 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequen
     columns = list(columns)
     if not columns:
         return {}
-    counts = df.agg(*[F.count(F.col(c)).alias(c) for c in columns]).first().asDict()
+    counts = df.agg(*[F.expr(f"count(`{c}`) as `{c}`") for c in columns]).first().asDict()
     filled = [c for c in columns if counts[c] > 0]
     targets = {}  # (column, probability index) -> (low rank, high rank, weight), ranks from 0
     for c in filled:
@@ -57,38 +57,41 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequen
 
 def _select_ranks(df: DataFrame, targets: dict, brackets: dict, counts: dict) -> dict:
     """Value at each wanted rank: ``{((column, i), rank): value}`` for the ranks inside a bracket."""
-    keys = list(targets)
-    spans: dict[tuple, list[int]] = {}  # distinct (column, bracket) -> the targets it serves
-    for n, key in enumerate(keys):
-        spans.setdefault((key[0], *brackets[key]), []).append(n)
+    spans: dict[tuple, list] = {}  # distinct (column, bracket) -> the targets it serves
+    for key in targets:
+        spans.setdefault((key[0], *brackets[key]), []).append(key)
     span_list = list(spans)
-    below = df.agg(*[F.count_if(F.col(c) < F.lit(lo)).alias(f"b{s}")
-                     for s, (c, lo, _) in enumerate(span_list)]).first()
-    cells = df.select(F.explode(F.array(*[
-        F.when((F.col(c) >= F.lit(lo)) & (F.col(c) <= F.lit(hi)),
-               F.struct(F.lit(s).alias("span"), F.col(c).cast("double").alias("value")))
-        for s, (c, lo, hi) in enumerate(span_list)
-    ])).alias("cell")).filter("cell is not null").select("cell.*")
-    values = cells.groupBy("span", "value").agg(F.count(F.lit(1)).alias("n"))
-    if any(counts[c] > _SMALL for c, _ in keys):
+    lower = {s: f"`{c}` < {lo!r}D" for s, (c, lo, _) in enumerate(span_list) if lo > -math.inf}
+    below = dict.fromkeys(range(len(span_list)), 0)
+    if lower:
+        row = df.agg(*[F.expr(f"count_if({test}) as b{s}") for s, test in lower.items()]).first()
+        below.update({s: row[f"b{s}"] for s in lower})
+
+    def cell(s: int, column: str, lo: float, hi: float) -> str:
+        tests = [f"`{column}` >= {lo!r}D"] * (lo > -math.inf) + [f"`{column}` <= {hi!r}D"] * (hi < math.inf)
+        value = f"cast(`{column}` as double)"
+        if tests:
+            value = f"case when {' and '.join(tests)} then {value} end"
+        return f"named_struct('span', {s}, 'value', {value})"
+
+    cells = ", ".join(cell(s, *span) for s, span in enumerate(span_list))
+    values = (
+        df.selectExpr(f"inline(array({cells}))").filter("value is not null")
+        .groupBy("span", "value").agg(F.expr("count(1) as n"))
+    )
+    if any(counts[c] > _SMALL for c, _, _ in span_list):
         ranked = running_sums(values, [F.col("value")], {"through": "n"}, group=["span"])
     else:  # at most _SMALL values per span
         upto = Window.partitionBy("span").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
         ranked = values.withColumn("through", F.sum("n").over(upto))
-    offset = F.element_at(F.array(*[F.lit(below[f"b{s}"]) for s in range(len(span_list))]), F.col("span") + 1)
-    ranked = ranked.withColumn("through", F.col("through") + offset)
-    wanted = []
+    ranks = []  # per span, the wanted ranks counted from the start of its bracket
     for s, span in enumerate(span_list):
-        for n in spans[span]:
-            low, high, _ = targets[keys[n]]
-            wanted += [(s, n, rank) for rank in {low, high}]
-    hits = [(F.col("span") == s) & (F.col("through") > rank) & (F.col("through") - F.col("n") <= rank)
-            for s, _, rank in wanted]
-    picked = ranked.select("value", F.array_compact(F.array(*[
-        F.when(hit, F.lit(w)) for w, hit in enumerate(hits)])).alias("served")).filter("size(served) > 0")
+        wanted = sorted({rank - below[s] for key in spans[span] for rank in targets[key][:2]})
+        ranks.append(f"array({', '.join(f'{r}L' for r in wanted)})")
+    served = f"filter(element_at(array({', '.join(ranks)}), span + 1), r -> through > r and through - n <= r)"
     found = {}
-    for row in picked.collect():  # at most one row per wanted rank
-        for w in row.served:
-            _, n, rank = wanted[w]
-            found[keys[n], rank] = row.value
+    for row in ranked.selectExpr("span", "value", f"{served} as served").filter("size(served) > 0").collect():
+        for key in spans[span_list[row.span]]:  # at most one row per wanted rank
+            for rank in row.served:
+                found[key, rank + below[row.span]] = row.value
     return found

@@ -2,8 +2,8 @@
 
 MLlib's imputer takes a lower median, its scaler the sample deviation, and its indexer gives
 unknown categories the next free code; these stages keep the exact median, the population
-deviation, missing indicators fitted on training data, and grouped rare categories. What they
-learn is a few numbers per column, stored as parameters, so pipelines save and load as usual.
+deviation, missing indicators fitted on training data, and grouped rare categories. Pipelines
+built from them save and load as usual.
 """
 
 from __future__ import annotations
@@ -11,9 +11,17 @@ from __future__ import annotations
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Transformer
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.ml.util import (
+    DefaultParamsReadable,
+    DefaultParamsReader,
+    DefaultParamsWritable,
+    DefaultParamsWriter,
+    MLReadable,
+    MLReader,
+    MLWritable,
+    MLWriter,
+)
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from holdfast.functions.scalars import MISSING
 from holdfast.operators import prep
@@ -111,10 +119,10 @@ class CategoryFill(Transformer, _Columns, DefaultParamsReadable, DefaultParamsWr
 
 
 class RareCategoryGrouper(Estimator, _Columns, DefaultParamsReadable, DefaultParamsWritable):
-    """Fill NULL by the training mode, then give categories seen fewer than ``min_frequency`` times
-    one shared name.
+    """Fill NULL by the training mode, then give categories seen fewer than ``minFrequency`` times
+    one shared name. Categories unseen in training become NULL.
 
-    The kept names become one-hot slots, so they are no more than the coefficients of the model.
+    The category table stays a DataFrame: a column may have more categories than a driver holds.
     """
 
     minFrequency = Param(Params._dummy(), "minFrequency", "rows a category needs", TypeConverters.toInt)
@@ -126,49 +134,52 @@ class RareCategoryGrouper(Estimator, _Columns, DefaultParamsReadable, DefaultPar
         self._set(**self._input_kwargs)
 
     def _fit(self, dataset: DataFrame) -> RareCategoryGrouperModel:
-        columns, least = self.getColumns(), self.getOrDefault(self.minFrequency)
-        counts = durable(prep.category_counts(dataset, columns))
-        modes = prep.fit_modes(dataset, columns)
-        gained = dataset.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
-        kept = {c: [] for c in columns}
-        rare = {c: [] for c in columns}
-        for row in counts.orderBy("feature", "value").collect():
-            n = row.n + (gained[row.feature] if row.value == modes[row.feature] else 0)
-            (kept if n >= least else rare)[row.feature].append(row.value)
-        return RareCategoryGrouperModel(
-            columns=columns, modes=[modes.get(c, MISSING) for c in columns],
-            kept=[f"{c}\t{v}" for c in columns for v in kept[c]],
-            rare=[f"{c}\t{v}" for c in columns for v in rare[c]])
-
-
-class RareCategoryGrouperModel(Model, _Columns, DefaultParamsReadable, DefaultParamsWritable):
-    modes = Param(Params._dummy(), "modes", "fitted modes", TypeConverters.toListString)
-    kept = Param(Params._dummy(), "kept", "column and category pairs kept apart", TypeConverters.toListString)
-    rare = Param(Params._dummy(), "rare", "column and category pairs grouped", TypeConverters.toListString)
+        columns = self.getColumns()
+        train = durable(dataset.select(*columns))
+        modes = prep.fit_modes(train, columns)
+        slots = prep.fit_onehot_slots(prep.impute(train, modes), columns, self.getOrDefault(self.minFrequency))
+        model = RareCategoryGrouperModel(columns=columns, modes=[modes.get(c, MISSING) for c in columns])
+        model.slots = durable(slots)
+        return model
 
-    @keyword_only
-    def __init__(self, *, columns=None, modes=None, kept=None, rare=None):
+
+class _SlotsWriter(MLWriter):
+    def __init__(self, instance):
         super().__init__()
-        self._set(**self._input_kwargs)
+        self.instance = instance
 
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        filled = prep.impute(dataset, dict(zip(self.getColumns(), self.getOrDefault(self.modes))))
-        rare: dict[str, list[str]] = {c: [] for c in self.getColumns()}
-        for pair in self.getOrDefault(self.rare):
-            column, value = pair.split("\t", 1)
-            rare[column].append(value)
-        return filled.withColumns({
-            c: F.when(F.col(c).isin(values), prep.INFREQUENT).otherwise(F.col(c))
-            for c, values in rare.items() if values})
+    def saveImpl(self, path: str) -> None:
+        DefaultParamsWriter.saveMetadata(self.instance, path, self.sparkSession)
+        self.instance.slots.write.parquet(f"{path}/slots")
 
 
-class ColumnDrop(Transformer, _Columns, DefaultParamsReadable, DefaultParamsWritable):
-    """Drop helper columns."""
+class _SlotsReader(MLReader):
+    def load(self, path: str):
+        metadata = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        model = RareCategoryGrouperModel()
+        model._resetUid(metadata["uid"])
+        DefaultParamsReader.getAndSetParams(model, metadata)
+        model.slots = self.sparkSession.read.parquet(f"{path}/slots")
+        return model
+
+
+class RareCategoryGrouperModel(Model, _Columns, MLReadable, MLWritable):
+    modes = Param(Params._dummy(), "modes", "fitted modes", TypeConverters.toListString)
 
     @keyword_only
-    def __init__(self, *, columns=None):
+    def __init__(self, *, columns=None, modes=None):
         super().__init__()
+        self.slots: DataFrame | None = None
         self._set(**self._input_kwargs)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        return dataset.drop(*self.getColumns())
+        columns = self.getColumns()
+        filled = prep.impute(dataset, dict(zip(columns, self.getOrDefault(self.modes))))
+        return prep.apply_slots(filled, self.slots, columns)
+
+    def write(self):
+        return _SlotsWriter(self)
+
+    @classmethod
+    def read(cls):
+        return _SlotsReader()

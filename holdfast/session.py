@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL_SCRATCH: dict[str, str] = {}
@@ -60,13 +60,24 @@ def durable(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, limit: int = 100_000) -> DataFrame:
-    """Write a table expected to be small and hint a broadcast only if its row count proves it.
+SMALL_ROWS = 10_000
 
-    Beyond ``limit`` rows the plain table is returned and the planner joins it by shuffling.
+
+def rows_if_small(df: DataFrame, limit: int = SMALL_ROWS) -> list[Row] | None:
+    """The rows of a table proven to have at most ``limit`` of them, else ``None``."""
+    rows = df.limit(limit + 1).collect()
+    return rows if len(rows) <= limit else None
+
+
+def broadcast_if_small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
+    """Freeze a table expected to be small, with a broadcast hint only if its row count proves it.
+
+    Beyond ``limit`` rows the table is written out and the planner joins it by shuffling.
     """
-    written = durable(df)
-    return F.broadcast(written) if written.count() <= limit else written
+    rows = rows_if_small(df, limit)
+    if rows is None:
+        return durable(df)
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
 def release_scratch(spark: SparkSession) -> None:
