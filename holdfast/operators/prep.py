@@ -71,10 +71,9 @@ def category_counts(train: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def fit_modes(train: DataFrame, columns: Sequence[str]) -> dict[str, str]:
     """Most frequent category per column, the lowest one on ties."""
-    counts = category_counts(train, columns)
-    most = counts.groupBy("feature").agg(F.max("n").alias("n"))
-    rows = counts.join(most, ["feature", "n"]).groupBy("feature").agg(F.min("value").alias("value"))
-    return {r.feature: r.value for r in rows.collect()}  # one row per column
+    best = category_counts(train, columns).groupBy("feature").agg(
+        F.min(F.struct(-F.col("n"), F.col("value"))).alias("best"))
+    return {r.feature: r.best.value for r in best.collect()}  # one row per column
 
 
 def fill_categories(df: DataFrame, columns: Sequence[str], marker: str = MISSING) -> DataFrame:
@@ -169,6 +168,26 @@ def ordered_target_encode(df: DataFrame, columns: Sequence[str], part: str = "pa
     return own.unionByName(others)
 
 
+def fit_target_lookup(train: DataFrame, columns: Sequence[str], target: str = TARGET,
+                      smoothing: float = 1.0) -> tuple[DataFrame, float]:
+    """(feature, value, encoded) over the whole training part, and the prior for unseen categories."""
+    prior = train.agg(F.avg(target)).first()[0]
+    totals = long_cells(fill_categories(train.select(target, *columns), columns), [target], columns).groupBy(
+        "feature", "value").agg(F.sum(target).alias("s"), F.count(F.lit(1)).alias("n"))
+    encoded = (F.col("s") + F.lit(smoothing * prior)) / (F.col("n") + F.lit(smoothing))
+    return totals.select("feature", "value", encoded.alias("encoded")), prior
+
+
+def apply_target_lookup(df: DataFrame, lookup: DataFrame, prior: float, columns: Sequence[str],
+                        suffix: str = "_te") -> DataFrame:
+    """Add ``<column>_te`` for rows outside training, such as new customers without a label."""
+    for c, table in _by_feature(lookup, columns, "encoded").items():
+        encoded = F.coalesce(F.col("_new"), F.lit(prior))
+        df = (df.join(table, fill_category(F.col(c)) == F.col("_v"), "left")
+              .withColumn(f"{c}{suffix}", encoded).drop("_v", "_new"))
+    return df
+
+
 def encoded_columns(df: DataFrame, encoded: DataFrame, columns: Sequence[str], key: str = ID,
                     suffix: str = "_te") -> DataFrame:
     """Join the long encoding back as one ``<column>_te`` per category column."""

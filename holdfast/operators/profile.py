@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from holdfast.functions.scalars import long_cells, numeric_columns, text_columns
 from holdfast.operators.quantiles import exact_quantiles
 from holdfast.schema import TARGET
+from holdfast.session import broadcast_if_small
 
 QUARTILE_FEATURES = ("eqpdays", "change_mou", "mou_Mean")
 QUARTILES = ("Q1", "Q2", "Q3", "Q4")
@@ -85,15 +86,18 @@ def quartile_churn(df: DataFrame, features: Sequence[str] = QUARTILE_FEATURES,
 
 def class_histogram(df: DataFrame, feature: str = "eqpdays", bins: int = 30,
                     target: str = TARGET) -> DataFrame:
-    """Equal-width histogram per class, each over its own range; empty bins are kept."""
+    """Equal-width histogram per class, each over its own range; empty bins are kept.
+
+    ``df`` is read twice, so pass a written table.
+    """
     rows = df.select(target, F.col(feature).alias("x")).dropna()
     spans = rows.groupBy(target).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     flat = F.col("lo") == F.col("hi")
-    spans = spans.select(
+    spans = broadcast_if_small(spans.select(
         target,
         F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
         F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"),
-    )
+    ))
     slot = F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.lit(float(bins))) + 1
     counts = (
         rows.join(spans, target)

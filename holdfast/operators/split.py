@@ -88,8 +88,14 @@ def hash_split(df: DataFrame, parts: Sequence[tuple[str, int]] = PARTS, key: str
 
 
 def hash_sample(df: DataFrame, rows: int, key: str = ID, seed: int | str = SEED) -> DataFrame:
-    """Exactly ``rows`` rows (or all, if fewer), chosen by key hash with a distributed top-k."""
-    return df.orderBy(hash_key(F.col(key), seed), F.col(key)).limit(rows)
+    """Exactly ``rows`` rows (or all, if fewer): those whose key hash is not above the last one's.
+
+    Finding that hash needs no sort, and no task receives more than a hash bucket.
+    """
+    whole = df.withColumn("_all", F.lit(0))
+    table = _cut_keys(whole, [("sample", F.least(F.col("n"), F.lit(rows)))], key, "_all", seed)
+    marked = _assign(whole, table, ["sample"], "rest", key, "_all", seed, "_part")
+    return marked.filter("_part = 'sample'").drop("_all", "_part")
 
 
 def hash_holdout(df: DataFrame, stratum: str, percent: int = 10, key: str = ID,
@@ -107,7 +113,7 @@ def pair_sample(df: DataFrame, rows: int = 5000, key: str = ID, target: str = TA
                 seed: int | str = SEED) -> DataFrame:
     """Sample for a pairwise view: complete rows, skewed columns on a log scale, class as text.
 
-    ``log1p`` of a value not above -1 is NULL.
+    ``log1p`` of a value not above -1 is NULL. Pass a written table.
     """
     skewed = ("rev_Mean", "mou_Mean", "totmrc_Mean", "eqpdays")
     complete = df.select(key, "months", *skewed, target).dropna()

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from holdfast.operators import blend, importance, models, prep, split
 from holdfast.operators.features import add_features
-from holdfast.plans import training
+from holdfast.plans import jobs, training
 from holdfast.plans.queries import rounded, with_parts
+from holdfast.plans.scoring import ChurnScorer
 from holdfast.schema import ID, TARGET
 from holdfast.session import durable, new_scratch_path
 from holdfast.sources.subscriber import subscriber_table
@@ -74,7 +75,7 @@ def model_permutation_importance(spark, folder):
     df = customers(spark, folder)
     model = models.fit_boosting(training.part(df, "train"), SMALL["gbt_base"])
     numeric, text = models.feature_groups(df)
-    valid = training.part(df, "validation").drop("part")
+    valid = durable(training.part(df, "validation").drop("part"))
     return rounded(importance.permutation_importance(valid, model.score, [*numeric, *text]))
 
 
@@ -88,21 +89,13 @@ def model_selection(spark, folder):
 
 
 def ensemble_scored_customers(spark, folder):
-    """Fit every member, save and reload the models, and score the test customers with the blend."""
+    """Fit and save the ensemble, add the engineered member, reload, and score the test customers."""
     df = customers(spark, folder)
-    encoded = training.encode_categories(df)
-    fitted = {
-        "hist": models.fit_boosting(training.part(df, "train"), SMALL["gbt_base"]),
-        "engineered": training.fit_engineered(df, SMALL),
-        **{n: training.fit_categorical(encoded, n, SMALL) for n in ("cat_d6", "cat_d7", "cat_d8")},
-    }
     path = new_scratch_path(spark)
-    training.save_all(fitted, path)
-    loaded = {name: training.load_scorer(spark, path, name) for name in fitted}
-    members = training.score_members(
-        training.part(df, "test"), training.part(encoded, "test"), loaded["hist"],
-        {n: loaded[n] for n in ("cat_d6", "cat_d7", "cat_d8")}, loaded["engineered"])
-    final = training.final_blend(members)
+    jobs.run_ensemble(df, f"{path}/ensemble", SMALL)
+    jobs.run_final(df, f"{path}/ensemble", f"{path}/final", SMALL)
+    scorer = ChurnScorer.load(spark, f"{path}/final/model")
+    final = scorer.predict_proba(training.part(df, "test"), keep=(TARGET,))
     return rounded(final.select(ID, TARGET, "p_hist", "p_engineered", "p_ensemble", "p",
                                 blend.predict(F.col("p")).alias("predicted")))
 

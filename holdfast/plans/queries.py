@@ -109,11 +109,16 @@ def qcut_churn_rate(spark, folder):
 
 
 def class_histogram(spark, folder):
-    return rounded(profile.class_histogram(subscriber_table(spark, folder)))
+    return rounded(profile.class_histogram(durable(subscriber_table(spark, folder).select(TARGET, "eqpdays"))))
+
+
+def pair_sample(spark, folder) -> DataFrame:
+    return split.pair_sample(durable(subscriber_table(spark, folder).select(
+        ID, TARGET, "months", "rev_Mean", "mou_Mean", "totmrc_Mean", "eqpdays")))
 
 
 def class_density(spark, folder):
-    sample = durable(split.pair_sample(subscriber_table(spark, folder)))
+    sample = durable(pair_sample(spark, folder))
     return rounded(profile.class_density(sample, PAIR_COLUMNS, "churn_label"))
 
 
@@ -319,7 +324,7 @@ def importance_blend(spark, folder):
 
 def permutation_importance(spark, folder):
     inputs = [t.feature for t in scorecard.HIST]
-    valid = split_columns(spark, folder, tuple(inputs)).filter("part = 'validation'").drop("part")
+    valid = durable(split_columns(spark, folder, tuple(inputs)).filter("part = 'validation'").drop("part"))
     score = f"{scorecard.score_sql(scorecard.HIST)} as p"
     return rounded(importance.permutation_importance(valid, lambda d: d.selectExpr("*", score), inputs))
 
@@ -412,7 +417,7 @@ def sql_checked_queries() -> dict[str, Query]:
         "class_mean_compare": lambda s, d: rounded(profile.class_means(subscriber_table(s, d), COMPARED)),
         "qcut_churn_rate": qcut_churn_rate,
         "class_histogram": class_histogram,
-        "pair_sample": lambda s, d: rounded(split.pair_sample(subscriber_table(s, d))),
+        "pair_sample": lambda s, d: rounded(pair_sample(s, d)),
         "class_density": class_density,
         "split_summary": lambda s, d: rounded(split.split_summary(stratified_split(s, d))),
         "feature_correlation": lambda s, d: rounded(profile.feature_correlation(subscriber_table(s, d), RELATED)),

@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.operators import blend, metrics, models, prep
+from holdfast.operators import metrics, models, prep
 from holdfast.operators.features import add_features
 from holdfast.operators.models import BOOSTING, Boosting, FittedModel
-from holdfast.schema import ID, TARGET
+from holdfast.schema import TARGET
 from holdfast.session import durable
 
 
@@ -67,28 +67,3 @@ def fit_engineered(df: DataFrame, presets: Mapping[str, Boosting] = BOOSTING) ->
     """Boosting on raw and derived features with missing indicators."""
     wide = add_features(df)
     return models.fit_boosting(part(wide, "train"), presets["gbt_engineered"], part(wide, "validation"))
-
-
-def score_members(df: DataFrame, encoded: DataFrame, hist: FittedModel, categorical: Mapping[str, FittedModel],
-                  engineered: FittedModel, keep: tuple[str, ...] = (ID, TARGET, "part")) -> DataFrame:
-    """One ``p_<member>`` column per model, aligned by customer key."""
-    raw = hist.score(df).select(*keep, F.col("p").alias("p_hist"))
-    rich = engineered.score(add_features(df)).select(ID, F.col("p").alias("p_engineered"))
-    scored = raw.join(rich, ID)
-    native = encoded
-    for name, model in categorical.items():
-        native = model.score(native).withColumnRenamed("p", f"p_{name}")
-    return scored.join(native.select(ID, *[f"p_{n}" for n in categorical]), ID)
-
-
-def final_blend(members: DataFrame) -> DataFrame:
-    return blend.add_nested_blend(members, output="p")
-
-
-def save_all(fitted: Mapping[str, FittedModel], folder: str) -> None:
-    for name, model in fitted.items():
-        models.save(model.pipeline, f"{folder}/{name}")
-
-
-def load_scorer(spark: SparkSession, folder: str, name: str) -> FittedModel:
-    return FittedModel(models.load(spark, f"{folder}/{name}"), [])

@@ -6,15 +6,18 @@ import pytest
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
-from holdfast.operators import importance, metrics, models, split
+from holdfast.operators import importance, metrics, models, prep, split
 from holdfast.operators.features import FeatureEngineer
 from holdfast.operators.models import Boosting
 from holdfast.operators.stages import CategoryFill, MedianImputer, RareCategoryGrouper, Standardiser
-from holdfast.plans import training
+from holdfast.plans import jobs, training
 from holdfast.schema import DERIVED_FEATURES, ID, TARGET
 from holdfast.session import durable, new_scratch_path
+from holdfast.sources import results
+from holdfast.sources.subscriber import subscriber_table
 
 SMALL = Boosting(3, 0.3, 3)
+SMALL_PRESETS = {name: Boosting(2, 0.3, 2) for name in models.BOOSTING}
 
 
 @pytest.fixture(scope="module")
@@ -109,3 +112,31 @@ def test_feature_stage_reloads(spark, tmp_path):
     FeatureEngineer().write().overwrite().save(str(tmp_path / "fe"))
     out = FeatureEngineer.load(str(tmp_path / "fe")).transform(df)
     assert len(out.columns) == len(columns) + 34
+
+
+def test_target_lookup_agrees_with_the_ordered_encoding(customers):
+    lookup, prior = prep.fit_target_lookup(training.part(customers, "train"), ["kind"])
+    ordered = {r[ID]: r.encoded for r in prep.ordered_target_encode(customers, ["kind"]).collect() if r.part == "test"}
+    test = training.part(customers, "test")
+    got = {r[ID]: r.kind_te for r in prep.apply_target_lookup(test, lookup, prior, ["kind"]).collect()}
+    assert got == pytest.approx(ordered)
+    unseen = prep.apply_target_lookup(test.limit(1).withColumn("kind", F.lit("new")), lookup, prior, ["kind"])
+    assert unseen.first().kind_te == pytest.approx(prior)
+
+
+def test_whole_runs_write_their_results(spark, folder):
+    """Baselines, ensemble and final blend, each on every customer, then scoring without labels."""
+    df = durable(split.stratified_split(durable(subscriber_table(spark, folder))))
+    out = new_scratch_path(spark)
+    document = jobs.run_baselines(df, f"{out}/base", SMALL_PRESETS, trees=3, forest_depth=3, iterations=10).first()
+    assert document.feature_count == 42 and document.split_rows.train + document.split_rows.test < df.count()
+    table = results.read_result_csv(spark, f"{out}/base/validation_metrics", results.METRICS_SCHEMA)
+    assert table.count() == 3
+    jobs.run_ensemble(df, f"{out}/ensemble", SMALL_PRESETS)
+    final = jobs.run_final(df, f"{out}/ensemble", f"{out}/final", SMALL_PRESETS).first()
+    assert final.weights.engineered == 0.65 and 0 <= final.test_metrics_at_0_5.roc_auc <= 1
+    fresh = df.drop(TARGET, "part")
+    scored = jobs.score_customers(spark, fresh, f"{out}/final/model")
+    assert scored.filter("p between 0 and 1").count() == df.count()
+    with pytest.raises(ValueError, match="Missing required features"):
+        jobs.score_customers(spark, fresh.drop("months"), f"{out}/final/model")
