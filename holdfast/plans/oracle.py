@@ -320,8 +320,8 @@ def oracle_queries() -> dict[str, str]:
     q["outlier_counts"] = f"WITH {SUB}, " + ", ".join(
         f"f_{c} AS (SELECT quantile_cont({c}, 0.25) AS a, quantile_cont({c}, 0.75) AS b FROM subscriber)" for c in fenced
     ) + " " + " UNION ALL ".join(
-        f"SELECT '{c}' AS feature, ROUND(a - 1.5::DOUBLE * (b - a), 6) AS low_fence, "
-        f"ROUND(b + 1.5::DOUBLE * (b - a), 6) AS high_fence, "
+        f"SELECT '{c}' AS feature, ROUND(a - 1.5::DOUBLE * (b - a), 2) AS low_fence, "
+        f"ROUND(b + 1.5::DOUBLE * (b - a), 2) AS high_fence, "
         f"(SELECT COUNT(*) FROM subscriber WHERE {c} < a - 1.5::DOUBLE * (b - a)) AS below, "
         f"(SELECT COUNT(*) FROM subscriber WHERE {c} > b + 1.5::DOUBLE * (b - a)) AS above FROM f_{c}" for c in fenced)
 
@@ -399,8 +399,8 @@ def oracle_queries() -> dict[str, str]:
 
     # scores and blends
     q["blend_probabilities"] = f"""WITH {SCORED} SELECT {ID}, ROUND(p_ensemble, 6) AS p_ensemble,
-      ROUND(0.1::DOUBLE / 0.7::DOUBLE * p_cat_d6 + 0.2::DOUBLE / 0.7::DOUBLE * p_cat_d7 + 0.4::DOUBLE / 0.7::DOUBLE * p_cat_d8, 6)
-      AS p_trees FROM scored"""
+      ROUND(ROUND(0.1::DOUBLE / total * p_cat_d6 + 0.2::DOUBLE / total * p_cat_d7 + 0.4::DOUBLE / total * p_cat_d8, 9), 6)
+      AS p_trees FROM scored, (SELECT 0.1::DOUBLE + 0.2::DOUBLE + 0.4::DOUBLE AS total)"""
     q["blend_nested"] = f"WITH {SCORED} SELECT {ID}, ROUND(p, 6) AS p_final, ROUND(1.0::DOUBLE - p, 6) AS p_stay FROM scored"
     q["predict_at_threshold"] = f"""WITH {SCORED} SELECT {ID}, churn, (p >= 0.5::DOUBLE)::INTEGER AS at_050,
       (p >= 0.36::DOUBLE)::INTEGER AS at_036 FROM scored"""

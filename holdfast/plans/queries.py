@@ -123,7 +123,7 @@ def class_density(spark, folder):
 
 
 def outlier_counts(spark, folder):
-    return rounded(profile.outlier_counts(durable(subscriber_table(spark, folder).select(*FENCED)), FENCED))
+    return rounded(profile.outlier_counts(durable(subscriber_table(spark, folder).select(*FENCED)), FENCED), 2)
 
 
 # --- splitting and preparation ---------------------------------------------------------------

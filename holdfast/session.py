@@ -22,6 +22,10 @@ def local_session(app_name: str = "holdfast", cores: str = "8", memory: str = "1
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", cores)
         .config("spark.sql.adaptive.enabled", "true")
+        # Queries share the subscriber stages: keep their compiled code instead of recompiling it.
+        .config("spark.sql.codegen.cache.maxEntries", "2000")
+        # Skip recording a Python call site for every column expression.
+        .config("spark.sql.dataFrameQueryContext.enabled", "false")
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="holdfast-"))
     )
     for key, value in extra.items():
