@@ -21,6 +21,7 @@ from holdfast.session import durable, new_scratch_path
 from holdfast.sources.subscriber import subscriber_table
 
 SMALL = {name: training.smaller(s, 5, 3) for name, s in models.BOOSTING.items()}
+SMALLEST = {name: training.smaller(s, 2, 4) for name, s in models.BOOSTING.items()}
 
 
 def customers(spark: SparkSession, folder: str) -> DataFrame:
@@ -92,8 +93,8 @@ def ensemble_scored_customers(spark, folder):
     """Fit and save the ensemble, add the engineered member, reload, and score the test customers."""
     df = customers(spark, folder)
     path = new_scratch_path(spark)
-    jobs.run_ensemble(df, f"{path}/ensemble", SMALL)
-    jobs.run_final(df, f"{path}/ensemble", f"{path}/final", SMALL)
+    jobs.run_ensemble(df, f"{path}/ensemble", SMALLEST)
+    jobs.run_final(df, f"{path}/ensemble", f"{path}/final", SMALLEST)
     scorer = ChurnScorer.load(spark, f"{path}/final/model")
     final = scorer.predict_proba(training.part(df, "test"), keep=(TARGET,))
     return rounded(final.select(ID, TARGET, "p_hist", "p_engineered", "p_ensemble", "p",
