@@ -31,11 +31,13 @@ def fit_medians(train: DataFrame, columns: Sequence[str]) -> dict[str, float]:
 
 def impute(df: DataFrame, values: Mapping[str, float | str]) -> DataFrame:
     """Replace NULLs by the fitted value of each column."""
-    return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in values.items()})
+    return df.withColumns({
+        c: F.expr(f"coalesce(`{c}`, {v!r}D)") if isinstance(v, float) else F.coalesce(F.col(c), F.lit(v))
+        for c, v in values.items()})
 
 
 def columns_with_nulls(train: DataFrame, columns: Sequence[str]) -> list[str]:
-    row = train.agg(*[F.expr(f"count_if({c} is null) as {c}") for c in columns]).first()
+    row = train.agg(*[F.expr(f"count_if(`{c}` is null) as `{c}`") for c in columns]).first()
     return [c for c in columns if row[c] > 0]
 
 
@@ -45,13 +47,13 @@ def indicator_name(column: str, group: str) -> str:
 
 def add_indicators(df: DataFrame, columns: Sequence[str], group: str) -> DataFrame:
     """0/1 column per listed column (those that had NULLs in training)."""
-    return df.withColumns({indicator_name(c, group): F.col(c).isNull().cast("double") for c in columns})
+    return df.withColumns({indicator_name(c, group): F.expr(f"cast(`{c}` is null as double)") for c in columns})
 
 
 def fit_scales(train: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
     """Mean and population deviation; a constant column is scaled by 1."""
-    row = train.agg(*[F.expr(f"avg({c}) as m_{c}") for c in columns],
-                    *[F.expr(f"stddev_pop({c}) as s_{c}") for c in columns]).first()
+    row = train.agg(*[F.expr(f"avg(`{c}`) as `m_{c}`") for c in columns],
+                    *[F.expr(f"stddev_pop(`{c}`) as `s_{c}`") for c in columns]).first()
     return {c: (row[f"m_{c}"], row[f"s_{c}"] or 1.0) for c in columns if row[f"m_{c}"] is not None}
 
 
