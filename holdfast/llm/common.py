@@ -20,6 +20,12 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_BREAK), lambda w: w != "")
 
 
+def word_count(text: Column) -> Column:
+    """Number of words of a text as a long; 0 for NULL."""
+    inner = F.btrim(text, F.lit(" \t\n\x0b\f\r"))
+    return F.when(F.length(inner) > 0, F.size(F.split(inner, WORD_BREAK))).otherwise(0).cast("long")
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that the binary ``column`` holds about ``limit`` bytes in each part."""
     start, size = 0, 0

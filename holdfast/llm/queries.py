@@ -7,16 +7,36 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.llm import arrow_sequences, bpe
+from holdfast.llm import arrow_sequences, bpe, mixing, simhash, token_counts
 from holdfast.sources.tables import table
 
 
+TOKEN_LIMIT = 512
+
+
+def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of every document, and whether they are more than a model's context."""
+    counts = token_counts.count_tokens(table(spark, folder, "documents"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
+def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
 def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """Every document written to and read back from Arrow files of fixed-size lists."""
     docs = arrow_sequences.round_trip(table(spark, folder, "documents"))
     return docs.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    taken = mixing.taken_words(table(spark, folder, "documents"))
+    return taken.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document, decoded again; both as digests."""
     docs = bpe.encode_decode(table(spark, folder, "documents"))
@@ -29,11 +49,14 @@ def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_counts": op1_token_counts,
+        "op3_simhash": op3_simhash,
         "op4_token_files": op4_token_files,
+        "op5_mixing": op5_mixing,
         "op8_bpe": op8_bpe,
     }
 
 
 def llm_oracle() -> dict[str, str]:
     """SQL of the queries that SQL can express."""
-    return {}
+    return {"op5_mixing": mixing.MIX_SQL}
