@@ -25,7 +25,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from holdfast.llm.bpe import VOCABULARY, WordBpe
+from holdfast.llm.bpe import VOCABULARY, shared_bpe
 from holdfast.llm.common import map_texts
 from holdfast.session import durable, new_scratch_path
 
@@ -103,9 +103,10 @@ def write_sequences(docs: DataFrame, folder: str, id_col: str = "doc_id", text_c
     bounds = _bounds(docs, id_col, shards)
     rows = docs.select(F.col(id_col).cast("long").alias("d"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("x"))
 
+    kind = np.uint16 if len(shared_bpe(vocabulary).names) <= 1 << 16 else np.uint32
+
     def encoder():
-        bpe = WordBpe(vocabulary)
-        kind = np.uint16 if len(bpe.names) <= 1 << 16 else np.uint32
+        bpe = shared_bpe(vocabulary)
 
         def work(part: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
             ids, counts = bpe.encode(texts)
@@ -127,7 +128,6 @@ def write_sequences(docs: DataFrame, folder: str, id_col: str = "doc_id", text_c
     dealt = encoded.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.col("d").asc_nulls_first(), "h", "ids")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = np.uint16 if len(WordBpe(vocabulary).names) <= 1 << 16 else np.uint32
         shard, out, name = -1, None, ""
 
         def ended() -> pa.RecordBatch:

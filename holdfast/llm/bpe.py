@@ -18,6 +18,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterable
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from holdfast.llm.lookup import KeyTable, SpanHash
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 SHORT = 64
-CACHE_CHUNKS = 1_000_000
+CACHE_CHUNKS = 800_000
 _NONE = np.int32(2**31 - 1)
 #: Beyond these characters the classes and case of a letter depend on the Unicode version.
 _LATIN_END = "\u024f"
@@ -239,6 +240,12 @@ class WordBpe:
         return " ".join(map(self.names.__getitem__, ids))
 
 
+@lru_cache(maxsize=1)
+def shared_bpe(path: str) -> WordBpe:
+    """The encoder of a worker process; its tables and cache are kept from task to task."""
+    return WordBpe(path)
+
+
 def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   vocabulary: str = VOCABULARY) -> DataFrame:
     """One row per document: ``doc_id``, ``ids`` (its token ids) and ``decoded`` (those ids as text).
@@ -249,7 +256,7 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kind = docs.schema[id_col].dataType.simpleString()
 
     def make():
-        bpe = WordBpe(vocabulary)
+        bpe = shared_bpe(vocabulary)
 
         def work(part: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
             ids, counts = bpe.encode(texts)

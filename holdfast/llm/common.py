@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: White space of the word definition used throughout: space and U+0009 to U+000D.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 #: Bytes of text handled at once inside a task; a longer text is handled alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def words(text: Column) -> Column:
@@ -39,14 +39,14 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         yield batch.slice(start)
 
 
-def map_texts(docs: DataFrame, keep: list[str], text_col: str, schema: str,
+def map_texts(docs: DataFrame, keep: list[str | Column], text_col: str, schema: str,
               make: Callable[[], Callable[[pa.RecordBatch, list[bytes]], pa.RecordBatch]]) -> DataFrame:
     """Run a worker function over (columns ``keep``, text as UTF-8 bytes) in small parts.
 
     ``make`` is called once in each task and returns the function; it gets a part whose columns are
     ``k0, k1, ...`` (the kept ones, in order) and ``t``, and the part's texts, NULL as empty.
     """
-    source = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)],
+    source = docs.select(*[(F.col(c) if isinstance(c, str) else c).alias(f"k{i}") for i, c in enumerate(keep)],
                          F.col(text_col).cast("binary").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

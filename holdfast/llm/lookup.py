@@ -63,7 +63,7 @@ class SpanHash:
         self.power = self.back = np.ones((2, 0), np.uint64)
 
     def _grow(self, n: int) -> None:
-        size = 1 << max(16, n.bit_length())
+        size = max(1 << 16, n + n // 4)
         power = np.repeat(self.base[:, None], size, axis=1)
         back = np.repeat(self.inverse[:, None], size, axis=1)
         power[:, 0] = back[:, 0] = 1

@@ -17,6 +17,7 @@ Counts are prefix sums of the emissions.
 from __future__ import annotations
 
 import json
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -204,6 +205,12 @@ class Counter:
         return extra
 
 
+@lru_cache(maxsize=1)
+def shared_counter(path: str) -> Counter:
+    """The counter of a worker process; its compiled transitions are kept from task to task."""
+    return Counter(path)
+
+
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  vocabulary: str = VOCABULARY) -> DataFrame:
     """One row per document: ``doc_id``, ``n_bytes`` (UTF-8) and ``n_tokens``, both long.
@@ -214,7 +221,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = docs.schema[id_col].dataType.simpleString()
 
     def make():
-        counter = Counter(vocabulary)
+        counter = shared_counter(vocabulary)
 
         def work(part: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
