@@ -15,14 +15,23 @@ WORD_BREAK = r"[\x20\x09-\x0D]+"
 SLICE_BYTES = 1 << 20
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, with ``value`` evaluated once however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+_BLANKS = " \t\n\x0b\f\r"
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array, in order; empty for NULL and for text without words."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_BREAK), lambda w: w != "")
+    inner = F.btrim(text, F.lit(_BLANKS))
+    return F.when(F.length(inner) > 0, F.split(inner, WORD_BREAK)).otherwise(F.array().cast("array<string>"))
 
 
 def word_count(text: Column) -> Column:
     """Number of words of a text as a long; 0 for NULL."""
-    inner = F.btrim(text, F.lit(" \t\n\x0b\f\r"))
+    inner = F.btrim(text, F.lit(_BLANKS))
     return F.when(F.length(inner) > 0, F.size(F.split(inner, WORD_BREAK))).otherwise(0).cast("long")
 
 

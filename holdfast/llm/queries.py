@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.llm import arrow_sequences, bpe, mixing, simhash, token_counts
+from holdfast.llm import arrow_sequences, bpe, language, mixing, quality, simhash, token_counts
 from holdfast.sources.tables import table
 
 
@@ -47,6 +47,23 @@ def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Predicted language of every document, learned from the documents that are not held out."""
+    docs = table(spark, folder, "documents")
+    found = language.identify(docs)
+    return found.select(
+        "row.doc_id", F.coalesce(language.fold(F.col("row.doc_id")) == 0, F.lit(False)).alias("held_out"),
+        "lang_pred", "score", "cross_entropy", "rejected")
+
+
+def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality rules and verdict of every document; documents labelled good are the trusted ones."""
+    trusted = table(spark, folder, "labels").where("quality = 1")
+    rated = quality.rate(table(spark, folder, "documents"), trusted)
+    return rated.select("row.doc_id", "rules.n_words", "rules.word_chars", "rules.n_symbols", "rules.n_dup_lines",
+                        "rules.n_repeat_words", "rules.base_failed", "kept", "rules.score")
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -54,6 +71,8 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_token_files": op4_token_files,
         "op5_mixing": op5_mixing,
         "op8_bpe": op8_bpe,
+        "op9_language": op9_language,
+        "op10_quality": op10_quality,
     }
 
 

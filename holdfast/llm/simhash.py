@@ -186,9 +186,14 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def _hex(fp: Column) -> Column:
+    return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                     max_bits: int = MAX_BITS) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id``, ``fingerprint`` (16 hex digits), ``component_id``.
+    """One row per row of ``docs``: ``doc_id``, ``fingerprint`` (16 hex digits), ``component_id`` and
+    ``component`` (a fingerprint that names the component).
 
     ``component_id`` is the smallest id reachable over links of at most ``max_bits`` differing bits, the
     row's own included. NULL and empty texts and texts without words have fingerprint zero and are linked
@@ -202,7 +207,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     grouped = distinct.join(rooted, distinct["fp"] == rooted["node"], "left").where("root is not null or n > 1").select(
         "fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = grouped.join(smallest, "root").select("fp", "component_id")
+    named = grouped.join(smallest, "root").select("fp", "component_id", "root")
     return marked.join(named, "fp", "left").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-        F.coalesce("component_id", "doc_id").alias("component_id"))
+        "doc_id", _hex(F.col("fp")).alias("fingerprint"),
+        F.coalesce("component_id", "doc_id").alias("component_id"), _hex(F.coalesce("root", "fp")).alias("component"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
+             max_bits: int = MAX_BITS) -> DataFrame:
+    """One row of each near-duplicate component, with the columns of ``docs``.
+
+    The row whose id is ``component_id`` stays. Where several rows carry that id, and in a component whose
+    ids are all NULL, the row that is smallest by its text and then by its other columns stays.
+    """
+    found = durable(near_duplicates(docs, id_col, text_col, shingle, max_bits))
+    named = durable(found.where("component_id is not null").select(F.col("component_id").alias("_keep")).distinct())
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(row.alias("row"), F.col(f"`{id_col}`").alias("_id"))
+    # Ids of several rows, normally none: only such rows are compared by their contents.
+    again = durable(found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+                    .where("n > 1").select(F.col("doc_id").alias("_again")))
+    chosen = F.col("_id") == F.col("_keep")
+    once = rows.join(again, F.col("_id") == F.col("_again"), "left_anti").join(named, chosen, "left_semi")
+    least = F.min_by("row", F.struct(F.col(f"row.`{text_col}`"), F.to_json("row"))).alias("row")
+    several = rows.join(again, F.col("_id") == F.col("_again"), "left_semi").join(named, chosen, "left_semi")
+    first = several.groupBy("_id").agg(least)
+
+    def make():
+        def work(part: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
+            fp = [f"{fingerprint(t, shingle):016x}" for t in texts]
+            return pa.RecordBatch.from_arrays([part.column("k0"), pa.array(fp, pa.string())], ["row", "print"])
+
+        return work
+
+    unnamed = map_texts(docs.where(F.col(f"`{id_col}`").isNull()), [row], text_col,
+                        f"row {docs.schema.simpleString()}, print string", make)
+    alone = found.where("component_id is null").select("fingerprint", "component").distinct()
+    lone = unnamed.join(alone, unnamed["print"] == alone["fingerprint"]).groupBy("component").agg(least)
+    return once.select("row.*").unionByName(first.select("row.*")).unionByName(lone.select("row.*"))
