@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: White space of the word definition used throughout: space and U+0009 to U+000D.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 #: Bytes of text handled at once inside a task; a longer text is handled alone.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -247,9 +247,11 @@ class _Scorer:
         return -sums / np.maximum(sizes, 1)[:, None], np.where(letters > 0, sizes, 0)
 
 
-def _scored(docs: DataFrame, keep: Column, kind: str, text_col: str, model: Model) -> DataFrame:
-    """(``row``, ``best``, ``ce``, ``n``, ``ces``) with the index and cross-entropy of the best language."""
+def _scored(docs: DataFrame, keep: dict[str, Column], text_col: str, model: Model, with_text: bool = False) -> DataFrame:
+    """Columns ``keep`` with ``best``, ``ce``, ``n`` and ``ces``: index and cross-entropy of the best
+    language, number of symbols, all cross-entropies; with ``with_text`` the text as ``t`` too."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    kinds = docs.select(*[c.alias(f"k{i}") for i, c in enumerate(keep.values())]).schema.fields
 
     def make():
         scorer = shared.value.scorer()
@@ -258,13 +260,16 @@ def _scored(docs: DataFrame, keep: Column, kind: str, text_col: str, model: Mode
             ces, n = scorer(texts)
             best = ces.argmin(axis=1)
             listed = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * ces.shape[1], pa.int32()), pa.array(ces.reshape(-1)))
-            return pa.RecordBatch.from_arrays(
-                [part.column("k0"), pa.array(best.astype(np.int32)), pa.array(ces[np.arange(len(texts)), best]),
-                 pa.array(n.astype(np.int64)), listed], ["row", "best", "ce", "n", "ces"])
+            out = {f.name: part.column(f.name) for f in kinds} | ({"t": part.column("t")} if with_text else {})
+            out |= {"best": pa.array(best.astype(np.int32)), "ce": pa.array(ces[np.arange(len(texts)), best]),
+                    "n": pa.array(n.astype(np.int64)), "ces": listed}
+            return pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
         return work
 
-    return map_texts(docs, [keep], text_col, f"row {kind}, best int, ce double, n long, ces array<double>", make)
+    schema = [f"{f.name} {f.dataType.simpleString()}" for f in kinds] + ["t binary"] * with_text
+    got = map_texts(docs, list(keep.values()), text_col, ", ".join([*schema, "best int, ce double, n long, ces array<double>"]), make)
+    return got.select(*[F.col(f.name).alias(name) for f, name in zip(kinds, keep)], *["t"] * with_text, "best", "ce", "n", "ces")
 
 
 def calibrate(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang") -> Model:
@@ -272,7 +277,7 @@ def calibrate(docs: DataFrame, model: Model, text_col: str = "text", lang_col: s
     took no part in the counts. Without any, the score's sharpness stays 1 and nothing is rejected."""
     labelled = docs.where(F.col(lang_col).isNotNull())
     numbers = F.create_map(*[x for i, name in enumerate(model.languages) for x in (F.lit(name), F.lit(i))])
-    got = durable(_scored(labelled, numbers[F.col(lang_col)], "int", text_col, model).where("n > 0 and row is not null"))
+    got = durable(_scored(labelled, {"row": numbers[F.col(lang_col)]}, text_col, model).where("n > 0 and row is not null"))
     losses = [F.avg(F.expr(f"ln(aggregate(ces, 0D, (s, c) -> s + exp({b}D * (ces[row] - c))))")).alias(f"l{i}") for i, b in enumerate(SHARPNESS)]
     loss = got.agg(*losses).first()
     if loss["l0"] is not None:
@@ -298,18 +303,23 @@ def _spreads(model: Model) -> str:
     return "array(" + ", ".join("named_struct('m', {!r}D, 'a', {!r}D, 'b', {!r}D, 'z', {!r}D)".format(*map(float, x)) for x in of) + ")"
 
 
-def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` as struct ``row`` with ``lang_pred``, ``score``, ``cross_entropy``, ``rejected``.
+def predict(docs: DataFrame, model: Model | None, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (all by default) as struct ``row`` with ``lang_pred``, ``score``,
+    ``cross_entropy`` and ``rejected``.
 
     NULL texts, empty texts and texts without a letter are ``und`` with score 0 and rejected; so is every
     text if there is no model. Texts of any length are read whole; of equally good languages the first by
     name is taken.
     """
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    keep = docs.columns if keep is None else keep
     if model is None:
-        return docs.select(row.alias("row"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"),
+        return docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"),
                            F.lit(None).cast("double").alias("cross_entropy"), F.lit(True).alias("rejected"))
-    got = _scored(docs, row, docs.schema.simpleString(), text_col, model)
+    others = [c for c in keep if c != text_col]
+    # A NULL text comes back as NULL; the text itself travels once.
+    got = _scored(docs, {f"_{i}": F.col(f"`{c}`") for i, c in enumerate(others)}, text_col, model, text_col in keep)
+    place = {c: F.col(f"_{i}") for i, c in enumerate(others)} | {text_col: F.col("t").cast("string")}
+    row = F.struct(*[place[c].alias(c) for c in keep]).alias("row")
     names = F.array(*[F.lit(x) for x in model.languages])
     spreads = _spreads(model)
     limit = F.expr(f"{spreads}[best].m + {spreads}[best].z * sqrt({spreads}[best].a + {spreads}[best].b / n)")
@@ -317,7 +327,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
     known = F.col("n") > 0
     score = F.expr(f"1D / aggregate(ces, 0D, (s, c) -> s + exp({sharp}D * (ce - c)))")
     return got.select(
-        "row", F.when(known, F.get(names, F.col("best"))).otherwise("und").alias("lang_pred"),
+        row, F.when(known, F.get(names, F.col("best"))).otherwise("und").alias("lang_pred"),
         F.when(known, score).otherwise(0.0).alias("score"), F.when(known, F.col("ce")).alias("cross_entropy"),
         (~known | (F.col("ce") > limit)).alias("rejected"))
 
@@ -329,10 +339,11 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return model and calibrate(docs.where(part == 1), model, text_col, lang_col)
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+             keep: list[str] | None = None) -> DataFrame:
     """Learn from the labelled rows of ``docs`` and predict every row; see ``predict`` for the columns.
 
     NULL labels are not learned from; rows with a NULL id are not learned from either. Rows with equal ids
     are predicted one by one. An empty table gives no rows.
     """
-    return predict(docs, learn(docs, id_col, text_col, lang_col), text_col)
+    return predict(docs, learn(docs, id_col, text_col, lang_col), text_col, keep)

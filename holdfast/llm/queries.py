@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.llm import arrow_sequences, bpe, language, mixing, quality, simhash, token_counts
+from holdfast.llm import (
+    arrow_sequences,
+    bpe,
+    language,
+    licences,
+    mixing,
+    neighbours,
+    quality,
+    simhash,
+    token_counts,
+    url_filter,
+)
 from holdfast.sources.tables import table
 
 
@@ -20,6 +31,12 @@ def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op2_licences(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence paragraphs of every document."""
+    docs = table(spark, folder, "documents")
+    return licences.scan(docs, licences.train(docs))
+
+
 def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return simhash.near_duplicates(table(spark, folder, "documents"))
@@ -37,6 +54,18 @@ def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return taken.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest vectors found of every twentieth vector."""
+    return neighbours.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op7_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page as it was fetched, against the list entries valid at that time."""
+    pages, events = table(spark, folder, "pages"), table(spark, folder, "events")
+    found = url_filter.filter_captures(url_filter.page_captures(pages, events), url_filter.page_list_changes(pages, events))
+    return found.withColumn("fetched_at", F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
 def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document, decoded again; both as digests."""
     docs = bpe.encode_decode(table(spark, folder, "documents"))
@@ -50,7 +79,7 @@ def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
 def op9_language(spark: SparkSession, folder: str) -> DataFrame:
     """Predicted language of every document, learned from the documents that are not held out."""
     docs = table(spark, folder, "documents")
-    found = language.identify(docs)
+    found = language.identify(docs, keep=["doc_id"])
     return found.select(
         "row.doc_id", F.coalesce(language.fold(F.col("row.doc_id")) == 0, F.lit(False)).alias("held_out"),
         "lang_pred", "score", "cross_entropy", "rejected")
@@ -67,9 +96,12 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
+        "op2_licences": op2_licences,
         "op3_simhash": op3_simhash,
         "op4_token_files": op4_token_files,
         "op5_mixing": op5_mixing,
+        "op6_neighbours": op6_neighbours,
+        "op7_url_filter": op7_url_filter,
         "op8_bpe": op8_bpe,
         "op9_language": op9_language,
         "op10_quality": op10_quality,
@@ -78,4 +110,4 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def llm_oracle() -> dict[str, str]:
     """SQL of the queries that SQL can express."""
-    return {"op5_mixing": mixing.MIX_SQL}
+    return {"op5_mixing": mixing.MIX_SQL, "op7_url_filter": url_filter.FILTER_SQL}
