@@ -46,7 +46,12 @@ def half_up_sql(value: str, digits: int) -> str:
     The same arithmetic is available on any engine, whereas decimal-text rounding is not.
     """
     scale = f"{10 ** digits}D"
-    return f"signum({value}) * floor(abs({value}) * {scale} + 0.5D) / {scale} + 0D"
+    return f"signum({value}) * {_floor_sql(f'abs({value}) * {scale} + 0.5D')} / {scale} + 0D"
+
+
+def _floor_sql(value: str) -> str:
+    """Largest whole number not above a non-negative double, as a double: a long would end at 9.2e18."""
+    return f"(({value}) - ({value}) % 1D)"
 
 
 def probability_sql(value: str) -> str:
@@ -57,7 +62,8 @@ def probability_sql(value: str) -> str:
 def half_up(value: Column, digits: int) -> Column:
     """Column form of :func:`half_up_sql`."""
     scale = F.lit(float(10 ** digits))
-    return F.signum(value) * F.floor(F.abs(value) * scale + F.lit(0.5)) / scale + F.lit(0.0)
+    scaled = F.abs(value) * scale + F.lit(0.5)
+    return F.signum(value) * (scaled - scaled % F.lit(1.0)) / scale + F.lit(0.0)
 
 
 def safe_div(numerator: Column, denominator: Column) -> Column:

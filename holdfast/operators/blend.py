@@ -67,4 +67,4 @@ def predict(p: Column, threshold: float = 0.5) -> Column:
 def long_scores(df: DataFrame, members: list[str], keep: list[str]) -> DataFrame:
     """(kept columns, model, p): one row per customer and member."""
     return df.unpivot(keep, [f"p_{m}" for m in members], "model", "p").withColumn(
-        "model", F.substring("model", 3, 100))
+        "model", F.expr("substring(model, 3)"))

@@ -109,8 +109,8 @@ def calibration_summary(scored: DataFrame, bins: int = 10, target: str = TARGET)
 
 def shift_base_rate(p: Column, fitted_rate: float, current_rate: float) -> Column:
     """Move a probability to another base rate by a constant on the log-odds."""
-    odds = p / (1 - p) * F.lit(current_rate / (1 - current_rate) * (1 - fitted_rate) / fitted_rate)
-    return odds / (1 + odds)
+    k = F.lit(current_rate / (1 - current_rate) * (1 - fitted_rate) / fitted_rate)
+    return k * p / (k * p + 1 - p)
 
 
 def feature_drift(expected: DataFrame, actual: DataFrame, features: Sequence[str], bins: int = 10) -> DataFrame:

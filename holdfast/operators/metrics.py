@@ -14,8 +14,10 @@ from holdfast.operators.ordered import running_sums
 from holdfast.schema import TARGET
 from holdfast.session import broadcast_if_small, durable
 
-# The threshold grid 0.05, 0.055, ... 0.95.
-GRID_START, GRID_STEP, GRID_POINTS = 0.05, 0.005, 181
+# 181 evenly spaced thresholds from 0.05 to 0.95; the last one is exactly 0.95.
+GRID_POINTS = 181
+GRID_STEP = (0.95 - 0.05) / (GRID_POINTS - 1)
+GRID = [i * GRID_STEP + 0.05 for i in range(GRID_POINTS - 1)] + [0.95]
 
 
 def score_groups(scores: DataFrame, target: str = TARGET) -> DataFrame:
@@ -36,14 +38,15 @@ def ranking_metrics(scores: DataFrame, target: str = TARGET) -> DataFrame:
     """ROC-AUC (ties count half), the same area by trapezoids, and average precision, per model."""
     c = cumulative(scores, target)
     pairs = F.col("fp") * (F.col("ctp") - F.col("tp") * 0.5)
-    trapezoid = (F.col("fp") / F.col("neg")) * ((F.col("ctp") * 2 - F.col("tp")) / F.col("pos")) * 0.5
+    neg, pos = F.nullif(F.col("neg"), F.lit(0)), F.nullif(F.col("pos"), F.lit(0))
+    trapezoid = (F.col("fp") / neg) * ((F.col("ctp") * 2 - F.col("tp")) / pos) * 0.5
     step = F.col("tp") * (F.col("ctp") / (F.col("ctp") + F.col("cfp")))
-    one_class = (F.max("pos") == 0) | (F.max("neg") == 0)
-    return c.filter("pos > 0 and neg > 0").groupBy("model").agg(
+    # Of one class only: the model keeps its row, and what is not defined is NULL.
+    return c.groupBy("model").agg(
         F.max("pos").alias("positives"), F.max("neg").alias("negatives"),
-        F.when(~one_class, F.sum(pairs) / (F.max("pos") * F.max("neg"))).alias("roc_auc"),
+        F.try_divide(F.sum(pairs), F.max("pos") * F.max("neg")).alias("roc_auc"),
         F.sum(trapezoid).alias("curve_area"),
-        (F.sum(step) / F.max("pos")).alias("average_precision"),
+        F.try_divide(F.sum(step), F.max("pos")).alias("average_precision"),
     )
 
 
@@ -51,7 +54,7 @@ def roc_curve(scores: DataFrame, target: str = TARGET) -> DataFrame:
     """(model, threshold, fpr, tpr) at every distinct score, plus the origin (NULL threshold)."""
     c = cumulative(scores, target)
     points = c.select("model", F.col("p").alias("threshold"),
-                      (F.col("cfp") / F.col("neg")).alias("fpr"), (F.col("ctp") / F.col("pos")).alias("tpr"))
+                      F.try_divide("cfp", "neg").alias("fpr"), F.try_divide("ctp", "pos").alias("tpr"))
     origin = c.select("model").distinct().select(
         "model", F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return points.unionByName(origin)
@@ -99,15 +102,16 @@ def confusion_matrix(scores: DataFrame, threshold: float = 0.5, target: str = TA
 
 
 def grid_threshold(index: Column) -> Column:
-    return F.lit(GRID_START) + index * F.lit(GRID_STEP)
+    """The grid's double at ``index``; NULL outside the grid."""
+    return F.get(F.array(*map(F.lit, GRID)), index)
 
 
 def grid_index(p: Column) -> Column:
     """How many grid thresholds are not above ``p``; the guess is corrected against the grid itself."""
-    guess = F.floor((p - F.lit(GRID_START)) / F.lit(GRID_STEP)).cast("int")
+    guess = F.least(F.greatest(F.floor((p - F.lit(GRID[0])) / F.lit(GRID_STEP)), F.lit(-1)), F.lit(GRID_POINTS - 1)).cast("int")
     up = F.when(grid_threshold(guess + 1) <= p, 1).otherwise(0)
     down = F.when(grid_threshold(guess) > p, 1).otherwise(0)
-    return F.least(F.greatest(guess + up - down + 1, F.lit(0)), F.lit(GRID_POINTS))
+    return guess + up - down + 1
 
 
 def threshold_sweep(scores: DataFrame, target: str = TARGET) -> DataFrame:

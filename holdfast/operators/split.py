@@ -42,7 +42,7 @@ def _cut_keys(df: DataFrame, cuts: Sequence[tuple[str, Column]], key: str, strat
     wanted = broadcast_if_small(wanted.filter("_before < _rows and _rows <= _through").drop("_through"))
     in_bucket = Window.partitionBy(stratum, "_cut").orderBy("_h", "_key")
     at_cut = (
-        hashed.join(wanted, [stratum, "_b"])
+        _same_stratum(hashed, wanted, stratum, ["_b"])
         .withColumn("_place", F.row_number().over(in_bucket) + F.col("_before"))
         .filter("_place = _rows")
     )
@@ -50,6 +50,16 @@ def _cut_keys(df: DataFrame, cuts: Sequence[tuple[str, Column]], key: str, strat
         *[F.max(F.when(F.col("_cut") == name, F.col("_h"))).alias(f"cut_{name}") for name, _ in cuts]))
 
 
+def _same_stratum(rows: DataFrame, more: DataFrame, stratum: str, keys: Sequence[str] = (), how: str = "inner") -> DataFrame:
+    """Join on the stratum and ``keys``; NULL is a stratum like any other."""
+    a, b = rows.alias("a"), more.alias("b")
+    same = F.col(f"a.`{stratum}`").eqNullSafe(F.col(f"b.`{stratum}`"))
+    for k in keys:
+        same &= F.col(f"a.{k}") == F.col(f"b.{k}")
+    added = [F.col(f"b.`{c}`") for c in more.columns if c not in (stratum, *keys)]
+    return a.join(b, same, how).select("a.*", *added)
+
+
 def _assign(df: DataFrame, cut_table: DataFrame, names: Sequence[str], last: str, key: str, stratum: str,
             seed: int | str, output: str) -> DataFrame:
     """Label rows by comparing their hash with the stratum's cuts (a narrow join on the stratum)."""
@@ -58,7 +68,7 @@ def _assign(df: DataFrame, cut_table: DataFrame, names: Sequence[str], last: str
     for name in names:
         inside = F.col(f"cut_{name}").isNotNull() & (digest <= F.col(f"cut_{name}"))
         label = F.when(inside, name) if label is None else label.when(inside, name)
-    joined = df.join(cut_table, stratum, "left")
+    joined = _same_stratum(df, cut_table, stratum, how="left")
     return joined.select(*df.columns, label.otherwise(last).alias(output))
 
 

@@ -175,7 +175,7 @@ def at_thresholds(values: str, source: str = "long_scores", name: str = "at_t")
          COALESCE(2 * tp / NULLIF(2 * tp + fp + fn, 0), 0) AS f1 FROM {name}_n)"""
 
 
-GRID = "grid AS (SELECT i, 0.05::DOUBLE + i * 0.005::DOUBLE AS threshold FROM (SELECT UNNEST(range(0, 181)) AS i))"
+GRID = "grid AS (SELECT i, CASE WHEN i = 180 THEN 0.95::DOUBLE ELSE i * ((0.95::DOUBLE - 0.05::DOUBLE) / 180) + 0.05::DOUBLE END AS threshold FROM (SELECT UNNEST(range(0, 181)) AS i))"
 
 
 def sweep(source: str = "long_scores") -> str:
@@ -461,7 +461,7 @@ def oracle_queries() -> dict[str, str]:
     plain = {"call_completion_rate": "Call Completion Rate", "change_mou": "Change Mou",
              "customer_care_calls_per_100_calls": "Customer Care Calls Per 100 Calls"}
     others = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in plain.items())
-    q["importance_top"] = f"WITH {IMPORTANCE} SELECT feature, ROUND(gain, 6) AS gain FROM gains ORDER BY gain DESC, feature LIMIT 10"
+    q["importance_top"] = f"WITH {IMPORTANCE} SELECT feature, ROUND(gain, 6) AS gain FROM gains ORDER BY gain DESC, feature LIMIT 15"
     q["importance_share"] = f"""WITH {IMPORTANCE}, t AS (SELECT * FROM gains ORDER BY gain DESC, feature LIMIT 12)
       SELECT feature, ROUND(gain, 6) AS gain, ROUND(gain / SUM(gain) OVER () * 100.0::DOUBLE, 6) AS share_pct FROM t"""
     q["importance_labels"] = f"""WITH {IMPORTANCE} SELECT feature, ROUND(gain, 6) AS gain,

@@ -451,7 +451,7 @@ def sql_checked_queries() -> dict[str, Query]:
         "metrics_two_thresholds": metrics_two_thresholds,
         "model_comparison": model_comparison,
         "run_metadata": run_metadata,
-        "importance_top": lambda s, d: rounded(importance.top_importance(gains(s, d), 10)),
+        "importance_top": lambda s, d: rounded(importance.top_importance(gains(s, d), 15)),
         "importance_share": lambda s, d: rounded(importance.importance_share(gains(s, d))),
         "importance_labels": lambda s, d: rounded(importance.importance_labels(gains(s, d))),
         "importance_by_theme": lambda s, d: rounded(importance.importance_by_theme(gains(s, d))),

@@ -11,27 +11,45 @@ from holdfast.operators.quality import join_one_to_one, validate
 from holdfast.schema import CATEGORICAL_PREDICTORS, ID, NUMERIC_PREDICTORS, TARGET, customer_schema
 
 
+#: A written number. Spark's own cast also takes "1D" and "2F", which are codes in a file.
+NUMBER = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[iI]nf(inity)?)\s*$"
+WHOLE = r"^\s*[+-]?\d+(\.0*)?\s*$"
+
+
 def _typed(name: str, kind: T.DataType) -> Column:
-    value = na_to_null(F.col(name))
+    """A text column as ``kind``; a value that is not of that kind fails the read."""
+    value = na_to_null(F.col(f"`{name}`"))
     if isinstance(kind, T.StringType):
         return value.alias(name)
     if isinstance(kind, T.IntegralType):
-        return value.cast("double").cast(kind).alias(name)  # "1" and "1.0" are both whole numbers
-    return value.cast(kind).alias(name)
+        # "1" and "1.0" are both whole numbers; digits are kept exactly, without a double in between.
+        fits, read = WHOLE, F.regexp_extract(value, r"([+-]?\d+)", 1).cast(kind)
+    else:
+        fits, read = NUMBER, value.cast(kind)
+    wrong = F.raise_error(F.concat(F.lit(f"{name}: not {'a whole number' if fits == WHOLE else 'a number'}: "), value))
+    return F.when(value.isNull(), F.lit(None).cast(kind)).when(value.rlike(fits), read).otherwise(wrong.cast(kind)).alias(name)
 
 
-def read_raw(spark: SparkSession, path: str) -> DataFrame:
-    """Every column as text, named by the header."""
-    return spark.read.option("header", True).option("enforceSchema", False).csv(path)
+def read_raw(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Every column as text, named by the header; quotes inside a quoted field are doubled.
 
+    ``multi_line`` allows line breaks in quoted fields; a file is then read by one task, so turn it off
+    for a table in few large files without such fields.
+    """
+    return spark.read.options(header=True, enforceSchema=False, escape='"', multiLine=multi_line).csv(path)
 
-def numeric_like(raw: DataFrame) -> list[str]:
-    """Columns whose every present value is a number, found in one aggregation over the table."""
-    row = raw.agg(*[F.count_if(na_to_null(F.col(c)).isNotNull() & F.col(c).try_cast("double").isNull()).alias(c)
+
+def _all_match(raw: DataFrame, pattern: str) -> list[str]:
+    row = raw.agg(*[F.count_if(na_to_null(F.col(f"`{c}`")).isNotNull() & ~F.col(f"`{c}`").rlike(pattern)).alias(c)
                     for c in raw.columns]).first()
     return [c for c in raw.columns if row[c] == 0]
 
 
+def numeric_like(raw: DataFrame) -> list[str]:
+    """Columns whose every present value is a number, found in one aggregation over the table."""
+    return _all_match(raw, NUMBER)
+
+
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """Read by ``schema`` (columns matched by name) or, without one, infer double or text per column."""
     raw = read_raw(spark, path)
@@ -50,6 +68,8 @@ def read_customer_file(spark: SparkSession, path: str) -> DataFrame:
     numbers = set(numeric_like(raw.select(*extra))) if extra else set()
     fields = {f.name: f.dataType for f in customer_schema(raw.columns)}
     kinds = {c: fields[c] if c in known else T.DoubleType() if c in numbers else T.StringType() for c in raw.columns}
+    if ID in kinds and not _all_match(raw.select(ID), r"^\s*[+-]?\d{1,18}(\.0*)?\s*$"):
+        kinds[ID] = T.StringType()  # ids as they come
     return clean_numeric(raw.select(*[_typed(c, kinds[c]) for c in raw.columns]))
 
 
@@ -58,6 +78,8 @@ def load_customers(spark: SparkSession, folder: str, client_file: str = "Client.
     """Read both files, check keys and target, and join them one to one."""
     client = read_customer_file(spark, f"{folder}/{client_file}")
     record = read_customer_file(spark, f"{folder}/{record_file}")
+    if ID in client.columns and ID in record.columns and client.schema[ID].dataType != record.schema[ID].dataType:
+        client, record = (df.withColumn(ID, F.col(ID).cast("string")) for df in (client, record))
     validate(client, record)
     return join_one_to_one(record, client)
 
