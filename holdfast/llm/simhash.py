@@ -227,6 +227,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     # Ids of several rows, normally none: only such rows are compared by their contents.
     again = durable(found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
                     .where("n > 1").select(F.col("doc_id").alias("_again")))
+    # The kept ids grow with the rows: always a sorted join, so that small tables run the plan of large ones.
+    named = named.hint("merge")
     chosen = F.col("_id") == F.col("_keep")
     once = rows.join(again, F.col("_id") == F.col("_again"), "left_anti").join(named, chosen, "left_semi")
     least = F.min_by("row", F.struct(F.col(f"row.`{text_col}`"), F.to_json("row"))).alias("row")
