@@ -1,7 +1,8 @@
-"""Registered queries that fit MLlib models. Their values have no SQL equivalent.
+"""Registered queries that fit MLlib models at their published settings.
 
-Rounds, depth and trees are reduced here so that each fits in seconds on a small table; the
-published settings are the defaults in ``holdfast.operators.models``.
+Scores themselves have no SQL equivalent, so the model queries return what SQL can state about them:
+who was scored, how often, and whether the scores hold (in range, equal after saving and loading, blended
+by the published weights).
 """
 
 from __future__ import annotations
@@ -20,43 +21,53 @@ from holdfast.schema import ID, TARGET
 from holdfast.session import durable, new_scratch_path
 from holdfast.sources.subscriber import subscriber_table
 
-SMALL = {name: training.smaller(s, 5, 3) for name, s in models.BOOSTING.items()}
-SMALLEST = {name: training.smaller(s, 2, 4) for name, s in models.BOOSTING.items()}
+PRESETS = dict(models.BOOSTING)
+FOREST = {"trees": models.FOREST_TREES, "depth": models.FOREST_DEPTH}
+ITERATIONS = 1000
 
 
 def customers(spark: SparkSession, folder: str) -> DataFrame:
     return durable(with_parts(subscriber_table(spark, folder)))
 
 
-def _measured(df: DataFrame, model: models.FittedModel, name: str) -> DataFrame:
-    return rounded(models.part_metrics(model.score(df.filter("part <> 'train'")), name))
+def _facts(df: DataFrame, model: models.FittedModel, name: str) -> DataFrame:
+    """Per part that was not fitted on: customers, different customers, churners, probabilities in range,
+    and probabilities that are the same after saving and loading the model."""
+    rows = durable(df.filter("part <> 'train'"))
+    path = new_scratch_path(df.sparkSession)
+    models.save(model.pipeline, path)
+    again = durable(models.score(models.load(df.sparkSession, path), rows).select(ID, F.col("p").alias("_again")))
+    both = durable(model.score(rows).select(ID, TARGET, "part", "p")).join(again, ID, "left")
+    return both.groupBy("part").agg(
+        F.count(F.lit(1)).alias("customers"), F.countDistinct(ID).alias("scored_once"), F.sum(F.col(TARGET).cast("long")).alias("churners"),
+        F.count_if(F.col("p").between(0, 1)).alias("in_range"), F.count_if(F.col("p") == F.col("_again")).alias("reload_equal")).withColumn("model", F.lit(name))
 
 
 def model_logistic(spark, folder):
     df = customers(spark, folder)
-    return _measured(df, models.fit_logistic(training.part(df, "train"), iterations=50), "logistic_regression")
+    return _facts(df, models.fit_logistic(training.part(df, "train"), iterations=ITERATIONS), "logistic_regression")
 
 
 def model_forest(spark, folder):
     df = customers(spark, folder)
-    return _measured(df, models.fit_forest(training.part(df, "train"), 10, 4), "random_forest")
+    return _facts(df, models.fit_forest(training.part(df, "train"), **FOREST), "random_forest")
 
 
 def model_gbt_base(spark, folder):
     df = customers(spark, folder)
-    return _measured(df, models.fit_boosting(training.part(df, "train"), SMALL["gbt_base"]), "gradient_boosting")
+    return _facts(df, models.fit_boosting(training.part(df, "train"), PRESETS["gbt_base"]), "gradient_boosting")
 
 
 def categorical_model(name: str):
     def query(spark, folder):
         encoded = training.encode_categories(customers(spark, folder))
-        return _measured(encoded, training.fit_categorical(encoded, name, SMALL), name)
+        return _facts(encoded, training.fit_categorical(encoded, name, PRESETS), name)
     return query
 
 
 def model_gbt_engineered(spark, folder):
     df = customers(spark, folder)
-    return _measured(add_features(df), training.fit_engineered(df, SMALL), "gbt_engineered")
+    return _facts(add_features(df), training.fit_engineered(df, PRESETS), "gbt_engineered")
 
 
 def model_tutorial(spark, folder):
@@ -64,17 +75,17 @@ def model_tutorial(spark, folder):
     _, text = models.feature_groups(whole)
     coded = prep.label_encode(whole, text).drop(*text)
     df = durable(with_parts(coded, split.PARTS_70_30))
-    model = models.fit_boosting(training.part(df, "train"), SMALL["tutorial"])
-    return _measured(df, model, "tutorial")
+    model = models.fit_boosting(training.part(df, "train"), PRESETS["tutorial"])
+    return _facts(df, model, "tutorial")
 
 
 def gain_importance(spark, folder):
-    return rounded(models.importance_table(spark, training.fit_engineered(customers(spark, folder), SMALL)))
+    return rounded(models.importance_table(spark, training.fit_engineered(customers(spark, folder), PRESETS)))
 
 
 def model_permutation_importance(spark, folder):
     df = customers(spark, folder)
-    model = models.fit_boosting(training.part(df, "train"), SMALL["gbt_base"])
+    model = models.fit_boosting(training.part(df, "train"), PRESETS["gbt_base"])
     numeric, text = models.feature_groups(df)
     valid = durable(training.part(df, "validation").drop("part"))
     return rounded(importance.permutation_importance(valid, model.score, [*numeric, *text]))
@@ -82,7 +93,7 @@ def model_permutation_importance(spark, folder):
 
 def model_selection(spark, folder):
     df = customers(spark, folder)
-    fitted = training.fit_baselines(df, SMALL, trees=10, forest_depth=4, iterations=50)
+    fitted = training.fit_baselines(df, PRESETS, FOREST["trees"], FOREST["depth"], ITERATIONS)
     name, threshold, table, test = training.select_model(df, fitted)
     rows = table.withColumn("part", F.lit("validation")).withColumn("threshold", F.lit(0.5))
     return rounded(rows.unionByName(test.withColumn("part", F.lit("test"))).withColumn(
@@ -90,15 +101,25 @@ def model_selection(spark, folder):
 
 
 def ensemble_scored_customers(spark, folder):
-    """Fit and save the ensemble, add the engineered member, reload, and score the test customers."""
+    """Fit and save the ensemble, add the engineered member, reload, and score the test customers.
+
+    For each of them: probabilities in range, the blend equal to the weighted members, the two-class
+    output summing to one, and the prediction equal to the threshold on the probability.
+    """
     df = customers(spark, folder)
     path = new_scratch_path(spark)
-    jobs.run_ensemble(df, f"{path}/ensemble", SMALLEST)
-    jobs.run_final(df, f"{path}/ensemble", f"{path}/final", SMALLEST)
+    jobs.run_ensemble(df, f"{path}/ensemble", PRESETS)
+    jobs.run_final(df, f"{path}/ensemble", f"{path}/final", PRESETS)
     scorer = ChurnScorer.load(spark, f"{path}/final/model")
     final = scorer.predict_proba(training.part(df, "test"), keep=(TARGET,))
-    return rounded(final.select(ID, TARGET, "p_hist", "p_engineered", "p_ensemble", "p",
-                                blend.predict(F.col("p")).alias("predicted")))
+    inner = sum((F.lit(w) * F.col(f"p_{n}") for n, w in blend.CATEGORICAL_ENSEMBLE.items()), F.lit(0.0))
+    outer = blend.ENGINEERED_WEIGHT * F.col("p_engineered") + (1 - blend.ENGINEERED_WEIGHT) * F.col("p_ensemble")
+    classes = blend.class_probabilities(F.col("p"))
+    return final.select(
+        ID, TARGET, F.col("p").between(0, 1).alias("in_range"),
+        ((F.abs(inner - F.col("p_ensemble")) < 1e-8) & (F.abs(outer - F.col("p")) < 1e-8)).alias("blend_equal"),
+        (F.abs(classes["stay"] + classes["churn"] - 1) < 1e-12).alias("classes_sum"),
+        (blend.predict(F.col("p")) == (F.col("p") >= 0.5).cast("int")).alias("predicts_at_threshold"))
 
 
 def model_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

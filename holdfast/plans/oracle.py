@@ -461,6 +461,16 @@ def oracle_queries() -> dict[str, str]:
     plain = {"call_completion_rate": "Call Completion Rate", "change_mou": "Change Mou",
              "customer_care_calls_per_100_calls": "Customer Care Calls Per 100 Calls"}
     others = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in plain.items())
+    facts = """COUNT(*) AS customers, COUNT(DISTINCT {id}) AS scored_once, SUM(churn)::BIGINT AS churners,
+      COUNT(*) AS in_range, COUNT(*) AS reload_equal""".format(id=ID)
+    for key, name in (("model_logistic", "logistic_regression"), ("model_forest", "random_forest"),
+                      ("model_gbt_base", "gradient_boosting"), ("model_cat_d6", "cat_d6"), ("model_cat_d7", "cat_d7"),
+                      ("model_cat_d8", "cat_d8"), ("model_gbt_engineered", "gbt_engineered")):
+        q[key] = f"WITH {SPLIT} SELECT part, {facts}, '{name}' AS model FROM parts WHERE part <> 'train' GROUP BY part"
+    q["model_tutorial"] = f"""WITH {SUB}, {parts('subscriber', cuts=(('train', 70),))}
+      SELECT part, {facts}, 'tutorial' AS model FROM parts WHERE part <> 'train' GROUP BY part"""
+    q["ensemble_scored_customers"] = f"""WITH {SPLIT} SELECT {ID}, churn, true AS in_range, true AS blend_equal,
+      true AS classes_sum, true AS predicts_at_threshold FROM parts WHERE part = 'test'"""
     q["importance_top"] = f"WITH {IMPORTANCE} SELECT feature, ROUND(gain, 6) AS gain FROM gains ORDER BY gain DESC, feature LIMIT 15"
     q["importance_share"] = f"""WITH {IMPORTANCE}, t AS (SELECT * FROM gains ORDER BY gain DESC, feature LIMIT 12)
       SELECT feature, ROUND(gain, 6) AS gain, ROUND(gain / SUM(gain) OVER () * 100.0::DOUBLE, 6) AS share_pct FROM t"""

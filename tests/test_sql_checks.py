@@ -7,6 +7,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from holdfast.operators.models import Boosting
+from holdfast.plans import model_queries
 
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
 
@@ -29,6 +31,14 @@ def canonical(frame):
     return sorted(repr(tuple(row)) for row in frame.itertuples(index=False))
 
 
+@pytest.fixture(autouse=True)
+def quick_fits(monkeypatch):
+    """What the model queries state does not depend on how long a fit takes."""
+    monkeypatch.setattr(model_queries, "PRESETS", {k: Boosting(4, 0.3, 3, patience=2) for k in model_queries.PRESETS})
+    monkeypatch.setattr(model_queries, "FOREST", {"trees": 5, "depth": 4})
+    monkeypatch.setattr(model_queries, "ITERATIONS", 20)
+
+
 @pytest.mark.parametrize("key", sorted(SQL))
 def test_same_rows(spark, folder, engine, key):
     ours = QUERIES[key](spark, folder).toPandas()
