@@ -46,9 +46,11 @@ def risk_band(p: Column, high: float = 0.6, low: float = 0.4) -> Column:
     return F.when(p >= high, "high").when(p >= low, "medium").otherwise("low")
 
 
-def retention_actions(df: DataFrame, key: str = ID) -> DataFrame:
+def retention_actions(df: DataFrame, key: str = ID, keep: Sequence[str] = ()) -> DataFrame:
     """The action whose risk signal stands out most against the portfolio; the first one on ties.
 
+    ``keep`` names further columns of ``df`` to return.
+
     A missing or constant signal does not stand out.
     """
     stats = df.agg(*[F.avg(s).alias(f"m_{s}") for _, s, _ in ACTIONS],
@@ -64,7 +66,7 @@ def retention_actions(df: DataFrame, key: str = ID) -> DataFrame:
     for action, value in z.items():
         choice = F.when(value == strongest, action) if choice is None else choice.when(value == strongest, action)
     return df.select(key, risk_band(F.col("p")).alias("risk_band"), choice.alias("action"),
-                     strongest.alias("signal_strength"))
+                     strongest.alias("signal_strength"), *keep)
 
 
 def uplift(outcomes: DataFrame, segment: str = "segment", arm: str = "arm", target: str = TARGET,

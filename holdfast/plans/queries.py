@@ -362,20 +362,19 @@ def weekly_scores(spark, folder):
     return rounded(spark.read.schema(schema).parquet(path).select(week, ID, "p"))
 
 
-def _actions(spark, folder) -> tuple[DataFrame, DataFrame]:
+def _scored_signals(spark, folder) -> DataFrame:
     signals = [s for _, s, _ in campaign.ACTIONS]
-    base = durable(final_scores(spark, folder, *signals))
-    return base, campaign.retention_actions(base)
+    return durable(final_scores(spark, folder, *signals))
 
 
 def retention_actions(spark, folder):
-    return rounded(_actions(spark, folder)[1])
+    return rounded(campaign.retention_actions(_scored_signals(spark, folder)))
 
 
 def _arms(spark, folder) -> DataFrame:
-    base, actions = _actions(spark, folder)
-    segmented = actions.select(ID, F.concat_ws("/", "risk_band", "action").alias("segment"))
-    return split.hash_holdout(durable(segmented.join(base.select(ID, TARGET, "rev_Mean"), ID)), "segment")
+    actions = campaign.retention_actions(_scored_signals(spark, folder), keep=(TARGET, "rev_Mean"))
+    segmented = actions.select(ID, F.concat_ws("/", "risk_band", "action").alias("segment"), TARGET, "rev_Mean")
+    return split.hash_holdout(durable(segmented), "segment")
 
 
 def holdout_assignment(spark, folder):
