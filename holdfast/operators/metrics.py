@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from holdfast.functions.scalars import safe_div
 from holdfast.operators.ordered import running_sums
 from holdfast.schema import TARGET
-from holdfast.session import broadcast_if_small, durable
+from holdfast.session import durable
 
 # 181 evenly spaced thresholds from 0.05 to 0.95; the last one is exactly 0.95.
 GRID_POINTS = 181
@@ -29,7 +29,7 @@ def score_groups(scores: DataFrame, target: str = TARGET) -> DataFrame:
 def cumulative(scores: DataFrame, target: str = TARGET) -> DataFrame:
     """Score groups with the positives and negatives at or above each score, and class totals."""
     groups = durable(score_groups(scores, target))
-    totals = broadcast_if_small(groups.groupBy("model").agg(F.sum("tp").alias("pos"), F.sum("fp").alias("neg")))
+    totals = durable(groups.groupBy("model").agg(F.sum("tp").alias("pos"), F.sum("fp").alias("neg")))
     running = running_sums(groups, [F.desc("p")], {"ctp": "tp", "cfp": "fp"}, group=["model"])
     return running.join(totals, "model")
 

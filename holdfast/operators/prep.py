@@ -15,7 +15,7 @@ from holdfast.functions.scalars import MISSING, fill_category, hash_key, long_ce
 from holdfast.operators.ordered import running_sums
 from holdfast.operators.quantiles import exact_quantiles
 from holdfast.schema import ID, TARGET
-from holdfast.session import broadcast_if_small, durable, rows_if_small
+from holdfast.session import durable
 
 INFREQUENT = "__INFREQUENT__"
 LABEL_MISSING = "nan"
@@ -92,16 +92,10 @@ def fit_codes(train: DataFrame, columns: Sequence[str]) -> DataFrame:
 def _by_feature(table: DataFrame, columns: Sequence[str], value: str) -> dict[str, DataFrame]:
     """Split a (feature, value, ...) table into one lookup per column, keyed by ``_v``.
 
-    The table is read once; its lookups carry a broadcast hint only if it is proven small.
+    The table is written; the planner knows its size and chooses how to join it.
     """
-    table = table.select("feature", F.col("value").alias("_v"), F.col(value).alias("_new"))
-    schema = table.drop("feature").schema
-    rows = rows_if_small(table)
-    if rows is None:
-        written = durable(table)
-        return {c: written.filter(F.col("feature") == c).drop("feature") for c in columns}
-    spark = table.sparkSession
-    return {c: F.broadcast(spark.createDataFrame([r[1:] for r in rows if r.feature == c], schema)) for c in columns}
+    written = durable(table.select("feature", F.col("value").alias("_v"), F.col(value).alias("_new")))
+    return {c: written.filter(F.col("feature") == c).drop("feature") for c in columns}
 
 
 def apply_codes(df: DataFrame, codes: DataFrame, columns: Sequence[str], unknown: int = -1,
@@ -164,7 +158,7 @@ def ordered_target_encode(df: DataFrame, columns: Sequence[str], part: str = "pa
                          smoothed(F.col("_sy") - F.col("_y"), F.col("_sn") - 1).alias("encoded"))
     totals = cells.filter(train).groupBy("feature", "value").agg(
         F.sum(target).alias("_sy"), F.count(F.lit(1)).alias("_sn"))
-    others = cells.filter(~train).join(broadcast_if_small(totals), ["feature", "value"], "left").select(
+    others = cells.filter(~train).join(durable(totals), ["feature", "value"], "left").select(
         key, part, "feature", "value",
         smoothed(F.coalesce("_sy", F.lit(0)), F.coalesce("_sn", F.lit(0))).alias("encoded"))
     return own.unionByName(others)

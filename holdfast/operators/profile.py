@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from holdfast.functions.scalars import long_cells, numeric_columns, text_columns
 from holdfast.operators.quantiles import exact_quantiles
 from holdfast.schema import TARGET
-from holdfast.session import broadcast_if_small
+from holdfast.session import durable
 
 QUARTILE_FEATURES = ("eqpdays", "change_mou", "mou_Mean")
 QUARTILES = ("Q1", "Q2", "Q3", "Q4")
@@ -93,7 +93,7 @@ def class_histogram(df: DataFrame, feature: str = "eqpdays", bins: int = 30,
     rows = df.select(target, F.col(feature).alias("x")).dropna()
     spans = rows.groupBy(target).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     flat = F.col("lo") == F.col("hi")
-    spans = broadcast_if_small(spans.select(
+    spans = durable(spans.select(
         target,
         F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
         F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"),

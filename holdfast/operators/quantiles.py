@@ -5,13 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.operators.ordered import running_sums
 
 _BRACKET_ERROR = 1e-3
-_SMALL = 200_000
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float],
@@ -34,20 +33,17 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequen
             position = p * (counts[c] - 1)
             low = math.floor(position)
             targets[c, i] = (low, math.ceil(position), position - low)
-    large = [c for c in filled if counts[c] > _SMALL]
-    brackets = {key: (-math.inf, math.inf) for key in targets}
-    if large:
-        wide = 2 * _BRACKET_ERROR
-        wanted = [q for p in probabilities for q in (max(p - wide, 0.0), min(p + wide, 1.0))]
-        sketched = df.approxQuantile(large, wanted, _BRACKET_ERROR)
-        for c, cuts in zip(large, sketched):
-            for i, p in enumerate(probabilities):
-                brackets[c, i] = (cuts[2 * i] if p > wide else -math.inf,
-                                  cuts[2 * i + 1] if p < 1 - wide else math.inf)
-    found = _select_ranks(df, targets, brackets, counts)
+    brackets = {}
+    wide = 2 * _BRACKET_ERROR
+    wanted = [q for p in probabilities for q in (max(p - wide, 0.0), min(p + wide, 1.0))]
+    for c, cuts in zip(filled, df.approxQuantile(filled, wanted, _BRACKET_ERROR) if filled else []):
+        for i, p in enumerate(probabilities):
+            brackets[c, i] = (cuts[2 * i] if p > wide else -math.inf,
+                              cuts[2 * i + 1] if p < 1 - wide else math.inf)
+    found = _select_ranks(df, targets, brackets)
     missed = {k: t for k, t in targets.items() if (k, t[0]) not in found or (k, t[1]) not in found}
     if missed:
-        found.update(_select_ranks(df, missed, {k: (-math.inf, math.inf) for k in missed}, counts))
+        found.update(_select_ranks(df, missed, {k: (-math.inf, math.inf) for k in missed}))
     result: dict[str, list[float | None]] = {c: [None] * len(probabilities) for c in columns}
     for (c, i), (low, high, weight) in targets.items():
         a, b = found[(c, i), low], found[(c, i), high]
@@ -55,7 +51,7 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequen
     return result
 
 
-def _select_ranks(df: DataFrame, targets: dict, brackets: dict, counts: dict) -> dict:
+def _select_ranks(df: DataFrame, targets: dict, brackets: dict) -> dict:
     """Value at each wanted rank: ``{((column, i), rank): value}`` for the ranks inside a bracket."""
     spans: dict[tuple, list] = {}  # distinct (column, bracket) -> the targets it serves
     for key in targets:
@@ -79,11 +75,7 @@ def _select_ranks(df: DataFrame, targets: dict, brackets: dict, counts: dict) ->
         df.selectExpr(f"inline(array({cells}))").filter("value is not null")
         .groupBy("span", "value").agg(F.expr("count(1) as n"))
     )
-    if any(counts[c] > _SMALL for c, _, _ in span_list):
-        ranked = running_sums(values, [F.col("value")], {"through": "n"}, group=["span"])
-    else:  # at most _SMALL values per span
-        upto = Window.partitionBy("span").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-        ranked = values.withColumn("through", F.sum("n").over(upto))
+    ranked = running_sums(values, [F.col("value")], {"through": "n"}, group=["span"])
     ranks = []  # per span, the wanted ranks counted from the start of its bracket
     for s, span in enumerate(span_list):
         wanted = sorted({rank - below[s] for key in spans[span] for rank in targets[key][:2]})

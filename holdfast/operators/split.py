@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from holdfast.functions.scalars import hash_fraction, hash_key
 from holdfast.schema import ID, TARGET
-from holdfast.session import broadcast_if_small
+from holdfast.session import durable
 
 SEED = 42
 PARTS = (("train", 60), ("validation", 20), ("test", 20))
@@ -39,14 +39,14 @@ def _cut_keys(df: DataFrame, cuts: Sequence[tuple[str, Column]], key: str, strat
                             F.inline(F.array(*[F.struct(F.lit(name).alias("_cut"),
                                                         rows.cast("long").alias("_rows"))
                                                for name, rows in cuts])))
-    wanted = broadcast_if_small(wanted.filter("_before < _rows and _rows <= _through").drop("_through"))
+    wanted = durable(wanted.filter("_before < _rows and _rows <= _through").drop("_through"))
     in_bucket = Window.partitionBy(stratum, "_cut").orderBy("_h", "_key")
     at_cut = (
         _same_stratum(hashed, wanted, stratum, ["_b"])
         .withColumn("_place", F.row_number().over(in_bucket) + F.col("_before"))
         .filter("_place = _rows")
     )
-    return broadcast_if_small(at_cut.groupBy(stratum).agg(
+    return durable(at_cut.groupBy(stratum).agg(
         *[F.max(F.when(F.col("_cut") == name, F.col("_h"))).alias(f"cut_{name}") for name, _ in cuts]))
 
 

@@ -64,26 +64,6 @@ def durable(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-SMALL_ROWS = 10_000
-
-
-def rows_if_small(df: DataFrame, limit: int = SMALL_ROWS) -> list[Row] | None:
-    """The rows of a table proven to have at most ``limit`` of them, else ``None``."""
-    rows = df.limit(limit + 1).collect()
-    return rows if len(rows) <= limit else None
-
-
-def broadcast_if_small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
-    """Freeze a table expected to be small, with a broadcast hint only if its row count proves it.
-
-    Beyond ``limit`` rows the table is written out and the planner joins it by shuffling.
-    """
-    rows = rows_if_small(df, limit)
-    if rows is None:
-        return durable(df)
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
-
-
 def release_scratch(spark: SparkSession) -> None:
     """Delete this application's scratch tables (call when their readers are done)."""
     jvm = spark.sparkContext._jvm

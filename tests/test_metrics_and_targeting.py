@@ -79,7 +79,7 @@ def test_threshold_is_inclusive_and_matrix_is_complete(spark):
 
 
 def brute_sweep(rows):
-    grid = [0.05 + i * 0.005 for i in range(181)]
+    grid = [float(np.linspace(0.05, 0.95, 181)[i]) for i in range(181)]
     out = []
     for t in grid:
         tp = sum(y for y, p in rows if p >= t)

@@ -32,10 +32,8 @@ def test_running_sums_are_split_over_partitions(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
-@pytest.mark.parametrize("small", [10 ** 9, 50])
-def test_exact_quantiles(spark, monkeypatch, small):
-    """Both the direct path and the bracketed path give numpy's linear quantiles."""
-    monkeypatch.setattr(quantiles, "_SMALL", small)
+def test_exact_quantiles(spark):
+    """The bracketed path gives numpy's linear quantiles."""
     rng = np.random.default_rng(3)
     x = rng.normal(size=5000)
     ties = rng.integers(0, 4, size=5000).astype(float)
@@ -49,15 +47,14 @@ def test_exact_quantiles(spark, monkeypatch, small):
 
 
 def test_bracket_that_misses_is_widened(spark, monkeypatch):
-    monkeypatch.setattr(quantiles, "_SMALL", 10)
     real = quantiles._select_ranks
     calls = []
 
-    def narrow(df, targets, brackets, counts):
+    def narrow(df, targets, brackets):
         calls.append(dict(brackets))
         if len(calls) == 1:
             brackets = {k: (1e9, 2e9) for k in brackets}
-        return real(df, targets, brackets, counts)
+        return real(df, targets, brackets)
 
     monkeypatch.setattr(quantiles, "_select_ranks", narrow)
     df = spark.range(101).select(F.col("id").cast("double").alias("x"))

@@ -91,8 +91,7 @@ def test_codes_unknown_and_null(spark):
     assert labels == {"a": 0, "nan": 1, "z": 2}
 
 
-def test_large_lookups_give_the_same_codes(spark, monkeypatch):
-    monkeypatch.setattr(prep, "rows_if_small", lambda df: None)
+def test_lookups_of_several_columns(spark):
     train = spark.createDataFrame([("b", "x"), ("a", "y")], "c string, d string")
     codes = prep.fit_codes(train, ["c", "d"])
     assert [(r.c_code, r.d_code) for r in prep.apply_codes(train, codes, ["c", "d"]).orderBy("c").collect()] == [(0, 1), (1, 0)]
