@@ -36,7 +36,6 @@ _WINDOW_MEANS = (
     ("ovrrev_Mean", 180, 6.0, "surcharge"),
     ("ovrmou_Mean", 180, 6.0, "overuse"),
 )
-_MEASURES = ("revenue", "usage", "charge", "surcharge", "overuse")
 _COUNTS = {
     "attempt": "true",
     "complete": "finished",
@@ -91,12 +90,14 @@ def _label_and_tenure(orders: DataFrame) -> DataFrame:
     )
 
 
-def _order_facts(lines: DataFrame) -> DataFrame:
-    """Per order: line counts and exact sums. Runs before the join with orders, so that join
-    moves one row per order and reuses this grouping's partitioning."""
+def _customer_facts(lines: DataFrame) -> DataFrame:
+    """Per customer: line counts, lifetime totals and windowed sums of lines with their order's age and part.
+
+    A customer's lines are summed in each task before they are moved, however many there are.
+    """
     net = "l_extendedprice * (1D - l_discount)"
     facts = lines.selectExpr(
-        "l_orderkey", "p_retailprice", "p_size <= 25 as voice",
+        "o_custkey", "age", "p_retailprice", "p_size <= 25 as voice",
         "l_returnflag = 'R' as returned", "l_returnflag = 'A' as accepted", "l_returnflag = 'N' as open",
         "l_linestatus = 'F' as finished", "l_linestatus = 'O' as pending",
         f"datediff(l_shipdate, date'{PEAK_ORIGIN}') % 7 < 5 as peak",
@@ -106,22 +107,13 @@ def _order_facts(lines: DataFrame) -> DataFrame:
         f"{fixed4_sql(f'{net} * l_tax')} as surcharge",
         f"{fixed4_sql('greatest(l_quantity - 40D, 0D)')} as overuse",
     )
-    return facts.groupBy("l_orderkey").agg(
+    return facts.groupBy("o_custkey").agg(
         *[F.expr(f"count_if({condition}) as {name}") for name, condition in _COUNTS.items()],
-        *[F.expr(f"sum({m}) as {m}") for m in _MEASURES],
-        F.expr("max(p_retailprice) as hnd_price"),
-    )
-
-
-def _customer_facts(order_facts: DataFrame) -> DataFrame:
-    """Per customer: line counts, lifetime totals and windowed sums."""
-    return order_facts.groupBy("o_custkey").agg(
-        *[F.expr(f"sum({c}) as {c}") for c in _COUNTS],
         *[F.expr(f"sum(case when age <= {days} then {m} else 0 end) as {name}")
           for name, days, _, m in _WINDOW_MEANS],
         F.expr("sum(revenue) as totrev"),
         F.expr("sum(usage) as totmou"),
-        F.expr("max(hnd_price) as hnd_price"),
+        F.expr("max(p_retailprice) as hnd_price"),
     )
 
 
@@ -161,9 +153,9 @@ def record_table(spark: SparkSession, folder: str, observed: str = OBSERVED,
     part = table(spark, folder, "part")
     lineitem = table(spark, folder, "lineitem")
     of_order = F.col("l_orderkey") == F.col("o_orderkey")
-    order_facts = _order_facts(lineitem.join(part, F.col("l_partkey") == F.col("p_partkey")))
-    facts = _customer_facts(order_facts.join(past, of_order))
+    # Orders after the observation date go before anything else is looked up.
     pairs = lineitem.join(past, of_order)
+    facts = _customer_facts(pairs.join(part, F.col("l_partkey") == F.col("p_partkey")))
     care = (
         table(spark, folder, "events")
         .filter(F.col("event_type") == "error")
