@@ -20,7 +20,7 @@ from holdfast.functions.scalars import hash_fraction, numeric_columns, text_colu
 from holdfast.operators import metrics, prep
 from holdfast.operators.stages import CategoryFill, MedianImputer, RareCategoryGrouper, Standardiser
 from holdfast.schema import ID, TARGET
-from holdfast.session import durable
+from holdfast.session import durable, frees_scratch
 
 SEED = 42
 RESERVED = (ID, TARGET, "part", "_weight", "_holdout", "_label")
@@ -182,6 +182,7 @@ def _fit_trees(fitting: DataFrame, training: DataFrame, classifier, numeric: lis
     return FittedModel(PipelineModel([*stages, fit(classifier, prepared)]), names)
 
 
+@frees_scratch
 def fit_forest(train: DataFrame, trees: int = FOREST_TREES, depth: int = FOREST_DEPTH,
                leave_out: Sequence[str] = ()) -> FittedModel:
     """Random forest with balanced classes and square-root feature subsets."""
@@ -193,6 +194,7 @@ def fit_forest(train: DataFrame, trees: int = FOREST_TREES, depth: int = FOREST_
     return _fit_trees(weighted, weighted, classifier, numeric, categorical)
 
 
+@frees_scratch
 def fit_boosting(train: DataFrame, settings: Boosting, validation: DataFrame | None = None,
                  holdout: float = 0.15, leave_out: Sequence[str] = ()) -> FittedModel:
     """Gradient-boosted trees with the number of rounds that is best on held-out rows.

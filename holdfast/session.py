@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import wraps
 
-from pyspark.sql import DataFrame, Row, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_SCRATCH: dict[str, str] = {}
 
@@ -53,6 +56,34 @@ def new_scratch_path(spark: SparkSession) -> str:
     return f"{scratch_root(spark)}/{uuid.uuid4().hex}"
 
 
+_OPEN = threading.local()
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete, at the end, the tables that :func:`durable` writes inside on this thread.
+
+    For steps whose result does not read them any more: fitted models, written files.
+    """
+    scopes = _OPEN.__dict__.setdefault("scopes", [])
+    scopes.append([])
+    try:
+        yield
+    finally:
+        for path in scopes.pop():
+            _delete(spark, path)
+
+
+def frees_scratch(step: Callable) -> Callable:
+    """Run ``step(df, ...)`` in a :func:`scratch_scope`."""
+    @wraps(step)
+    def run(df: DataFrame, *args, **kwargs):
+        with scratch_scope(df.sparkSession):
+            return step(df, *args, **kwargs)
+
+    return run
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared scratch folder and continue from the written table.
 
@@ -60,12 +91,17 @@ def durable(df: DataFrame) -> DataFrame:
     loss of executors. The result is columnar, so later passes read only what they use.
     """
     path = new_scratch_path(df.sparkSession)
+    if scopes := getattr(_OPEN, "scopes", None):
+        scopes[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def release_scratch(spark: SparkSession) -> None:
     """Delete this application's scratch tables (call when their readers are done)."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    _delete(spark, scratch_root(spark))
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

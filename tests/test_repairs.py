@@ -1,5 +1,7 @@
 """Cases that earlier versions got wrong: grids, exact ids, one class only, boosting that trains."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.errors import PySparkException
@@ -9,7 +11,7 @@ from holdfast.functions.scalars import half_up, half_up_sql
 from holdfast.operators import blend, campaign, metrics, models, split
 from holdfast.operators.models import Boosting
 from holdfast.schema import ID, TARGET
-from holdfast.session import durable
+from holdfast.session import durable, scratch_root
 from holdfast.sources.csv import load_customers, read_table
 
 
@@ -117,3 +119,13 @@ def test_logistic_without_text_and_with_an_empty_column(planted):
     train = planted.withColumn("nothing", F.lit(None).cast("double"))
     model = models.fit_logistic(train, iterations=5)
     assert model.score(train).where("p between 0 and 1").count() == 4000 and "numeric__nothing" not in model.inputs
+
+
+def test_fits_leave_no_tables(spark, planted):
+    def left():
+        return len(os.listdir(scratch_root(spark).removeprefix("file:")))
+
+    before = left()
+    models.fit_boosting(planted, Boosting(2, 0.2, 2))
+    models.fit_forest(planted, 2, 2)
+    assert left() == before
