@@ -63,5 +63,7 @@ def map_texts(docs: DataFrame, keep: list[str | Column], text_col: str, schema:
         for batch in batches:
             for part in slices(batch, "t"):
                 yield work(part, [x or b"" for x in part.column("t").to_pylist()])
+        # The worker goes on to other tasks; what this one has freed is given back.
+        pa.default_memory_pool().release_unused()
 
     return source.mapInArrow(run, schema)

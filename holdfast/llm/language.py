@@ -38,7 +38,7 @@ MARGIN = 1.25
 SHARPNESS = tuple(float(2**k) for k in range(-1, 10))
 #: The primes of XXH64 (fixed values).
 _PRIMES = (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
-GRAMS_HELD = 1 << 20
+GRAMS_HELD = 1 << 18
 
 
 def fold(identity: Column) -> Column:
@@ -227,7 +227,7 @@ class _Scorer:
         self._forget()
 
     def _forget(self) -> None:
-        self.table, self.logs = KeyTable(16), np.zeros((0, len(self.model.languages)))
+        self.table, self.logs = KeyTable(16), np.zeros((0, len(self.model.languages)), np.float32)
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy in nats per symbol for each text and language, and the number of symbols; the
@@ -239,7 +239,7 @@ class _Scorer:
         new = np.unique(gram[at < 0])
         if len(new):
             self.table.add(new, np.arange(len(self.logs), len(self.logs) + len(new)))
-            self.logs = np.concatenate([self.logs, self.model.log_probs(new)])
+            self.logs = np.concatenate([self.logs, self.model.log_probs(new).astype(np.float32)])
             at = self.table.find(gram)
         sizes = np.bincount(owner, minlength=len(texts))
         sums = np.stack([np.bincount(owner, self.logs[at, k], len(texts)) for k in range(self.logs.shape[1])], axis=1)
