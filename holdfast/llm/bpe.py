@@ -32,7 +32,7 @@ from holdfast.llm.lookup import KeyTable, SpanHash
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 SHORT = 64
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 480_000
 _NONE = np.int32(2**31 - 1)
 #: Beyond these characters the classes and case of a letter depend on the Unicode version.
 _LATIN_END = "\u024f"
