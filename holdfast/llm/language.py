@@ -1,14 +1,14 @@
 """Language identification by interpolated Kneser-Ney character models.
 
-A text is lower-cased and written as a sequence of symbols: one of 4,096 numbers for each letter (its code
-point, or a hash of it from 2,048 on) and 0 for each run of anything else. Every language has a model of
+A text is lower-cased and written as a sequence of symbols: the UTF-16 code units of each letter (one, or
+two from U+10000 on) and 0 for each run of anything else. Every language has a model of
 ``ORDER`` symbols. Its highest order uses counts, the lower ones the number of different symbols that
 precede a gram, all with absolute discounting. All n-grams of all labelled documents are counted.
 
-The models lie side by side in arrays sorted by a hash of the gram, one row of ``float32`` for all
-languages; ``CELLS`` bounds the cells of one order, so that the arrays' size does not grow with the corpus
-(below that bound grams practically never share a row, above it they begin to). A document's language is
-that of the lowest cross-entropy per symbol. Documents whose number ``fold`` is 1 take no part in the
+The models lie side by side in arrays sorted by the gram itself, which is 64 bits, one row of ``float32``
+for all languages; no two grams share a row. Models whose highest order has more than ``CELLS`` cells (grams
+times languages) are not collected: they stay tables, and the grams of the documents are
+joined to them, with the same results. A document's language is that of the lowest cross-entropy per symbol. Documents whose number ``fold`` is 1 take no part in the
 counts; they set the sharpness of the score and the cross-entropy beyond which a text is rejected.
 """
 
@@ -27,17 +27,16 @@ from holdfast.llm.lookup import KeyTable
 from holdfast.session import durable
 
 ORDER = 4
-BITS = 12
+BITS = 16
 SYMBOLS = 1 << BITS
-CELLS = 1 << 24
+#: Cells of the highest order (no other order has more) up to which workers hold the models as arrays.
+CELLS = 1 << 22
 FOLDS = 5
 #: A text is rejected beyond ``MARGIN`` times the largest excess over the mean, in spreads, of a labelled
 #: calibration document that is predicted rightly, or of ``SPREADS`` if that is more.
 SPREADS = 8.0
 MARGIN = 1.25
 SHARPNESS = tuple(float(2**k) for k in range(-1, 10))
-#: The primes of XXH64 (fixed values).
-_PRIMES = (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
 GRAMS_HELD = 1 << 18
 
 
@@ -50,25 +49,33 @@ class Symbols:
     """Texts as symbol sequences."""
 
     def __init__(self):
-        self.table = np.full(0x110000, -1, np.int16)
+        self.letter = np.full(0x110000, -1, np.int8)
 
     def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of all texts, each beginning with a 0, and the place where each text begins."""
         listed = [t.decode("utf-8", "replace").lower() for t in texts]
         joined = "\0" + "\0\0".join([*listed, ""]) if listed else ""
         points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-        symbols = self.table[points]
-        if (new := symbols < 0).any():
+        letter = self.letter[points]
+        if (new := letter < 0).any():
             for p in np.unique(points[new]).tolist():
-                letter = chr(p).isalpha()
-                self.table[p] = (p if p < SYMBOLS // 2 else SYMBOLS // 2 + p * 2654435761 % 2**32 % (SYMBOLS // 2)) if letter else 0
-            symbols = self.table[points]
+                self.letter[p] = chr(p).isalpha()
+            letter = self.letter[points]
+        symbols = np.where(letter > 0, points, np.uint32(0))
         keep = np.ones(len(symbols), bool)
         keep[1:] = (symbols[1:] > 0) | (symbols[:-1] > 0)
         begins = np.cumsum([0, *(len(t) + 2 for t in listed)])[:-1]
         keep[begins] = True
-        place = np.cumsum(keep) - 1
-        return symbols[keep].astype(np.uint64), place[begins]
+        place = (np.cumsum(keep) - 1)[begins]
+        symbols = symbols[keep]
+        if (long := symbols >= SYMBOLS).any():
+            ends = np.cumsum(1 + long)
+            place = (ends - 1 - long)[place]
+            low = ends[long] - 1
+            over = symbols[long] - np.uint32(SYMBOLS)
+            symbols = np.repeat(symbols, 1 + long)
+            symbols[low - 1], symbols[low] = 0xD800 + (over >> 10), 0xDC00 + (over & 0x3FF)
+        return symbols.astype(np.uint64), place
 
     def grams(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The gram that ends at each symbol after a text's first, its text's number, and its rank in it.
@@ -92,57 +99,49 @@ def count_grams(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     source = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).cast("binary").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols, names = Symbols(), {}
-        state = {"table": KeyTable(16), "counts": np.zeros(0, np.int64), "keys": np.zeros(0, np.uint64)}
+        symbols = Symbols()
+        held: dict[str, tuple[KeyTable, np.ndarray, np.ndarray]] = {}
 
         def emit() -> pa.RecordBatch:
-            keys, listed = state["keys"], np.array(list(names), object)
-            lang = listed[(keys >> np.uint64(BITS * ORDER)).astype(np.int64)] if len(keys) else []
-            out = pa.RecordBatch.from_arrays(
-                [pa.array(lang, pa.string()), pa.array((keys & np.uint64((1 << BITS * ORDER) - 1)).view(np.int64)),
-                 pa.array(state["counts"])], ["lang", "gram", "n"])
-            state.update(table=KeyTable(16), counts=np.zeros(0, np.int64), keys=np.zeros(0, np.uint64))
-            return out
+            keys = np.concatenate([np.zeros(0, np.uint64), *(k for _, k, _ in held.values())])
+            counts = np.concatenate([np.zeros(0, np.int64), *(c for _, _, c in held.values())])
+            lang = np.repeat(np.array(list(held), object), [len(k) for _, k, _ in held.values()]) if held else []
+            held.clear()
+            return pa.RecordBatch.from_arrays(
+                [pa.array(lang, pa.string()), pa.array(keys.view(np.int64)), pa.array(counts)], ["lang", "gram", "n"])
 
         for batch in batches:
             for part in slices(batch, "t"):
-                lang = np.array([names.setdefault(x, len(names)) for x in part.column("lang").to_pylist()], np.uint64)
+                names, lang = np.unique(np.array(part.column("lang").to_pylist(), object), return_inverse=True)
                 gram, owner, _ = symbols.grams([x or b"" for x in part.column("t").to_pylist()])
-                key = gram | lang[owner] << np.uint64(BITS * ORDER)
-                at = state["table"].find(key)
-                new = np.unique(key[at < 0])
-                state["table"].add(new, np.arange(len(state["keys"]), len(state["keys"]) + len(new)))
-                state["keys"] = np.concatenate([state["keys"], new])
-                at = state["table"].find(key) if len(new) else at
-                state["counts"] = np.pad(state["counts"], (0, len(new))) + np.bincount(at, minlength=len(state["keys"]))
-                if len(state["keys"]) > GRAMS_HELD:
+                for i, name in enumerate(names.tolist()):
+                    own = gram[lang[owner] == i]
+                    table, keys, counts = held.get(name) or (KeyTable(10), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+                    at = table.find(own)
+                    new = np.unique(own[at < 0])
+                    if len(new):
+                        table.add(new, np.arange(len(keys), len(keys) + len(new)))
+                        keys = np.concatenate([keys, new])
+                        at = table.find(own)
+                    held[name] = table, keys, np.pad(counts, (0, len(new))) + np.bincount(at, minlength=len(keys))
+                if sum(len(k) for _, k, _ in held.values()) > GRAMS_HELD:
                     yield emit()
         yield emit()
 
     return source.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def _slot(gram: np.ndarray, bits: int) -> np.ndarray:
-    """The upper bits of Spark's ``xxhash64`` of each gram (XXH64 of eight bytes, seed 42)."""
-    one, two, three, four, five = (np.uint64(x) for x in _PRIMES)
-    rotated = lambda x, k: x << np.uint64(k) | x >> np.uint64(64 - k)
-    h = np.uint64((42 + _PRIMES[4] + 8) % 2**64) ^ rotated(gram * two, 31) * one
-    h = rotated(h, 27) * one + four
-    h = (h ^ h >> np.uint64(33)) * two
-    h = (h ^ h >> np.uint64(29)) * three
-    return ((h ^ h >> np.uint64(32)) >> np.uint64(64 - bits)).astype(np.uint32)
-
-
 @dataclass
 class Model:
-    """Sorted hash arrays of all languages. ``probs[k]``: discounted probabilities of grams of ``k + 1``
-    symbols; ``backs[k]``: weight of the next lower order after a history of ``k + 1`` symbols."""
+    """Sorted arrays of all languages. ``probs[k]``: discounted probabilities of grams of ``k + 1``
+    symbols; ``backs[k]``: weight of the next lower order after a history of ``k + 1`` symbols. With
+    ``joined`` both are tables (see ``_rows``) instead of arrays."""
 
     languages: list[str]
-    bits: int
-    probs: list[tuple[np.ndarray, np.ndarray]]
-    backs: list[tuple[np.ndarray, np.ndarray]]
+    probs: list[tuple[np.ndarray, np.ndarray]] | list[DataFrame]
+    backs: list[tuple[np.ndarray, np.ndarray]] | list[DataFrame]
     base: np.ndarray
+    joined: bool = False
     sharpness: float = 1.0
     #: By language: mean cross-entropy, its variance as a + b / symbols, spreads above the mean allowed.
     limits: dict[int, tuple[float, float, float, float]] = field(default_factory=dict)
@@ -154,12 +153,11 @@ class Model:
         return self._kept
 
     def _find(self, table: tuple[np.ndarray, np.ndarray], grams: np.ndarray, missing: float) -> np.ndarray:
-        slots, rows = table
+        keys, rows = table
         out = np.full((len(grams), len(self.languages)), missing, np.float64)
-        if len(slots):
-            slot = _slot(grams, self.bits)
-            at = np.minimum(np.searchsorted(slots, slot), len(slots) - 1)
-            hit = slots[at] == slot
+        if len(keys):
+            at = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
+            hit = keys[at] == grams
             out[hit] = rows[at[hit]]
         return out
 
@@ -174,17 +172,26 @@ class Model:
         return np.log(p)
 
 
-def _tables(frame: DataFrame, languages: list[str], bits: int, value: str, missing: float) -> tuple[np.ndarray, np.ndarray]:
-    """Collect (lang, gram, value); at most ``CELLS`` cells. Grams that share a slot: the larger value."""
-    numbers = F.create_map(*[x for i, name in enumerate(languages) for x in (F.lit(name), F.lit(i))])
-    slot = F.shiftrightunsigned(F.xxhash64("gram"), 64 - bits)
-    rows = frame.select(numbers[F.col("lang")].alias("l"), slot.alias("slot"), F.col(value).alias("v"))
-    got = rows.groupBy("slot", "l").agg(F.max("v").alias("v")).toArrow()
-    slot, lang, v = (got.column(c).to_numpy() for c in ("slot", "l", "v"))
-    slots, at = np.unique(slot.astype(np.uint32), return_inverse=True)
-    out = np.full((len(slots), len(languages)), missing, np.float32)
+def _numbers(languages: list[str], lang_col: str = "lang") -> Column:
+    return F.create_map(*[x for i, name in enumerate(languages) for x in (F.lit(name), F.lit(i))])[F.col(lang_col)]
+
+
+def _tables(frame: DataFrame, languages: list[str], value: str, missing: float) -> tuple[np.ndarray, np.ndarray]:
+    """Collect (lang, gram, value), one row for each gram in the order of the unsigned grams."""
+    got = frame.select(_numbers(languages).alias("l"), "gram", F.col(value).cast("float").alias("v")).toArrow()
+    gram, lang, v = (got.column(c).to_numpy() for c in ("gram", "l", "v"))
+    keys, at = np.unique(gram.astype(np.int64).view(np.uint64), return_inverse=True)
+    out = np.full((len(keys), len(languages)), missing, np.float32)
     out[at, lang] = v
-    return slots, out
+    return keys, out
+
+
+def _rows(frame: DataFrame, languages: list[str], value: str, missing: float) -> DataFrame:
+    """(``gram``, ``v``): the values of all languages as an array, one row for each gram."""
+    listed = frame.select("gram", F.struct(_numbers(languages).alias("l"), F.col(value).cast("float").alias("v")).alias("e"))
+    held = listed.groupBy("gram").agg(F.map_from_entries(F.collect_list("e")).alias("m"))
+    every = F.sequence(F.lit(0), F.lit(len(languages) - 1))
+    return durable(held.select("gram", F.transform(every, lambda i: F.coalesce(F.try_element_at("m", i), F.lit(missing).cast("float"))).alias("v")))
 
 
 def fit_models(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model | None:
@@ -196,7 +203,8 @@ def fit_models(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
     languages = sorted(r["lang"] for r in grams.select("lang").distinct().collect())
     if not languages:
         return None
-    bits = max(8, (CELLS // len(languages)).bit_length() - 1)
+    joined = grams.select("gram").distinct().count() * len(languages) > CELLS
+    tables = _rows if joined else _tables
     probs, backs, base = [], [], None
     for order in range(ORDER, 0, -1):
         ones = grams.groupBy("lang").agg(F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("one"),
@@ -206,17 +214,17 @@ def fit_models(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
         of = F.create_map(*[x for name in languages for x in (F.lit(name), F.lit(float(discounts[name])))])[F.col("lang")]
         history = F.shiftrightunsigned("gram", BITS) if order > 1 else F.lit(0).cast("long")
         sums = grams.groupBy("lang", history.alias("history")).agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds"))
-        joined = grams.withColumn("history", history).join(sums, ["lang", "history"])
-        probs.insert(0, _tables(joined.withColumn("p", F.greatest(F.col("n") - of, F.lit(0.0)) / F.col("all")), languages, bits, "p", 0.0))
+        both = grams.withColumn("history", history).join(sums, ["lang", "history"])
+        probs.insert(0, tables(both.withColumn("p", F.greatest(F.col("n") - of, F.lit(0.0)) / F.col("all")), languages, "p", 0.0))
         weight = sums.select("lang", F.col("history").alias("gram"), (of * F.col("kinds") / F.col("all")).alias("w"))
         if order > 1:
-            backs.insert(0, _tables(weight, languages, bits, "w", 1.0))
+            backs.insert(0, tables(weight, languages, "w", 1.0))
             grams = durable(grams.groupBy("lang", F.col("gram").bitwiseAND(F.lit((1 << BITS * (order - 1)) - 1)).alias("gram"))
                             .agg(F.count(F.lit(1)).alias("n")))
         else:
             weights = {r["lang"]: r["w"] for r in weight.collect()}
             base = np.array([weights[name] / SYMBOLS for name in languages])
-    return Model(languages, bits, probs, backs, base)
+    return Model(languages, probs, backs, base, joined)
 
 
 class _Scorer:
@@ -250,6 +258,8 @@ class _Scorer:
 def _scored(docs: DataFrame, keep: dict[str, Column], text_col: str, model: Model, with_text: bool = False) -> DataFrame:
     """Columns ``keep`` with ``best``, ``ce``, ``n`` and ``ces``: index and cross-entropy of the best
     language, number of symbols, all cross-entropies; with ``with_text`` the text as ``t`` too."""
+    if model.joined:
+        return _scored_joined(docs, keep, text_col, model, with_text)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kinds = docs.select(*[c.alias(f"k{i}") for i, c in enumerate(keep.values())]).schema.fields
 
@@ -272,12 +282,62 @@ def _scored(docs: DataFrame, keep: dict[str, Column], text_col: str, model: Mode
     return got.select(*[F.col(f.name).alias(name) for f, name in zip(kinds, keep)], *["t"] * with_text, "best", "ce", "n", "ces")
 
 
+def _gram_logs(grams: DataFrame, model: Model) -> DataFrame:
+    """(``gram``, ``logs``) for different grams (``gram``): what ``Model.log_probs`` gives, by joins."""
+    rows = grams.withColumn("p", F.array(*map(F.lit, map(float, model.base))))
+
+    def joined(rows: DataFrame, table: DataFrame, key: Column, name: str) -> DataFrame:
+        of = table.select(F.col("gram").alias(f"_{name}"), F.col("v").alias(name))
+        return rows.withColumn("_key", key).join(of, F.col("_key") == F.col(f"_{name}"), "left").drop("_key", f"_{name}")
+
+    for k in range(ORDER):
+        gram = F.col("gram") if k == ORDER - 1 else F.col("gram").bitwiseAND(F.lit((1 << BITS * (k + 1)) - 1))
+        if k:
+            rows = joined(rows, model.backs[k - 1], F.shiftrightunsigned(gram, BITS), "w")
+            rows = rows.withColumn("p", F.transform("p", lambda x, i: x * F.coalesce(F.get("w", i), F.lit(1.0)))).drop("w")
+        rows = joined(rows, model.probs[k], gram, "d")
+        rows = rows.withColumn("p", F.transform("p", lambda x, i: x + F.coalesce(F.get("d", i), F.lit(0.0)))).drop("d")
+    return rows.select("gram", F.transform("p", lambda x: F.log(x).cast("float")).alias("logs"))
+
+
+def _scored_joined(docs: DataFrame, keep: dict[str, Column], text_col: str, model: Model, with_text: bool) -> DataFrame:
+    """``_scored`` with a model of tables. Each document's grams are counted, joined to their logarithms and
+    summed as decimals, so that the order of the rows does not matter."""
+    kept = docs.select(*[c.alias(f"k{i}") for i, c in enumerate(keep.values())], F.col(text_col).cast("binary").alias("t"))
+    kept = durable(kept.withColumn("_row", F.monotonically_increasing_id()))
+
+    def make():
+        symbols = Symbols()
+
+        def work(part: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
+            gram, owner, _ = symbols.grams(texts)
+            kinds, at = np.unique(gram, return_inverse=True)
+            pairs, n = np.unique(owner * max(len(kinds), 1) + at, return_counts=True)
+            row = part.column("k0").to_numpy()[pairs // max(len(kinds), 1)]
+            return pa.RecordBatch.from_arrays([pa.array(row), pa.array(kinds[pairs % max(len(kinds), 1)].view(np.int64)), pa.array(n.astype(np.int64))],
+                                              ["row", "gram", "n"])
+
+        return work
+
+    counts = durable(map_texts(kept, ["_row"], "t", "row long, gram long, n long", make))
+    logs = _gram_logs(counts.select("gram").distinct(), model)
+    each = range(len(model.languages))
+    letters = F.when(F.col("gram").bitwiseAND(F.lit(SYMBOLS - 1)) > 0, F.col("n")).otherwise(0)
+    sums = counts.join(logs, "gram").groupBy("row").agg(
+        F.sum("n").alias("n"), F.sum(letters).alias("letters"),
+        *[F.sum(F.col("n") * F.get("logs", F.lit(i)).cast("decimal(18,12)")).cast("double").alias(f"s{i}") for i in each])
+    sums = sums.select("row", F.when(F.col("letters") > 0, F.col("n")).otherwise(0).alias("n"), F.array(*[-F.col(f"s{i}") / F.col("n") for i in each]).alias("ces"))
+    got = kept.join(sums, F.col("_row") == F.col("row"), "left").withColumn("ces", F.coalesce("ces", F.array(*[F.lit(0.0)] * len(each))))
+    best = (F.array_position("ces", F.array_min("ces")) - 1).cast("int")
+    return got.select(*[F.col(f"k{i}").alias(name) for i, name in enumerate(keep)], *["t"] * with_text, best.alias("best"),
+                      F.array_min("ces").alias("ce"), F.coalesce("n", F.lit(0)).cast("long").alias("n"), "ces")
+
+
 def calibrate(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang") -> Model:
     """Set sharpness, and each language's limit of cross-entropy, from labelled documents that
     took no part in the counts. Without any, the score's sharpness stays 1 and nothing is rejected."""
     labelled = docs.where(F.col(lang_col).isNotNull())
-    numbers = F.create_map(*[x for i, name in enumerate(model.languages) for x in (F.lit(name), F.lit(i))])
-    got = durable(_scored(labelled, {"row": numbers[F.col(lang_col)]}, text_col, model).where("n > 0 and row is not null"))
+    got = durable(_scored(labelled, {"row": _numbers(model.languages, lang_col)}, text_col, model).where("n > 0 and row is not null"))
     losses = [F.avg(F.expr(f"ln(aggregate(ces, 0D, (s, c) -> s + exp({b}D * (ces[row] - c))))")).alias(f"l{i}") for i, b in enumerate(SHARPNESS)]
     loss = got.agg(*losses).first()
     if loss["l0"] is not None:

@@ -104,3 +104,36 @@ def test_awkward_rows(awkward, empty):
     assert language.identify(empty).count() == 0
     nothing = language.identify(awkward.withColumn("lang", F.lit(None).cast("string"))).collect()
     assert {(r.lang_pred, r.rejected) for r in nothing} == {("und", True)}
+
+
+def test_every_gram_has_its_own_probability(spark):
+    """Ten thousand grams of a hundred languages: no unseen gram gets the probability of another."""
+    rows = [(i, "".join(chr(0x4E00 + (i * 101 + j * 7919) % 20000) for j in range(100)), f"l{i:03}") for i in range(100)]
+    model = language.fit_models(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    seen, _, _ = language.Symbols().grams([t.encode() for _, t, _ in rows])
+    assert np.array_equal(model.probs[-1][0], np.unique(seen))
+    other = np.setdiff1d(np.random.default_rng(2).integers(0, 1 << 63, 200_000, np.int64).view(np.uint64), seen)
+    assert not model._find(model.probs[-1], other, 0.0).any()
+
+
+def test_letters_beyond_the_latin_ones_stay_apart():
+    texts = [chr(c).encode() for c in (*range(0x4E00, 0x9FFF), 0x20000, 0x20001, 0x2A6D0)]
+    symbols, begins = language.Symbols().of(texts)
+    ends = [*begins[1:], len(symbols)]
+    assert len({tuple(symbols[b:e].tolist()) for b, e in zip(begins, ends)}) == len(texts)
+    grams, owner, _ = language.Symbols().grams(["a𠀀b".encode(), "a𠀁b".encode(), b"ab"])
+    assert np.bincount(owner).tolist() == [5, 5, 3] and grams[1] >> 16 == grams[6] >> 16 and grams[2] != grams[7]
+
+
+def test_models_beyond_the_workers_give_the_same(documents, awkward, monkeypatch):
+    held = {r.row.doc_id: r for r in language.identify(documents).collect()}
+    awkwardly = sorted(language.identify(awkward, keep=["doc_id"]).collect(), key=str)
+    monkeypatch.setattr(language, "CELLS", 0)
+    rows = language.identify(documents).collect()
+    assert len(rows) == len(held)
+    for r in rows:
+        want = held[r.row.doc_id]
+        assert (r.row, r.lang_pred, r.rejected) == (want.row, want.lang_pred, want.rejected)
+        assert [r.score, r.cross_entropy] == pytest.approx([want.score, want.cross_entropy], rel=1e-6)
+    got = sorted(language.identify(awkward, keep=["doc_id"]).collect(), key=str)
+    assert [(r.row, r.lang_pred, r.rejected) for r in got] == [(r.row, r.lang_pred, r.rejected) for r in awkwardly]
