@@ -9,7 +9,8 @@ The models lie side by side in arrays sorted by the gram itself, which is 64 bit
 for all languages; no two grams share a row. Models whose highest order has more than ``CELLS`` cells (grams
 times languages) are not collected: they stay tables, and the grams of the documents are
 joined to them, with the same results. A document's language is that of the lowest cross-entropy per symbol. Documents whose number ``fold`` is 1 take no part in the
-counts; they set the sharpness of the score and the cross-entropy beyond which a text is rejected.
+counts; they set the sharpness of the score and the cross-entropy beyond which a text is rejected, a fixed
+quantile of theirs (see ``QUANTILE``), so that single odd documents do not set it.
 """
 
 from __future__ import annotations
@@ -32,10 +33,11 @@ SYMBOLS = 1 << BITS
 #: Cells of the highest order (no other order has more) up to which workers hold the models as arrays.
 CELLS = 1 << 22
 FOLDS = 5
-#: A text is rejected beyond ``MARGIN`` times the largest excess over the mean, in spreads, of a labelled
-#: calibration document that is predicted rightly, or of ``SPREADS`` if that is more.
-SPREADS = 8.0
-MARGIN = 1.25
+#: Of each language's rightly predicted calibration documents the share ``QUANTILE`` with the smallest
+#: excesses over the mean, in spreads, sets mean, spread and limit; of three or more at least one is left
+#: out. A text is rejected beyond the largest excess among them, or beyond ``SPREADS`` if that is more.
+QUANTILE = 0.99
+SPREADS = 12.0
 SHARPNESS = tuple(float(2**k) for k in range(-1, 10))
 GRAMS_HELD = 1 << 18
 
@@ -342,18 +344,37 @@ def calibrate(docs: DataFrame, model: Model, text_col: str = "text", lang_col: s
     loss = got.agg(*losses).first()
     if loss["l0"] is not None:
         model.sharpness = SHARPNESS[int(np.argmin([loss[f"l{i}"] for i in range(len(SHARPNESS))]))]
-    # The variance of a document's cross-entropy is taken as a + b / n for n symbols, by least squares.
     right = got.where("best = row").select("best", "ce", (1 / F.col("n")).alias("x"))
+    counts = _fit_spreads(right, model)
+    # Fitted again without the worst, so that mislabelled or mixed documents set neither spread nor limit.
+    shares = [min(QUANTILE, (n - 1.5) / n) if (n := counts.get(i, 0)) > 2 else 1.0 for i in range(len(model.languages))]
+    cuts = right.groupBy("best").agg(F.percentile_approx(_excess(model), shares, 10_000).alias("cuts"))
+    cut = {r["best"]: r["cuts"][r["best"]] for r in cuts.collect()}
+    least = F.array(*[F.lit(cut.get(i, 0.0)) for i in range(len(model.languages))])
+    right = durable(right.where(_excess(model) <= F.get(least, F.col("best"))))
+    _fit_spreads(right, model)
+    for r in right.groupBy("best").agg(F.max(_excess(model)).alias("z")).collect():
+        model.limits[r["best"]] = (*model.limits[r["best"]][:3], max(r["z"], SPREADS))
+    return model
+
+
+def _fit_spreads(right: DataFrame, model: Model) -> dict[int, int]:
+    """Set each language's mean and variance from documents (``best``, ``ce``, ``x`` = 1 / symbols); how
+    many there are. The variance of a document's cross-entropy is taken as a + b x, by least squares."""
     means = right.groupBy("best").agg(F.avg("ce").alias("mean"))
     off = right.join(F.broadcast(means), "best").withColumn("y", F.pow(F.col("ce") - F.col("mean"), 2))
-    for r in off.groupBy("best").agg(F.first("mean").alias("mean"), F.avg("y").alias("y"), F.avg("x").alias("x"),
+    counts = {}
+    for r in off.groupBy("best").agg(F.first("mean").alias("mean"), F.avg("y").alias("y"), F.avg("x").alias("x"), F.count(F.lit(1)).alias("n"),
                                      F.covar_pop("x", "y").alias("xy"), F.var_pop("x").alias("xx")).collect():
         slope = max(r["xy"] / r["xx"], 0.0) if r["xx"] else 0.0
         model.limits[r["best"]] = (r["mean"], max(r["y"] - slope * r["x"], 1e-4), slope, 0.0)
+        counts[r["best"]] = r["n"]
+    return counts
+
+
+def _excess(model: Model) -> Column:
     spreads = _spreads(model)
-    for r in right.groupBy("best").agg(F.max(F.expr(f"(ce - {spreads}[best].m) / sqrt({spreads}[best].a + {spreads}[best].b * x)")).alias("z")).collect():
-        model.limits[r["best"]] = (*model.limits[r["best"]][:3], MARGIN * max(r["z"], SPREADS))
-    return model
+    return F.expr(f"(ce - {spreads}[best].m) / sqrt({spreads}[best].a + {spreads}[best].b * x)")
 
 
 def _spreads(model: Model) -> str:

@@ -137,3 +137,23 @@ def test_models_beyond_the_workers_give_the_same(documents, awkward, monkeypatch
         assert [r.score, r.cross_entropy] == pytest.approx([want.score, want.cross_entropy], rel=1e-6)
     got = sorted(language.identify(awkward, keep=["doc_id"]).collect(), key=str)
     assert [(r.row, r.lang_pred, r.rejected) for r in got] == [(r.row, r.lang_pred, r.rejected) for r in awkwardly]
+
+
+def test_a_mislabelled_document_does_not_lift_the_limit(spark, documents):
+    """One mixed document that is labelled and predicted 'en' leaves foreign text rejected."""
+    own = documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "lang")
+    model = language.fit_models(own.where(language.fold(F.col("doc_id")) > 1))
+    calibration = own.where(language.fold(F.col("doc_id")) == 1)
+    foreign = ("Het schip voer langzaam door de haven terwijl de mensen op de kade stonden te wachten op nieuws van hun familie overzee en "
+               "daarna gingen zij naar huis ")
+    noise = "xqzw vkjp zzqx wvkx qqjz "
+    mixed = spark.createDataFrame([("m", next(r.text for r in own.where("lang = 'en'").orderBy(F.length("text").desc()).limit(1).collect())[:1500]
+                                    + " " + noise * 60, "en")], own.schema)
+    language.calibrate(calibration, model)
+    en, clean = model.languages.index("en"), dict(model.limits)
+    language.calibrate(calibration.unionByName(mixed), model)
+    assert language.predict(mixed, model).first().lang_pred == "en"
+    texts = spark.createDataFrame([(1, foreign * 4), (2, noise * 40)], "doc_id long, text string")
+    got = language.predict(texts.unionByName(mixed.selectExpr("3L doc_id", "text")), model).collect()
+    assert all(r.rejected for r in got)
+    assert model.limits[en][3] == clean[en][3] == language.SPREADS
