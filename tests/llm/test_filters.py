@@ -57,6 +57,18 @@ def test_licence_lines_are_found(documents):
     assert all(r.doc_id == r.family for r in rows) and len(rows) >= 0.9 * sum(map(len, licences.TEMPLATES.values()))
 
 
+def test_licence_notice_inside_a_long_line(documents):
+    """A notice amid 5,000 words of one line is found wherever it stands; without one the line is not."""
+    model = licences.train(documents)
+    words = " ".join(r.text for r in documents.where("text is not null").orderBy("doc_id").collect())
+    words = re.sub("licen[sc]e\\w*|released", "", words, flags=re.I).split()[:5000]
+    notices = {f: s[1] for f, s in licences.TEMPLATES.items()}
+    rows = [(f"{f} {at}", " ".join([*words[:at], s, *words[at:]])) for f, s in notices.items() for at in (0, 2477, 5000)]
+    frame = documents.sparkSession.createDataFrame([*rows, ("none", " ".join(words))], "doc_id string, text string")
+    got = {(r.doc_id, r.family) for r in licences.scan(frame, model).where("confirmed").collect()}
+    assert len(words) == 5000 and got == {(i, i.split(" ")[0]) for i, _ in rows}
+
+
 def test_licence_scan_of_awkward_rows(awkward, empty):
     model = licences.train(awkward)
     assert licences.scan(awkward, model).count() == 0
