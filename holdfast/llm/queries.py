@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from holdfast.llm import (
+    alignment,
     arrow_sequences,
     bpe,
     language,
@@ -93,6 +94,11 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
                         "rules.n_repeat_words", "rules.base_failed", "kept", "rules.score")
 
 
+def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Alignment of every document's tokens by two tokenizers, and its links against the corpus'."""
+    return alignment.link_statistics(table(spark, folder, "documents"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -105,6 +111,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe": op8_bpe,
         "op9_language": op9_language,
         "op10_quality": op10_quality,
+        "op11_alignment": op11_alignment,
     }
 
 
