@@ -11,6 +11,7 @@ from holdfast.llm import (
     alignment,
     arrow_sequences,
     bpe,
+    decontamination,
     language,
     licences,
     mixing,
@@ -99,6 +100,13 @@ def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return alignment.link_statistics(table(spark, folder, "documents"))
 
 
+def op12_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark windows in every document."""
+    found = decontamination.find_contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("row.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -112,9 +120,11 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_language": op9_language,
         "op10_quality": op10_quality,
         "op11_alignment": op11_alignment,
+        "op12_decontamination": op12_decontamination,
     }
 
 
 def llm_oracle() -> dict[str, str]:
     """SQL of the queries that SQL can express."""
-    return {"op5_mixing": mixing.MIX_SQL, "op7_url_filter": url_filter.FILTER_SQL}
+    return {"op5_mixing": mixing.MIX_SQL, "op7_url_filter": url_filter.FILTER_SQL,
+            "op12_decontamination": decontamination.CONTAMINATION_SQL}
