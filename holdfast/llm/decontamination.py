@@ -184,16 +184,16 @@ def write_benchmark(items: DataFrame, item_col: str = "item_id", text_col: str =
     return folder if "://" in folder else f"file://{folder}", longest or 0
 
 
-def _blocks(folder: str) -> Iterator[Benchmark]:
+def _blocks(folder: str, block_words: int) -> Iterator[Benchmark]:
     store, path = pa.fs.FileSystem.from_uri(folder)
     names = sorted(f.path for f in store.get_file_info(pa.fs.FileSelector(path)) if f.base_name.endswith(".parquet"))
     held, n = [], 0
     for name in names:
         with store.open_input_file(name) as f:
-            for batch in pq.ParquetFile(f).iter_batches(batch_size=256):
+            for batch in pq.ParquetFile(f).iter_batches(batch_size=min(256, block_words)):
                 held.append(batch)
                 n += len(batch.column("words").flatten())
-                if n >= BLOCK_WORDS:
+                if n >= block_words:
                     yield _block(held)
                     held, n = [], 0
     if held:
@@ -208,24 +208,24 @@ def _block(held: list[pa.RecordBatch]) -> Benchmark:
 
 
 @lru_cache(maxsize=1)
-def _single_block(folder: str) -> Benchmark | None:
+def _single_block(folder: str, block_words: int) -> Benchmark | None:
     """The benchmark, if it is one block; a worker keeps it from task to task."""
-    blocks = _blocks(folder)
+    blocks = _blocks(folder, block_words)
     first = next(blocks, None)
     return first if first and next(blocks, None) is None else None
 
 
-def benchmark_blocks(folder: str) -> Iterator[Benchmark]:
-    single = _single_block(folder)
-    return iter([single]) if single else _blocks(folder)
+def benchmark_blocks(folder: str, block_words: int) -> Iterator[Benchmark]:
+    single = _single_block(folder, block_words)
+    return iter([single]) if single else _blocks(folder, block_words)
 
 
-def _contaminated(shard: SuffixArray, folder: str) -> tuple[np.ndarray, list[list[str]], np.ndarray]:
+def _contaminated(shard: SuffixArray, folder: str, block_words: int) -> tuple[np.ndarray, list[list[str]], np.ndarray]:
     """Per document: words hit, ids of the items found (sorted as text), longest match of an item's suffix."""
     n_docs = len(shard.counts)
     change = np.zeros(len(shard.ids) + 1, np.int64)
     named: list[set[str]] = [set() for _ in range(n_docs)]
-    for block in benchmark_blocks(folder):
+    for block in benchmark_blocks(folder, block_words):
         entry, _, _, _, low, high = shard.search(block)
         found = np.flatnonzero(low < high)
         # Equal windows of several entries have one interval.
@@ -252,7 +252,8 @@ def _contaminated(shard: SuffixArray, folder: str) -> tuple[np.ndarray, list[lis
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, keep: list[str] | None = None, id_col: str = "doc_id",
-                       text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+                       text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+                       block_words: int = BLOCK_WORDS) -> DataFrame:
     """What each document holds of the benchmark ``items``; one row per row of ``docs``.
 
     ``row`` (the columns ``keep``, ``id_col`` if not given), ``n_words``, ``n_hit`` (words inside any occurrence of a
@@ -269,7 +270,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, keep: list[str] | None
         for batch in batches:
             for part in slices(batch, "t", SHARD_BYTES):
                 shard = SuffixArray([x or b"" for x in part.column("t").to_pylist()], depth)
-                n_hit, named, longest = _contaminated(shard, folder)
+                n_hit, named, longest = _contaminated(shard, folder, block_words)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("row"), pa.array(shard.counts), pa.array(n_hit), pa.array(named, pa.list_(pa.string())),
                      pa.array(longest), pa.array(n_hit > 0)], ["row", "n_words", "n_hit", "items", "longest", "contaminated"])
@@ -285,7 +286,7 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFra
 
 
 def longest_matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+                    item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """The longest verbatim match of every suffix of every item in the documents.
 
     ``item``, ``offset`` (the suffix's first word, from 0), ``length`` (words matched), ``locations`` (how many
@@ -306,7 +307,7 @@ def longest_matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
                 rank[by_id] = np.arange(len(by_id))
                 # Of each interval the place in the document of the smallest id: the least of these numbers.
                 preferred = rank[shard.document[shard.order]] * len(shard.ids) + shard.order
-                for block in benchmark_blocks(folder):
+                for block in benchmark_blocks(folder, block_words):
                     entry, offset, length, (low, high), _, _ = shard.search(block)
                     found = np.flatnonzero(length)
                     if not len(found):

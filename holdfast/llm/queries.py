@@ -12,6 +12,7 @@ from holdfast.llm import (
     arrow_sequences,
     bpe,
     decontamination,
+    hard_negatives,
     language,
     licences,
     mixing,
@@ -107,6 +108,15 @@ def op12_decontamination(spark: SparkSession, folder: str) -> DataFrame:
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, on components in whole 256ths and with a seventh of the labels moved."""
+    vectors = table(spark, folder, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    # Doubles from 2^53 on are whole; beyond the largest double its sign and size stay.
+    whole = F.transform("embedding", lambda x: hard_negatives.whole_256ths(x.cast("double")))
+    return hard_negatives.mine(vectors.select("vec_id", moved.alias("label"), whole.alias("vector")), F.col("vec_id") % 100 == 0)
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -121,10 +131,12 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_quality": op10_quality,
         "op11_alignment": op11_alignment,
         "op12_decontamination": op12_decontamination,
+        "op13_hard_negatives": op13_hard_negatives,
     }
 
 
 def llm_oracle() -> dict[str, str]:
     """SQL of the queries that SQL can express."""
     return {"op5_mixing": mixing.MIX_SQL, "op7_url_filter": url_filter.FILTER_SQL,
-            "op12_decontamination": decontamination.CONTAMINATION_SQL}
+            "op12_decontamination": decontamination.CONTAMINATION_SQL,
+            "op13_hard_negatives": hard_negatives.MINING_SQL}
