@@ -9,8 +9,8 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml import Model, Pipeline, PipelineModel
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from holdfast.functions.scalars import hash_fraction, numeric_columns, text_columns
 from holdfast.operators import metrics, prep
+from holdfast.operators.boosting import Boosting, boost
 from holdfast.operators.stages import CategoryFill, MedianImputer, RareCategoryGrouper, Standardiser
 from holdfast.schema import ID, TARGET
 from holdfast.session import durable, frees_scratch
@@ -26,26 +27,14 @@ SEED = 42
 RESERVED = (ID, TARGET, "part", "_weight", "_holdout", "_label")
 
 
-class Boosting(NamedTuple):
-    """Gradient-boosting settings; ``columns_per_node`` is MLlib's feature subset strategy and
-    ``patience`` the rounds without a lower held-out loss after which no more are tried."""
-
-    rounds: int
-    step: float
-    depth: int
-    min_rows: int = 1
-    columns_per_node: str = "all"
-    patience: int = 100
-
-
-# The settings each model was published with (rounds stop early on validation loss).
+# The settings each model was published with.
 BOOSTING = {
-    "gbt_base": Boosting(250, 0.08, 5, 30, patience=10),
-    "cat_d6": Boosting(1500, 0.05, 6),
-    "cat_d7": Boosting(1500, 0.04, 7),
-    "cat_d8": Boosting(1500, 0.035, 8),
-    "gbt_engineered": Boosting(2500, 0.015, 6, 150, "0.75"),
-    "tutorial": Boosting(300, 0.05, 6),
+    "gbt_base": Boosting(250, 0.08, 5, 30, patience=10, l2=1.0),
+    "cat_d6": Boosting(1500, 0.05, 6, measure="auc", l2=5.0),
+    "cat_d7": Boosting(1500, 0.04, 7, measure="auc", l2=7.0),
+    "cat_d8": Boosting(1500, 0.035, 8, measure="auc", l2=10.0),
+    "gbt_engineered": Boosting(2500, 0.015, 6, 150, "0.75", measure="auc", l2=7.0, l1=0.5),
+    "tutorial": Boosting(300, 0.05, 6, l2=1.0),
 }
 # The published forest has no depth limit; 30 is the most that MLlib allows.
 FOREST_TREES, FOREST_DEPTH, FOREST_MIN_ROWS = 300, 30, 5
@@ -126,45 +115,15 @@ def fit_logistic(train: DataFrame, inverse_penalty: float = 1.0, iterations: int
     return FittedModel(Pipeline(stages=stages).fit(weighted), [f"numeric__{c}" for c in numeric])
 
 
-def best_round(losses: Sequence[float], patience: int) -> tuple[int, bool]:
-    """(rounds to keep, whether ``patience`` rounds have passed without a lower loss)."""
-    best = 0
-    for i, loss in enumerate(losses):
-        if loss < losses[best]:
-            best = i
-        elif i - best >= patience:
-            return best + 1, True
-    return best + 1, False
-
-
-def fit_rounds(classifier: GBTClassifier, prepared: DataFrame, patience: int) -> GBTClassificationModel:
-    """Boost on the rows that are not held out, and keep the round with the lowest held-out loss.
-
-    Rounds are tried in doubling numbers until ``patience`` of them bring nothing. A fit with fewer rounds
-    and the same seed is a prefix of a longer one, so the model is fitted again with the best number.
-    """
-    rounds = classifier.getMaxIter()
-    rows, held = durable(prepared.filter("not _holdout")), durable(prepared.filter("_holdout"))
-    if held.isEmpty():
-        return classifier.fit(rows)
-    tried = min(rounds, patience + 28)
-    while True:
-        model = classifier.copy({classifier.maxIter: tried}).fit(rows)
-        best, stopped = best_round(model.evaluateEachIteration(held), patience)
-        if stopped or tried == rounds:
-            return model if best == tried else classifier.copy({classifier.maxIter: best}).fit(rows)
-        tried = min(rounds, 2 * tried)
-
-
-def _fit_trees(fitting: DataFrame, training: DataFrame, classifier, numeric: list[str], categorical: list[str],
-               fit: Callable = lambda classifier, rows: classifier.fit(rows)) -> FittedModel:
-    """Imputers and indexers learn from ``training``; the classifier sees ``fitting``, which may
+def _fit_trees(fitting: DataFrame, training: DataFrame, numeric: list[str], categorical: list[str],
+               fit: Callable[[DataFrame, int], Model]) -> FittedModel:
+    """Imputers and indexers learn from ``training``; ``fit(rows, bins)`` sees ``fitting``, which may
     add flagged validation rows. Every stage ends up in one pipeline."""
     imputer = MedianImputer(columns=numeric).fit(training)
     flagged = prep.columns_with_nulls(training, categorical) if categorical else []
     inputs = imputer.output_columns()
     names = [c if "__missingindicator_" in c else f"numeric__{c}" for c in inputs]
-    stages = [imputer]
+    stages, bins = [imputer], 32
     if categorical:
         fill = CategoryFill(columns=categorical, flagged=flagged)
         indexed = [f"_i_{c}" for c in categorical]
@@ -175,11 +134,11 @@ def _fit_trees(fitting: DataFrame, training: DataFrame, classifier, numeric: lis
         names += [f"categorical__{c}" for c in categorical] + indicators
         stages += [fill, indexer]
         widest = max(len(labels) for labels in indexer.labelsArray)
-        classifier.setMaxBins(max(32, widest + 1))
+        bins = max(bins, widest + 1)
     stages.append(VectorAssembler(inputCols=inputs, outputCol="features"))
     prepared = durable(PipelineModel(stages).transform(fitting).select(
         "features", "_label", *[c for c in ("_weight", "_holdout") if c in fitting.columns]))
-    return FittedModel(PipelineModel([*stages, fit(classifier, prepared)]), names)
+    return FittedModel(PipelineModel([*stages, fit(prepared, bins)]), names)
 
 
 @frees_scratch
@@ -191,16 +150,16 @@ def fit_forest(train: DataFrame, trees: int = FOREST_TREES, depth: int = FOREST_
     classifier = RandomForestClassifier(
         labelCol="_label", weightCol="_weight", numTrees=trees, maxDepth=depth, seed=SEED,
         minInstancesPerNode=FOREST_MIN_ROWS, featureSubsetStrategy="sqrt")
-    return _fit_trees(weighted, weighted, classifier, numeric, categorical)
+    return _fit_trees(weighted, weighted, numeric, categorical, lambda rows, bins: classifier.setMaxBins(bins).fit(rows))
 
 
 @frees_scratch
 def fit_boosting(train: DataFrame, settings: Boosting, validation: DataFrame | None = None,
                  holdout: float = 0.15, leave_out: Sequence[str] = ()) -> FittedModel:
-    """Gradient-boosted trees with the number of rounds that is best on held-out rows.
+    """Gradient-boosted trees with the number of rounds that is best on held-out rows (see ``boosting``).
 
     The held-out rows are ``validation``, or a hash share of the training rows. ``settings.rounds`` is the
-    most that are tried.
+    most that are fitted.
     """
     numeric, categorical = feature_groups(train, leave_out)
     training = durable(with_label(train))
@@ -209,12 +168,7 @@ def fit_boosting(train: DataFrame, settings: Boosting, validation: DataFrame | N
     else:
         fitting = training.withColumn("_holdout", F.lit(False)).unionByName(
             with_label(validation).withColumn("_holdout", F.lit(True)))
-    classifier = GBTClassifier(
-        labelCol="_label", maxIter=settings.rounds, stepSize=settings.step,
-        maxDepth=settings.depth, minInstancesPerNode=settings.min_rows,
-        featureSubsetStrategy=settings.columns_per_node, seed=SEED, cacheNodeIds=True)
-    return _fit_trees(fitting, training, classifier, numeric, categorical,
-                      lambda c, rows: fit_rounds(c, rows, settings.patience))
+    return _fit_trees(fitting, training, numeric, categorical, lambda rows, bins: boost(rows, settings, bins).model)
 
 
 def gain_importance(model: FittedModel) -> list[tuple[str, float]]:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-from functools import reduce
+from collections.abc import Callable, Mapping
+from functools import partial, reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,20 +21,14 @@ def part(df: DataFrame, name: str) -> DataFrame:
     return df.filter(F.col("part") == name)
 
 
-def smaller(settings: Boosting, rounds: int, shallower: int) -> Boosting:
-    """The same settings with fewer, larger steps and shallower trees, for small tables."""
-    return settings._replace(rounds=min(settings.rounds, rounds), depth=max(settings.depth - shallower, 2),
-                             step=settings.step * 2)
-
-
 def fit_baselines(df: DataFrame, presets: Mapping[str, Boosting] = BOOSTING, trees: int = models.FOREST_TREES,
                   forest_depth: int = models.FOREST_DEPTH, iterations: int = 1000) -> dict[str, FittedModel]:
     train = part(df, "train")
-    return {
-        "logistic_regression": models.fit_logistic(train, iterations=iterations),
-        "random_forest": models.fit_forest(train, trees, forest_depth),
-        "gradient_boosting": models.fit_boosting(train, presets["gbt_base"]),
-    }
+    return fit_side_by_side({
+        "logistic_regression": partial(models.fit_logistic, train, iterations=iterations),
+        "random_forest": partial(models.fit_forest, train, trees, forest_depth),
+        "gradient_boosting": partial(models.fit_boosting, train, presets["gbt_base"]),
+    })
 
 
 def select_model(df: DataFrame, fitted: Mapping[str, FittedModel]) -> tuple[str, float, DataFrame, DataFrame]:
@@ -51,6 +47,13 @@ def select_model(df: DataFrame, fitted: Mapping[str, FittedModel]) -> tuple[str,
     return best, threshold, table, metrics.classification_metrics(durable(test), sorted({0.5, threshold}))
 
 
+def fit_side_by_side(fits: Mapping[str, Callable[[], FittedModel]], at_once: int = 4) -> dict[str, FittedModel]:
+    """Fits that do not need each other, ``at_once`` at a time: a round of one fills the waits of another."""
+    with ThreadPool(min(at_once, len(fits))) as pool:
+        running = {name: pool.apply_async(inheritable_thread_target(fit)) for name, fit in fits.items()}
+        return {name: result.get() for name, result in running.items()}
+
+
 def encode_categories(df: DataFrame) -> DataFrame:
     """Replace text predictors by their ordered target statistic."""
     _, categorical = models.feature_groups(df)

@@ -74,6 +74,16 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
             _delete(spark, path)
 
 
+@contextmanager
+def scratch_folder(spark: SparkSession) -> Iterator[str]:
+    """A new folder in the shared scratch area, deleted at the end."""
+    path = new_scratch_path(spark)
+    try:
+        yield path
+    finally:
+        _delete(spark, path)
+
+
 def frees_scratch(step: Callable) -> Callable:
     """Run ``step(df, ...)`` in a :func:`scratch_scope`."""
     @wraps(step)

@@ -81,8 +81,8 @@ def test_selection_scores_test_once_for_the_winner(customers):
 
 
 def test_preset_sizes():
-    assert models.BOOSTING["cat_d8"] == Boosting(1500, 0.035, 8)
-    assert training.smaller(models.BOOSTING["cat_d8"], 5, 3).depth == 5
+    assert models.BOOSTING["cat_d8"] == Boosting(1500, 0.035, 8, measure="auc", l2=10.0)
+    assert models.BOOSTING["gbt_engineered"].l1 == 0.5 and models.BOOSTING["gbt_base"].measure == "loss"
 
 
 def test_sensitive_predictors_can_be_left_out(customers):

@@ -8,7 +8,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from holdfast.functions.scalars import half_up, half_up_sql
-from holdfast.operators import blend, campaign, metrics, models, split
+from holdfast.operators import blend, boosting, campaign, metrics, models, split
 from holdfast.operators.models import Boosting
 from holdfast.schema import ID, TARGET
 from holdfast.session import durable, scratch_root
@@ -103,16 +103,16 @@ def auc(scored):
 
 def test_boosting_uses_its_rounds(planted):
     train, valid = planted.where(f"{ID} % 4 > 0"), planted.where(f"{ID} % 4 = 0")
-    fitted = models.fit_boosting(train, Boosting(40, 0.2, 3, patience=10), valid)
+    fitted = models.fit_boosting(train, Boosting(20, 0.4, 3, patience=10), valid)
     single = models.fit_boosting(train, Boosting(1, 0.2, 3), valid)
     assert fitted.pipeline.stages[-1].getNumTrees > 10
     assert auc(fitted.score(valid)) > auc(single.score(valid)) + 0.02
 
 
 def test_best_round_and_patience():
-    assert models.best_round([3.0, 2.0, 2.5, 2.4, 2.3], 3) == (2, True)
-    assert models.best_round([3.0, 2.0, 2.5], 3) == (2, False)
-    assert models.best_round([3.0, 2.0, 1.0], 1) == (3, False)
+    assert boosting.best_round([3.0, 2.0, 2.5, 2.4, 2.3], 3) == (2, True)
+    assert boosting.best_round([3.0, 2.0, 2.5], 3) == (2, False)
+    assert boosting.best_round([3.0, 2.0, 1.0], 1) == (3, False)
 
 
 def test_logistic_without_text_and_with_an_empty_column(planted):
