@@ -28,11 +28,12 @@ from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
 from holdfast.llm.common import map_texts
-from holdfast.llm.lookup import KeyTable, SpanHash
+from holdfast.llm.lookup import KeyTable, equal_spans, span_hashes
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 SHORT = 64
 CACHE_CHUNKS = 480_000
+CACHE_BYTES = 1 << 25
 _NONE = np.int32(2**31 - 1)
 #: Beyond these characters the classes and case of a letter depend on the Unicode version.
 _LATIN_END = "\u024f"
@@ -74,19 +75,25 @@ class WordBpe:
         self.byte_of = {c: b for b, c in symbols.items()}
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.piece_at = regex.compile(split)
-        self.hashes = SpanHash()
         self._forget()
 
     def _forget(self) -> None:
         self.table = KeyTable(18)
-        self.check = np.zeros(0, np.uint64)
+        # The bytes of every remembered chunk; a chunk is the remembered one only if all of them are equal.
+        self.chunks = np.zeros(0, np.uint8)
+        self.chunk_starts = np.zeros(0, np.int64)
+        self.chunk_lengths = np.zeros(0, np.int64)
         self.lengths = np.zeros(0, np.int64)
         self.starts = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.int32)
 
-    def _add(self, encoded: list[np.ndarray], check: np.ndarray) -> None:
+    def _add(self, chunks: list[bytes]) -> None:
+        encoded = self._encode_chunks(chunks)
+        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        self.chunk_starts = np.concatenate([self.chunk_starts, len(self.chunks) + np.cumsum(sizes) - sizes])
+        self.chunk_lengths = np.concatenate([self.chunk_lengths, sizes])
+        self.chunks = np.concatenate([self.chunks, np.frombuffer(b"".join(chunks), np.uint8)])
         lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        self.check = np.concatenate([self.check, check])
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
         self.ids = np.concatenate([self.ids, *encoded])
@@ -184,7 +191,7 @@ class WordBpe:
             text = chunk.lower()
         elif max(chunk) > _LATIN_END:
             if (parts := self.special_at.split(chunk))[1:]:
-                return [y for i, p in enumerate(parts) for y in ([self.specials[p]] if i % 2 else self._pieces(p))]
+                return [y for i, p in enumerate(parts) if p for y in ([self.specials[p]] if i % 2 else self._pieces(p))]
             text = self.tables.normalizer.normalize_str(chunk)
             return [bytes(map(self.byte_of.__getitem__, p)) for p, _ in self.tables.pre_tokenizer.pre_tokenize_str(text)]
         else:
@@ -212,21 +219,22 @@ class WordBpe:
         blank = np.concatenate([[True], (data == 32) | ((data >= 9) & (data <= 13))])
         turns = np.flatnonzero(blank[1:] != blank[:-1])
         first, last = turns[::2], turns[1::2]
-        if len(self.check) > CACHE_CHUNKS:
+        if len(self.lengths) > CACHE_CHUNKS or len(self.chunks) > CACHE_BYTES:
             self._forget()
-        key, check = self.hashes.of(data, first, last)
+        key = span_hashes(data, first, last)
         at = self.table.find(key)
         new, where = np.unique(key[at < 0], return_index=True)
         if len(new):
             where = np.flatnonzero(at < 0)[where]
             spans = zip(first[where].tolist(), last[where].tolist())
-            self.table.add(new, np.arange(len(self.check), len(self.check) + len(new)))
-            self._add(self._encode_chunks([joined[a:b] for a, b in spans]), check[where])
+            self.table.add(new, np.arange(len(self.lengths), len(self.lengths) + len(new)))
+            self._add([joined[a:b] for a, b in spans])
             at = self.table.find(key)
-        if (odd := np.flatnonzero(self.check[at] != check)).size:  # two chunks with one key
+        same = equal_spans(data, first, last - first, self.chunks, self.chunk_starts[at], self.chunk_lengths[at])
+        if (odd := np.flatnonzero(~same)).size:  # other chunks with the key of a remembered one
             spans = zip(first[odd].tolist(), last[odd].tolist())
-            at[odd] = np.arange(len(self.check), len(self.check) + len(odd))
-            self._add(self._encode_chunks([joined[a:b] for a, b in spans]), check[odd])
+            at[odd] = np.arange(len(self.lengths), len(self.lengths) + len(odd))
+            self._add([joined[a:b] for a, b in spans])
         lengths = self.lengths[at]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0

@@ -48,6 +48,36 @@ def test_encoder_is_the_library(word_library):
         assert coder.decode(want) == word_library.decode(want, skip_special_tokens=False)
 
 
+def test_chunks_that_collide_in_polynomial_hashes(word_library):
+    # Thue-Morse words and their complements are equal under every polynomial hash modulo 2^64.
+    for pair in ("ab", "01", "xz"):
+        for size in (256, 512, 1024, 2048, 4096):
+            bits = [bin(i).count("1") & 1 for i in range(size)]
+            texts = ["".join(pair[b] for b in bits), "".join(pair[1 - b] for b in bits)]
+            ids, counts = bpe.WordBpe().encode([t.encode() for t in texts])
+            for text, a, b in zip(texts, np.cumsum(counts) - counts, np.cumsum(counts)):
+                assert ids[a:b].tolist() == word_library.encode(text, add_special_tokens=False).ids
+
+
+def test_chunks_with_one_key(word_library, monkeypatch):
+    monkeypatch.setattr(bpe, "span_hashes", lambda data, starts, ends: (ends - starts).astype(np.uint64) % np.uint64(3))
+    coder, texts = bpe.WordBpe(), odd_texts()[9:200]
+    for _ in range(2):
+        ids, counts = coder.encode([t.encode() for t in texts])
+        for text, a, b in zip(texts, np.cumsum(counts) - counts, np.cumsum(counts)):
+            assert ids[a:b].tolist() == word_library.encode(text, add_special_tokens=False).ids
+
+
+def test_special_strings_beside_letters_of_many_scripts(word_library):
+    marks = ["<|endoftext|>", "<|startoftext|>"]
+    letters = ["a", "É", "中", "Σ", "ǅ", "я", "’", "ﬁ", "😀", "é", "1", ".", " ", ""]
+    texts = [f"{x}{m}{y}" for m in marks for x in letters for y in letters]
+    texts += [f"{m}{x}{n}" for m in marks for n in marks for x in letters] + ["a <|endoftext|>’ b", "中<|endoftext|><|endoftext|>中"]
+    ids, counts = bpe.WordBpe().encode([t.encode() for t in texts])
+    for text, a, b in zip(texts, np.cumsum(counts) - counts, np.cumsum(counts)):
+        assert ids[a:b].tolist() == word_library.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
 def test_encoder_with_a_full_cache(word_library, monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_CHUNKS", 10)
     coder = bpe.WordBpe()
