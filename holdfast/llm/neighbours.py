@@ -82,23 +82,43 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
 
+def _norms(x: np.ndarray) -> np.ndarray:
+    """Lengths of rows, whatever their size (squares of large or tiny numbers are not formed)."""
+    most = np.abs(x).max(axis=1, initial=0)
+    unit = x / np.where(most > 0, most, 1)[:, None]
+    return most * np.sqrt((unit * unit).sum(axis=1))
+
+
+def _scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products in double precision; one that is not a number (infinities that cancel) is the lowest."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        found = (x * q).sum(axis=1)
+    return np.where(np.isnan(found), -np.inf, found)
+
+
 class _Space:
-    """Projection of vectors and of queries."""
+    """Projection of vectors and of queries. Vectors are divided by ``scale``, the largest component of all;
+    ``largest`` is the largest squared norm after that."""
 
-    def __init__(self, width: int, largest: float):
-        self.width, self.largest = width, largest
+    def __init__(self, width: int, scale: float, largest: float):
+        self.width, self.scale, self.largest = width, scale, largest
         self.axes = np.random.default_rng(SEED).standard_normal((width + 1, DIMENSIONS))
 
     def vectors(self, x: np.ndarray) -> np.ndarray:
+        x = x / self.scale
         rest = np.sqrt(np.maximum(self.largest - (x * x).sum(axis=1), 0))
         return x @ self.axes[:-1] + rest[:, None] * self.axes[-1]
 
     def queries(self, q: np.ndarray) -> np.ndarray:
-        return q * np.sqrt(self.largest / (q * q).sum(axis=1))[:, None] @ self.axes[:-1]
+        most = np.abs(q).max(axis=1, initial=0)[:, None]
+        unit = q / most
+        return unit * np.sqrt(self.largest / (unit * unit).sum(axis=1))[:, None] @ self.axes[:-1]
 
-    def distance(self, q: np.ndarray, score: np.ndarray) -> np.ndarray:
-        """Squared distances of vectors whose inner products with the unscaled query are ``score``."""
-        return np.maximum(2 * self.largest - 2 * score * np.sqrt(self.largest / (q * q).sum()), 0)
+    def distance(self, q: np.ndarray, score: float) -> float:
+        """Squared distance of a vector whose inner product with the unscaled query is ``score``."""
+        with np.errstate(over="ignore"):
+            along = np.float64(score) / self.scale / _norms(q[None])[0]
+            return float(np.maximum(2 * self.largest - 2 * along * np.sqrt(self.largest), 0))
 
 
 class _Block:
@@ -125,23 +145,25 @@ class _Block:
             leaves = leaves[away[leaves] <= ratio * bound]
             rows = np.concatenate([np.arange(self.bounds[i], self.bounds[i + 1]) for i in leaves.tolist()])
             ids = np.concatenate([ids, self.ids[rows]])
-            scores = np.concatenate([scores, (self.x[rows] * q).sum(axis=1)])
+            scores = np.concatenate([scores, _scores(self.x[rows], q)])
             if len(ids) > k:
                 best = np.lexsort((ids, -scores))[:k]
                 ids, scores = ids[best], scores[best]
             if len(ids) == k:
-                bound = min(bound, float(self.space.distance(q, scores.min())))
+                bound = min(bound, self.space.distance(q, scores.min()))
             at += step
         return ids, scores
 
 
-def _search(index: DataFrame, queries: DataFrame, space: _Space, k: int, ratio: float, chunks: int) -> DataFrame:
+def _search(index: DataFrame, queries: DataFrame, space: _Space, k: int, ratio: float) -> DataFrame:
     """(``query_id``, ``entry``, ``score``): the best ``k`` of each query in each block of its cells.
 
     ``queries``: cell, query_id, vector, bound. ``index``: cell, block, entries. A unit is one block with
-    one chunk of the queries that visit its cell.
+    one chunk of about ``QUERIES`` of the queries that visit its cell; ``queries`` is a written table.
     """
-    asked = queries.withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.lit(chunks))).groupBy("cell", "chunk").agg(
+    visits = queries.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("chunks"))
+    dealt = queries.join(F.broadcast(visits), "cell")  # at most 2^MAX_DEPTH rows
+    asked = dealt.withColumn("chunk", F.pmod(F.xxhash64("query_id"), "chunks")).groupBy("cell", "chunk").agg(
         F.collect_list(F.struct("query_id", "vector", "bound")).alias("asked"))
     units = index.join(asked, "cell").select("entries", "asked")
 
@@ -174,27 +196,33 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     Nearest is the largest inner product in double precision, ties to the smaller id. A query with fewer
     candidates has them all. Rows whose id or vector is NULL, whose vector is empty, zero or has a NULL or
     non-finite component, or whose length is not the most common one (the shorter, if equally common), take
-    no part. Rows with equal vectors are separate candidates; of rows with equal ids only one counts.
+    no part. Rows with equal vectors are separate candidates; of rows with equal ids the one with the least vector
+    (by its first different component) counts. Scores beyond the doubles are infinite, and lowest where infinities
+    cancel. One vector much longer than the others makes the others look alike, so that queries verify most of them.
     """
     empty = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = vectors.where(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(
         F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"),
         F.coalesce(is_query, F.lit(False)).alias("asks"))
-    squared = F.aggregate("vector", F.lit(0.0), lambda total, x: total + x * x)
-    sizes = rows.groupBy(F.size("vector").alias("width")).agg(F.count(F.lit(1)).alias("n"), F.max(squared).alias("largest"))
+    most = F.array_max(F.transform("vector", F.abs))
+    sizes = rows.groupBy(F.size("vector").alias("width")).agg(F.count(F.lit(1)).alias("n"), F.max(most).alias("scale"))
     shape = sizes.orderBy(F.col("n").desc(), "width").first()
     if shape is None:
         return empty
-    rows = durable(rows.where(F.size("vector") == shape["width"]).dropDuplicates(["id"]))
-    space, ratio, wanted = _Space(shape["width"], shape["largest"]), chi_square_quantile(certainty, DIMENSIONS), k + 1
+    rows = durable(rows.where(F.size("vector") == shape["width"]).groupBy("id").agg(
+        F.min("vector").alias("vector"), F.bool_or("asks").alias("asks")))
+    scale = shape["scale"]
+    squared = F.aggregate("vector", F.lit(0.0), lambda total, x: total + (x / F.lit(scale)) * (x / F.lit(scale)))
+    space = _Space(shape["width"], scale, rows.agg(F.max(squared)).first()[0])
+    ratio, wanted = chi_square_quantile(certainty, DIMENSIONS), k + 1
     # Of rows with one vector the k + 1 smallest ids can be among the nearest.
     first = F.row_number().over(Window.partitionBy("vector").orderBy("id"))
     entries = durable(rows.select("id", "vector").withColumn("place", first).where(F.col("place") <= wanted)
                       .groupBy("vector").agg(F.array_sort(F.collect_list("id")).alias("ids"))
                       .select(F.get("ids", F.lit(0)).alias("entry"), "vector", "ids"))
     asks = rows.where("asks").select(F.col("id").alias("query_id"), "vector")
-    n, n_queries = entries.count(), asks.count()
-    if not n_queries:
+    n = entries.count()
+    if asks.isEmpty():
         return empty
     depth = min(MAX_DEPTH, max(0, math.ceil(math.log2(n / CELL_ROWS))))
     sample = entries.orderBy(F.xxhash64("entry"), "entry").limit(SAMPLE_ROWS).select("vector").toArrow()
@@ -221,10 +249,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     blocks = F.create_map(*[F.lit(int(x)) for b in boxes for x in (b["cell"], -(-b["n"] // BLOCK))])[F.col("cell")]
     index = durable(placed.withColumn("block", F.pmod(F.xxhash64("entry"), blocks)).groupBy("cell", "block").agg(
         F.collect_list(F.struct("entry", "vector")).alias("entries")))
-    chunks = -(-n_queries // QUERIES)
     own = durable(asks.mapInArrow(placing(["query_id", "vector"], space.queries),
                                   "query_id long, vector array<double>, cell long, point array<double>"))
-    home = durable(_best(_search(index, own.withColumn("bound", F.lit(float("inf"))), space, wanted, ratio, chunks), wanted))
+    home = durable(_best(_search(index, own.withColumn("bound", F.lit(float("inf"))), space, wanted, ratio), wanted))
     worst = home.where(F.col("place") == wanted).select("query_id", F.col("score").alias("worst"))
 
     def elsewhere(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,7 +261,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
             bounds, to, which = np.full(len(q), np.inf), [], []
             for j, (score, cell) in enumerate(zip(batch.column("worst").to_pylist(), batch.column("cell").to_pylist())):
                 if score is not None:
-                    bounds[j] = space.distance(q[j], np.float64(score))
+                    bounds[j] = space.distance(q[j], score)
                 away = (np.maximum(np.maximum(lows - points[j], points[j] - highs), 0) ** 2).sum(axis=1)
                 visit = cells[(away <= ratio * bounds[j]) & (cells != cell)]
                 to.append(visit)
@@ -244,8 +271,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
                 [pa.array(np.concatenate([np.zeros(0, np.int64), *to])), batch.column("query_id").take(pa.array(which)),
                  batch.column("vector").take(pa.array(which)), pa.array(bounds[which])], ["cell", "query_id", "vector", "bound"])
 
-    more = own.join(worst, "query_id", "left").mapInArrow(elsewhere, "cell long, query_id long, vector array<double>, bound double")
-    both = _best(home.drop("place").unionByName(_search(index, more, space, wanted, ratio, chunks)), wanted).drop("place")
+    more = durable(own.join(worst, "query_id", "left").mapInArrow(elsewhere, "cell long, query_id long, vector array<double>, bound double"))
+    both = _best(home.drop("place").unionByName(_search(index, more, space, wanted, ratio)), wanted).drop("place")
     named = both.join(entries.select("entry", "ids"), "entry").select("query_id", "score", F.explode("ids").alias("vec_id"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return named.where("vec_id <> query_id").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(

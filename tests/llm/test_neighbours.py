@@ -59,3 +59,30 @@ def test_rows_that_take_no_part(spark):
 def test_quantile_is_the_chi_square_one():
     assert abs(neighbours.chi_square_quantile(0.95, 8) - 15.50731) < 1e-4
     assert abs(neighbours.chi_square_quantile(0.5, 2) - 2 * np.log(2)) < 1e-9
+
+
+def test_large_tiny_and_repeated(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 6))
+    x[7], x[20], x[40], x[60] = [1e200] + [0] * 5, x[20] * 1e-200, x[40] * 1e150, 0.5
+    ids = np.arange(400)
+    again = [(i, (x[i] + 1).tolist()) for i in range(0, 400, 3)]  # the least vector of an id counts
+    rows = [(int(i), v.tolist()) for i, v in zip(ids, x)] + again + again[:20]
+    least = np.array([min(v for i, v in rows if i == j) for j in ids])
+    results = []
+    for parts in (1, 2, 3, 5):
+        frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(parts)
+        results.append(sorted(tuple(r) for r in neighbours.nearest(frame, F.col("vec_id") % 20 == 0).collect()))
+    assert all(r == results[0] for r in results)
+    got = {}
+    for q, rank, v, score in results[0]:
+        got.setdefault(q, []).append(v)
+    hits = [len(set(got[q]) & set(brute(ids, least, q)[0])) for q in range(0, 400, 20)]
+    assert len(got) == 20 and all(len(v) == 20 for v in got.values()) and sum(hits) >= 0.9 * 400
+
+
+def test_scores_beyond_the_doubles(spark):
+    rows = [(0, [1e200, 1e200]), (1, [1e200, 0.0]), (2, [-1e200, 1e200]), (3, [1.0, 1.0]), (20, [1e-200, 1e-200])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r)[2:] for r in neighbours.nearest(frame, F.col("vec_id") == 0).orderBy("rank").collect()]
+    assert got == [(1, float("inf")), (3, 2e200), (20, 2.0), (2, float("-inf"))]
