@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.functions.scalars import half_up, safe_div
-from holdfast.operators.quantiles import exact_quantiles
+from holdfast.operators import monitoring
 from holdfast.schema import ID, TARGET
 
 ELIGIBLE = ("months >= 3", "totcalls > 0")
@@ -120,22 +120,8 @@ def feature_drift(expected: DataFrame, actual: DataFrame, features: Sequence[str
 
     NULLs form a bin of their own; an empty bin counts as a share of one millionth.
     """
-    cuts = exact_quantiles(expected, features, [i / bins for i in range(1, bins)])
-
-    def shares(df: DataFrame, name: str) -> DataFrame:
-        cells = []
-        for c in features:
-            edges = [F.when(F.col(c) > F.lit(cut), 1).otherwise(0) for cut in cuts[c] if cut is not None]
-            slot = reduce(lambda a, b: a + b, edges, F.lit(0))
-            cells.append(F.struct(F.lit(c).alias("feature"), F.when(F.col(c).isNull(), -1).otherwise(slot).alias("bin")))
-        total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-        return df.select(F.inline(F.array(*cells))).groupBy("feature", "bin").agg(
-            (F.count(F.lit(1)) / total).alias(name))
-
-    both = shares(expected, "e").join(shares(actual, "a"), ["feature", "bin"], "full_outer")
-    floor = F.lit(1e-6)
-    e, a = F.greatest(F.coalesce("e", F.lit(0.0)), floor), F.greatest(F.coalesce("a", F.lit(0.0)), floor)
-    return both.groupBy("feature").agg(F.sum((a - e) * F.log(a / e)).alias("psi"))
+    frozen = monitoring.freeze_bins(expected, features, bins)
+    return monitoring.drift(monitoring.count_bins(expected, frozen), monitoring.count_bins(actual, frozen))
 
 
 def segment_fairness(scored: DataFrame, segments: Sequence[str], threshold: float = 0.5, key: str = ID,

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from itertools import combinations
 
+from pyspark.ml.functions import array_to_vector
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -145,6 +149,77 @@ def class_density(sample: DataFrame, columns: Sequence[str], label: str, points:
     )
 
 
+def binned_density(df: DataFrame, columns: Sequence[str], label: str = TARGET, points: int = 200, bins: int = 1024,
+                   reach: float = 3.0) -> DataFrame:
+    """:func:`class_density` of a whole table: every value is shared out between two of ``bins`` even nodes, and the
+    kernel is summed over nodes, so the work after one grouping is bins x points at any size.
+
+    Sharing a value between its neighbours moves the kernel by at most (node distance / bandwidth)^2 / 8 of its
+    peak, so each density differs from the exact sum by at most that times n / (bandwidth * 2.5066 * total).
+    """
+    cells = long_cells(df.filter(F.col(label).isNotNull()), [label], columns, "feature", "value").filter("value is not null")
+    stats = cells.groupBy(label, "feature").agg(
+        F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"),
+        F.stddev_samp("value").alias("sd")).filter("n > 1 and sd > 0")
+    totals = stats.groupBy("feature").agg(F.sum("n").alias("total"))
+    bw = F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))
+    shape = durable(stats.join(totals, "feature").select(
+        label, "feature", "total", bw.alias("bw"), (F.col("lo") - bw * reach).alias("start"), (F.col("hi") + bw * reach).alias("stop")))
+    place = (F.col("value") - F.col("start")) / ((F.col("stop") - F.col("start")) / F.lit(bins - 1.0))
+    node = F.floor(place)
+    shared = cells.join(shape, [label, "feature"]).select(label, "feature", F.inline(F.array(
+        F.struct(node.alias("node"), (1 - (place - node)).alias("w")), F.struct((node + 1).alias("node"), (place - node).alias("w")))))
+    nodes = shared.groupBy(label, "feature", "node").agg(F.sum("w").alias("w"))
+    step = (F.col("stop") - F.col("start")) / F.lit(bins - 1.0)
+    grid = shape.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn(
+        "x", F.col("start") + (F.col("stop") - F.col("start")) * F.col("point") / F.lit(points - 1.0))
+    z = (F.col("x") - (F.col("start") + F.col("node") * step)) / F.col("bw")
+    return nodes.join(grid, [label, "feature"]).groupBy("feature", label, "point").agg(
+        F.first("x").alias("x"), (F.sum(F.col("w") * F.exp(z * z * F.lit(-0.5)))
+                                  / (F.first("bw") * F.lit(2.5066282746310002) * F.first("total"))).alias("density"))
+
+
+def correlated_pairs(df: DataFrame, columns: Sequence[str], least: float = 0.95) -> DataFrame:
+    """All pairs of columns whose absolute correlation over the rows that have both is at least ``least``.
+
+    Every pair's count, sums and products are entries of one cross-product matrix of (value, present, square),
+    summed in one pass; values are standardised before, so that squares do not cancel. The matrix has three rows
+    for each column, whatever the number of rows of ``df``, which is a written table.
+    """
+    moments = df.agg(*[F.avg(F.col(f"`{c}`")).alias(f"m{i}") for i, c in enumerate(columns)],
+                     *[F.stddev_pop(F.col(f"`{c}`")).alias(f"s{i}") for i, c in enumerate(columns)]).first()
+    used = [(c, moments[f"m{i}"], moments[f"s{i}"]) for i, c in enumerate(columns) if moments[f"s{i}"]]
+    result = "feature_a string, feature_b string, customers long, correlation double"
+    if len(used) < 2:
+        return df.sparkSession.createDataFrame([], result)
+    values = [(F.col(f"`{c}`").cast("double") - F.lit(m)) / F.lit(s) for c, m, s in used]
+    entries = [*[F.coalesce(v, F.lit(0.0)) for v in values], *[v.isNotNull().cast("double") for v in values],
+               *[F.coalesce(v * v, F.lit(0.0)) for v in values]]
+    rows = MLUtils.convertVectorColumnsFromML(df.select(array_to_vector(F.array(*entries)).alias("v")), "v")
+    d = len(used)
+    products = RowMatrix(rows).computeGramianMatrix().toArray()
+    both, sums, squares, cross = products[d:2 * d, d:2 * d], products[:d, d:2 * d], products[2 * d:, d:2 * d], products[:d, :d]
+    found = []
+    for i, j in combinations(range(d), 2):
+        n = both[i, j]
+        spread = (n * squares[i, j] - sums[i, j] ** 2) * (n * squares[j, i] - sums[j, i] ** 2)
+        if spread > 0:
+            r = (n * cross[i, j] - sums[i, j] * sums[j, i]) / math.sqrt(spread)
+            if abs(r) >= least:
+                found.append((*sorted((used[i][0], used[j][0])), int(round(n)), float(r)))
+    return df.sparkSession.createDataFrame(found, result)
+
+
+def segment_cube(df: DataFrame, first: str, second: str, target: str = TARGET) -> DataFrame:
+    """Customers, churners and churn rate for every pair of levels, with the subtotals of both and the total.
+
+    ``<column>_total`` is 1 where a row sums over that column, 0 where NULL is a level of it.
+    """
+    return df.filter(F.col(target).isNotNull()).cube(first, second).agg(
+        F.grouping(first).cast("int").alias(f"{first}_total"), F.grouping(second).cast("int").alias(f"{second}_total"),
+        F.count(F.lit(1)).alias("customers"), F.sum(F.col(target).cast("long")).alias("churners"), F.avg(target).alias("churn_rate"))
+
+
 def feature_correlation(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Pearson correlation of every pair of the listed features, in one aggregation."""
     pairs = list(combinations(features, 2))

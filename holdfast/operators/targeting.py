@@ -1,15 +1,17 @@
 """Ranked customer lists, capture and lift by campaign size, and scenario value.
 
-``scored`` is a written table with the customer key, the label and a probability ``p``.
+``scored`` is a written table with the customer key, the label and a probability ``p``. Only the full list is
+sorted; shares of it are found by their cut points (see ``cuts``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from holdfast.operators.cuts import cut_points, is_inside
 from holdfast.operators.ordered import global_rank
 from holdfast.schema import ID, TARGET
 
@@ -25,21 +27,29 @@ def rank_customers(scored: DataFrame, key: str = ID) -> DataFrame:
     return global_rank(scored, [F.desc("p"), F.asc(key)])
 
 
-def top_share(ranked: DataFrame, customers: int, percent: int = 20) -> DataFrame:
-    """The first floor(customers * percent / 100) customers."""
-    return ranked.filter(F.col("risk_rank") <= customers * percent // 100)
+def _in_top(scored: DataFrame, places: int, key: str) -> Column:
+    return is_inside(cut_points(scored, [places], "p", key).get(places), "p", key)
 
 
-def capture_lift_curve(ranked: DataFrame, customers: int, steps: int = 20, target: str = TARGET) -> DataFrame:
+def top_share(scored: DataFrame, customers: int, percent: int = 20, key: str = ID) -> DataFrame:
+    """The first floor(customers * percent / 100) customers, the key deciding ties; not sorted."""
+    return scored.filter(_in_top(scored, customers * percent // 100, key))
+
+
+def capture_lift_curve(scored: DataFrame, customers: int, steps: int = 20, target: str = TARGET, key: str = ID) -> DataFrame:
     """Capture, churn rate and lift of the top 1/steps, 2/steps, ... of customers.
 
-    A row first belongs to step ceil(rank * steps / customers), which is the first step whose
-    truncated size reaches the rank; one grouping and running sums over ``steps`` rows do the rest.
+    Share i holds the first floor(customers * i / steps) customers. A row belongs to the first share whose cut it
+    does not pass; one grouping and running sums over ``steps`` rows do the rest.
     """
-    step = F.floor((F.col("risk_rank") * steps + (customers - 1)) / customers).cast("int")
-    per_step = ranked.groupBy(step.alias("step")).agg(
+    places = {i: customers * i // steps for i in range(1, steps)}
+    cuts = cut_points(scored, sorted(set(places.values())), "p", key)
+    step = F.lit(steps)
+    for i in reversed(places):
+        step = F.when(is_inside(cuts.get(places[i]), "p", key), F.lit(i)).otherwise(step)
+    per_step = scored.groupBy(step.alias("step")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col(target).cast("long")).alias("churners"))
-    grid = ranked.sparkSession.range(1, steps + 1).select(F.col("id").cast("int").alias("step"))
+    grid = scored.sparkSession.range(1, steps + 1).select(F.col("id").cast("int").alias("step"))
     upto = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)  # ``steps`` rows
     whole = Window.partitionBy()
     run = grid.join(per_step, "step", "left").na.fill(0, ["n", "churners"]).select(
@@ -56,11 +66,11 @@ def capture_lift_curve(ranked: DataFrame, customers: int, steps: int = 20, targe
     )
 
 
-def top_summary(ranked: DataFrame, customers: int, percent: int = 20, revenue: str = "rev_Mean",
-                target: str = TARGET) -> DataFrame:
+def top_summary(scored: DataFrame, customers: int, percent: int = 20, revenue: str = "rev_Mean",
+                target: str = TARGET, key: str = ID) -> DataFrame:
     """One row: size, capture, churn rate, lift and mean revenue of the top segment."""
-    inside = F.col("risk_rank") <= customers * percent // 100
-    row = ranked.agg(
+    inside = _in_top(scored, customers * percent // 100, key)
+    row = scored.agg(
         F.count_if(inside).alias("targeted"),
         F.sum(F.when(inside, F.col(target).cast("long")).otherwise(0)).alias("reached"),
         F.sum(F.col(target).cast("long")).alias("churners"),

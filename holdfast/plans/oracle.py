@@ -232,6 +232,7 @@ def oracle_queries() -> dict[str, str]:
     # sources and quality
     q["csv_scan_nulls"] = f"WITH {SUB} SELECT {ID}, crclscod, area, prizm_social_one FROM client"
     q["join_one_to_one"] = f"WITH {SUB} SELECT {wide} FROM subscriber"
+    q["csv_two_files"] = q["store_join"] = q["join_one_to_one"]
     q["dq_report"] = f"""WITH {SUB},
       cl AS (SELECT {ID} AS k, COUNT(*) AS n FROM client GROUP BY 1),
       re AS (SELECT {ID} AS k, COUNT(*) AS n FROM record GROUP BY 1)
@@ -307,6 +308,32 @@ def oracle_queries() -> dict[str, str]:
              {r6('SUM(EXP(POW((s.x - c.value) / s.bw, 2) * -0.5::DOUBLE)) / (ANY_VALUE(s.bw) * 2.5066282746310002::DOUBLE * ANY_VALUE(s.total))', 'density')}
       FROM spots s JOIN cells c ON s.feature = c.feature AND s.churn_label = c.churn_label
       GROUP BY s.feature, s.churn_label, s.point"""
+    dense = ("eqpdays", "months", "rev_Mean", "mou_Mean")
+    q["binned_density"] = f"""WITH {SUB},
+      cells AS MATERIALIZED (SELECT * FROM ({unpivoted('subscriber', dense, 'churn', '::DOUBLE')}) WHERE value IS NOT NULL AND churn IS NOT NULL),
+      stats AS (SELECT churn, feature, COUNT(*) AS n, MIN(value) AS lo, MAX(value) AS hi,
+                STDDEV_SAMP(value) * POW(COUNT(*)::DOUBLE, -0.2::DOUBLE) AS bw FROM cells GROUP BY 1, 2),
+      shape AS MATERIALIZED (SELECT churn, feature, bw, lo - bw * 3 AS start, hi + bw * 3 AS stop, SUM(n) OVER (PARTITION BY feature) AS total FROM stats),
+      placed AS (SELECT c.churn, c.feature, (value - start) / ((stop - start) / 1023.0::DOUBLE) AS place
+                 FROM cells c JOIN shape s ON c.churn = s.churn AND c.feature = s.feature),
+      nodes AS (SELECT churn, feature, node, SUM(w) AS w FROM (
+          SELECT churn, feature, FLOOR(place) AS node, 1 - (place - FLOOR(place)) AS w FROM placed
+          UNION ALL SELECT churn, feature, FLOOR(place) + 1, place - FLOOR(place) FROM placed) GROUP BY 1, 2, 3),
+      spots AS (SELECT churn, feature, bw, start, stop, total, point, start + (stop - start) * point / 199.0::DOUBLE AS x
+                FROM (SELECT *, UNNEST(range(0, 200))::INTEGER AS point FROM shape))
+      SELECT s.feature, s.churn, s.point, {r6('ANY_VALUE(s.x)', 'x')},
+             {r6('SUM(n.w * EXP(POW((s.x - (s.start + n.node * ((s.stop - s.start) / 1023.0::DOUBLE))) / s.bw, 2) * -0.5::DOUBLE)) / (ANY_VALUE(s.bw) * 2.5066282746310002::DOUBLE * ANY_VALUE(s.total))', 'density')}
+      FROM spots s JOIN nodes n ON s.feature = n.feature AND s.churn = n.churn GROUP BY s.feature, s.churn, s.point"""
+    places = ", ".join(f"('{c}', {i})" for i, c in enumerate(NUMERIC))
+    q["correlated_pairs"] = f"""WITH {SUB},
+      cells AS MATERIALIZED (SELECT {ID}, feature, value, i FROM ({unpivoted('subscriber', NUMERIC, ID, '::DOUBLE')})
+                             JOIN (VALUES {places}) AS o(name, i) ON feature = name WHERE value IS NOT NULL),
+      pairs AS (SELECT least(a.feature, b.feature) AS u, greatest(a.feature, b.feature) AS v, COUNT(*) AS customers, CORR(a.value, b.value) AS c
+                FROM cells a JOIN cells b ON a.{ID} = b.{ID} AND a.i < b.i GROUP BY 1, 2)
+      SELECT u AS feature_a, v AS feature_b, customers, {r6('c', 'correlation')} FROM pairs WHERE NOT isnan(c) AND ABS(c) >= 0.95::DOUBLE"""
+    q["segment_cube"] = f"""WITH {SPLIT} SELECT prizm_social_one, part, GROUPING(prizm_social_one)::INTEGER AS prizm_social_one_total,
+      GROUPING(part)::INTEGER AS part_total, COUNT(*) AS customers, SUM(churn)::BIGINT AS churners, ROUND(AVG(churn), 6) AS churn_rate
+      FROM parts GROUP BY CUBE (prizm_social_one, part)"""
     q["split_summary"] = f"""WITH {SPLIT} SELECT part, COUNT(*) AS customers, ROUND(AVG(churn), 6) AS churn_rate
       FROM parts GROUP BY part"""
     related = ("rev_Mean", "totmrc_Mean", "avgrev", "totrev", "mou_Mean", "avgmou", "totmou", "eqpdays")
@@ -545,6 +572,7 @@ def oracle_queries() -> dict[str, str]:
     slot = "LEAST(FLOOR(p * 10) + 1, 10)::INTEGER"
     q["calibration_table"] = f"""WITH {SCORED} SELECT {slot} AS bin, COUNT(*) AS customers, ROUND(AVG(p), 6) AS mean_p,
       ROUND(AVG(churn), 6) AS observed_rate FROM scored GROUP BY 1"""
+    q["calibration_from_state"] = q["calibration_table"]
     q["calibration_summary"] = f"""WITH {SCORED}, b AS (SELECT {slot} AS bin, COUNT(*) AS n, AVG(p) AS mp, AVG(churn) AS r,
         SUM(POW(p - churn, 2)) AS sq FROM scored GROUP BY 1)
       SELECT SUM(n)::BIGINT AS customers, ROUND(SUM(sq) / SUM(n), 6) AS brier,
@@ -568,6 +596,7 @@ def oracle_queries() -> dict[str, str]:
       m AS (SELECT COALESCE(e.feature, a.feature) AS feature, GREATEST(COALESCE(e.s, 0), 0.000001::DOUBLE) AS es,
             GREATEST(COALESCE(a.s, 0), 0.000001::DOUBLE) AS actual FROM e FULL JOIN a ON e.feature = a.feature AND e.bin = a.bin)
       SELECT feature, {r6('SUM((actual - es) * LN(actual / es))', 'psi')} FROM m GROUP BY feature"""
+    q["drift_from_state"] = q["feature_drift_psi"]
     seg = " UNION ALL ".join(f"SELECT churn, p, '{c}' AS segment, {c} AS level FROM scored WHERE {c} IS NOT NULL"
                              for c in ("prizm_social_one", "crclscod", "area"))
     q["segment_fairness"] = f"""WITH {SCORED}, seg AS ({seg}),

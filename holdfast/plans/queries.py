@@ -15,6 +15,7 @@ from holdfast.operators import (
     features,
     importance,
     metrics,
+    monitoring,
     prep,
     profile,
     quality,
@@ -25,7 +26,7 @@ from holdfast.operators import (
 from holdfast.functions.scalars import half_up_sql, numeric_columns, text_columns
 from holdfast.schema import DERIVED_FEATURES, ID, TARGET
 from holdfast.session import durable, new_scratch_path
-from holdfast.sources import csv, results
+from holdfast.sources import csv, results, store
 from holdfast.sources.subscriber import client_table, record_table, subscriber_table
 from holdfast.sources.tables import table
 
@@ -37,6 +38,11 @@ COMPARED = ("eqpdays", "months", "rev_Mean", "mou_Mean", "change_mou", "totmrc_M
 RELATED = ("rev_Mean", "totmrc_Mean", "avgrev", "totrev", "mou_Mean", "avgmou", "totmou", "eqpdays")
 FENCED = ("rev_Mean", "mou_Mean", "eqpdays", "months", "hnd_price", "change_mou", "totrev")
 DRIFTING = ("eqpdays", "months", "rev_Mean", "mou_Mean", "change_mou", "hnd_price")
+DENSE = ("eqpdays", "months", "rev_Mean", "mou_Mean")
+ALIKE = 0.95
+STORE_BUCKETS = 8
+# Texts that stand for a missing value in a customer file.
+MISSING_MARKERS = ("", "NA", "NaN", "nan", "null", "NULL", "None", "N/A", "n/a", "#N/A", "<NA>")
 MEMBERS = ("hist", "cat_d6", "cat_d7", "cat_d8", "engineered")
 PAIR_COLUMNS = ("months", "log_rev_Mean", "log_mou_Mean", "log_totmrc_Mean", "log_eqpdays")
 SNAPSHOT = "2000-01-01"
@@ -75,9 +81,9 @@ def with_parts(df: DataFrame, parts: tuple[tuple[str, int], ...] = split.PARTS)
     return split.stratified_split(durable(df), parts)
 
 
-def ranked(spark: SparkSession, folder: str, *extra: str) -> tuple[DataFrame, int]:
+def scored_list(spark: SparkSession, folder: str, *extra: str) -> tuple[DataFrame, int]:
     base = durable(final_scores(spark, folder, *extra))
-    return targeting.rank_customers(base), base.count()
+    return base, base.count()
 
 
 # --- sources and quality ---------------------------------------------------------------------
@@ -88,6 +94,26 @@ def csv_scan_nulls(spark, folder):
     return csv.read_customer_file(spark, path)
 
 
+def csv_two_files(spark, folder):
+    """Both customer files written with every missing-value marker, read, checked and joined."""
+    path = new_scratch_path(spark)
+    marker = F.element_at(F.array(*map(F.lit, MISSING_MARKERS)), (F.pmod(F.xxhash64(ID), F.lit(len(MISSING_MARKERS))) + 1).cast("int"))
+    for name, df in (("Client.csv", client_table(spark, folder)), ("Record.csv", record_table(spark, folder))):
+        marked = df.select(*[F.coalesce(F.col(c).cast("string"), marker).alias(c) for c in df.columns])
+        marked.write.option("header", True).option("escape", '"').csv(f"{path}/{name}")
+    columns = join_one_to_one(spark, folder).columns
+    return rounded(csv.load_customers(spark, path).select(*columns))
+
+
+def store_join(spark, folder):
+    """Both customer tables kept in buckets of the key and joined bucket by bucket."""
+    path = new_scratch_path(spark)
+    store.save_bucketed(record_table(spark, folder), f"{path}/record", buckets=STORE_BUCKETS)
+    store.save_bucketed(client_table(spark, folder), f"{path}/client", buckets=STORE_BUCKETS)
+    record, client = store.open_bucketed(spark, f"{path}/record"), store.open_bucketed(spark, f"{path}/client")
+    return rounded(store.join_stores(record, client))
+
+
 def duplicate_keys(spark, folder):
     orders = quality.duplicate_keys(table(spark, folder, "orders"), "o_custkey", "orders")
     return orders.unionByName(quality.duplicate_keys(table(spark, folder, "customer"), "c_custkey", "customer"))
@@ -122,6 +148,20 @@ def class_density(spark, folder):
     return rounded(profile.class_density(sample, PAIR_COLUMNS, "churn_label"))
 
 
+def binned_density(spark, folder):
+    rows = durable(subscriber_table(spark, folder).select(TARGET, *DENSE))
+    return rounded(profile.binned_density(rows, DENSE))
+
+
+def correlated_pairs(spark, folder):
+    rows = durable(subscriber_table(spark, folder))
+    return rounded(profile.correlated_pairs(rows, numeric_columns(rows, (ID, TARGET)), ALIKE))
+
+
+def segment_cube(spark, folder):
+    return rounded(profile.segment_cube(split_columns(spark, folder, ("prizm_social_one",)), "prizm_social_one", "part"))
+
+
 def outlier_counts(spark, folder):
     return rounded(profile.outlier_counts(durable(subscriber_table(spark, folder).select(*FENCED)), FENCED), 2)
 
@@ -332,24 +372,24 @@ def permutation_importance(spark, folder):
 # --- targeting -------------------------------------------------------------------------------
 
 def scored_customers(spark, folder):
-    return rounded(ranked(spark, folder)[0])
+    return rounded(targeting.rank_customers(scored_list(spark, folder)[0]))
 
 
 def top_share(spark, folder):
-    order, n = ranked(spark, folder)
-    return targeting.top_share(order, n).select(ID, "risk_rank")
+    base, n = scored_list(spark, folder)
+    return targeting.rank_customers(targeting.top_share(base, n)).select(ID, "risk_rank")
 
 
 def capture_lift_curve(spark, folder):
-    return rounded(targeting.capture_lift_curve(*ranked(spark, folder)))
+    return rounded(targeting.capture_lift_curve(*scored_list(spark, folder)))
 
 
 def top20_summary(spark, folder):
-    return rounded(targeting.top_summary(*ranked(spark, folder, "rev_Mean")))
+    return rounded(targeting.top_summary(*scored_list(spark, folder, "rev_Mean")))
 
 
 def impact_scenarios(spark, folder):
-    return rounded(targeting.impact_scenarios(targeting.top_summary(*ranked(spark, folder, "rev_Mean"))), 3, roi=6)
+    return rounded(targeting.impact_scenarios(targeting.top_summary(*scored_list(spark, folder, "rev_Mean"))), 3, roi=6)
 
 
 # --- campaign operation ----------------------------------------------------------------------
@@ -395,6 +435,30 @@ def feature_drift_psi(spark, folder):
     return rounded(campaign.feature_drift(old, subscriber_table(spark, folder, SNAPSHOT).select(*DRIFTING), DRIFTING))
 
 
+def _halves(df: DataFrame) -> list[DataFrame]:
+    """Two loads of one week."""
+    return [df.where(F.pmod(F.xxhash64(ID), F.lit(2)) == i) for i in range(2)]
+
+
+def drift_from_state(spark, folder):
+    """Drift of a week counted in two loads against bins and counts that were frozen and saved before."""
+    path = new_scratch_path(spark)
+    old = durable(subscriber_table(spark, folder, EARLIER).select(*DRIFTING))
+    frozen = monitoring.freeze_bins(old, DRIFTING)
+    monitoring.save_state(path, frozen=frozen, reference=monitoring.count_bins(old, frozen))
+    frozen, reference = monitoring.load_state(spark, path, "frozen", "reference")
+    week = _halves(subscriber_table(spark, folder, SNAPSHOT).select(ID, *DRIFTING))
+    return rounded(monitoring.drift(reference, monitoring.add_counts(*[monitoring.count_bins(w, frozen) for w in week])))
+
+
+def calibration_from_state(spark, folder):
+    path = new_scratch_path(spark)
+    first, second = [monitoring.count_scores(w) for w in _halves(durable(final_scores(spark, folder)))]
+    monitoring.save_state(path, counts=first)
+    monitoring.save_state(path, total=monitoring.add_counts(*monitoring.load_state(spark, path, "counts"), second))
+    return rounded(monitoring.calibration(*monitoring.load_state(spark, path, "total")))
+
+
 def segment_fairness(spark, folder):
     segments = ("prizm_social_one", "crclscod", "area")
     return rounded(campaign.segment_fairness(final_scores(spark, folder, *segments), segments))
@@ -405,6 +469,8 @@ def sql_checked_queries() -> dict[str, Query]:
     return {
         "csv_scan_nulls": csv_scan_nulls,
         "join_one_to_one": join_one_to_one,
+        "csv_two_files": csv_two_files,
+        "store_join": store_join,
         "dq_report": on_both(quality.dq_report),
         "duplicate_keys": duplicate_keys,
         "key_coverage": on_both(quality.key_coverage),
@@ -418,6 +484,9 @@ def sql_checked_queries() -> dict[str, Query]:
         "class_histogram": class_histogram,
         "pair_sample": lambda s, d: rounded(pair_sample(s, d)),
         "class_density": class_density,
+        "binned_density": binned_density,
+        "correlated_pairs": correlated_pairs,
+        "segment_cube": segment_cube,
         "split_summary": lambda s, d: rounded(split.split_summary(stratified_split(s, d))),
         "feature_correlation": lambda s, d: rounded(profile.feature_correlation(subscriber_table(s, d), RELATED)),
         "segment_churn_rate": lambda s, d: rounded(profile.segment_rates(subscriber_table(s, d), SEGMENTS)),
@@ -469,5 +538,7 @@ def sql_checked_queries() -> dict[str, Query]:
         "calibration_summary": lambda s, d: rounded(campaign.calibration_summary(final_scores(s, d))),
         "recalibrated_scores": recalibrated_scores,
         "feature_drift_psi": feature_drift_psi,
+        "drift_from_state": drift_from_state,
+        "calibration_from_state": calibration_from_state,
         "segment_fairness": segment_fairness,
     }

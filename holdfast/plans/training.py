@@ -7,7 +7,7 @@ from functools import partial, reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from holdfast.operators import metrics, models, prep
@@ -49,8 +49,9 @@ def select_model(df: DataFrame, fitted: Mapping[str, FittedModel]) -> tuple[str,
 
 def fit_side_by_side(fits: Mapping[str, Callable[[], FittedModel]], at_once: int = 4) -> dict[str, FittedModel]:
     """Fits that do not need each other, ``at_once`` at a time: a round of one fills the waits of another."""
+    inherits = inheritable_thread_target(SparkSession.getActiveSession())
     with ThreadPool(min(at_once, len(fits))) as pool:
-        running = {name: pool.apply_async(inheritable_thread_target(fit)) for name, fit in fits.items()}
+        running = {name: pool.apply_async(inherits(fit)) for name, fit in fits.items()}
         return {name: result.get() for name, result in running.items()}
 
 

@@ -115,7 +115,7 @@ def test_capture_truncates_like_head(spark, n):
     ranked = targeting.rank_customers(df)
     order = sorted(rows, key=lambda r: (-r[2], r[0]))
     assert [r[ID] for r in ranked.orderBy("risk_rank").collect()] == [r[0] for r in order]
-    curve = targeting.capture_lift_curve(ranked, n).orderBy("share_pct").collect()
+    curve = targeting.capture_lift_curve(df, n).orderBy("share_pct").collect()
     churners = sum(r[1] for r in rows)
     for i, r in enumerate(curve, 1):
         head = order[: n * i // 20]
@@ -124,8 +124,8 @@ def test_capture_truncates_like_head(spark, n):
         if head:
             assert r.lift == pytest.approx(r.churn_capture / (len(head) / n))
     assert curve[-1].churn_capture == 1.0 and curve[-1].lift == pytest.approx(1.0)
-    top = targeting.top_summary(ranked, n).first()
-    assert top.targeted == n // 5 and targeting.top_share(ranked, n).count() == n // 5
+    top = targeting.top_summary(df, n).first()
+    assert top.targeted == n // 5 and targeting.top_share(df, n).count() == n // 5
 
 
 def test_impact_identity(spark):
