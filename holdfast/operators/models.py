@@ -6,12 +6,15 @@ has them. Training rows stay distributed; what reaches the driver is the model.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
+from multiprocessing.pool import ThreadPool
 from typing import NamedTuple
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Model, Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.classification import LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -112,7 +115,12 @@ def fit_logistic(train: DataFrame, inverse_penalty: float = 1.0, iterations: int
         LogisticRegression(labelCol="_label", weightCol="_weight", regParam=1.0 / (inverse_penalty * rows),
                            elasticNetParam=0.0, standardization=False, maxIter=iterations),
     ]
-    return FittedModel(Pipeline(stages=stages).fit(weighted), [f"numeric__{c}" for c in numeric])
+    pipeline = Pipeline(stages=stages).fit(weighted)
+    names = [f"numeric__{c}" for c in numeric]
+    if categorical:
+        indexer = next(stage for stage in pipeline.stages if isinstance(stage, StringIndexerModel))
+        names += [f"categorical__{c}_{level}" for c, levels in zip(categorical, indexer.labelsArray) for level in levels]
+    return FittedModel(pipeline, names)
 
 
 def _fit_trees(fitting: DataFrame, training: DataFrame, numeric: list[str], categorical: list[str],
@@ -137,7 +145,7 @@ def _fit_trees(fitting: DataFrame, training: DataFrame, numeric: list[str], cate
         bins = max(bins, widest + 1)
     stages.append(VectorAssembler(inputCols=inputs, outputCol="features"))
     prepared = durable(PipelineModel(stages).transform(fitting).select(
-        "features", "_label", *[c for c in ("_weight", "_holdout") if c in fitting.columns]))
+        ID, "features", "_label", *[c for c in ("_weight", "_holdout") if c in fitting.columns]))
     return FittedModel(PipelineModel([*stages, fit(prepared, bins)]), names)
 
 
@@ -153,6 +161,59 @@ def fit_forest(train: DataFrame, trees: int = FOREST_TREES, depth: int = FOREST_
     return _fit_trees(weighted, weighted, numeric, categorical, lambda rows, bins: classifier.setMaxBins(bins).fit(rows))
 
 
+def balanced_bootstrap(rows: DataFrame, tree: int, key: str = ID, label: str = "_label", seed: int = SEED) -> DataFrame:
+    """The rows that one tree draws, each as often as it is drawn, weighted so that the drawn classes weigh the same.
+
+    Draws are Poisson numbers with mean one from the hash of (key, seed, tree); they do not depend on partitions.
+    ``_weight`` is draws x drawn rows / (classes x drawn rows of the class).
+    """
+    u = F.pmod(F.xxhash64(F.col(key), F.lit(seed), F.lit(tree)), F.lit(1 << 52)) / float(1 << 52)
+    draws = sum((F.when(u >= below, 1).otherwise(0) for below in _POISSON), F.lit(0))
+    drawn = rows.withColumn("_draws", draws).where("_draws > 0")
+    totals = {r[label]: r["n"] for r in drawn.groupBy(label).agg(F.sum("_draws").alias("n")).collect()}
+    whole, weight = sum(totals.values()), F.lit(1.0)
+    for cls, n in totals.items():
+        weight = F.when(F.col(label) == cls, whole / (len(totals) * n)).otherwise(weight)
+    return drawn.withColumn("_weight", weight * F.col("_draws")).drop("_draws")
+
+
+#: Chances of at most 0, 1, 2, ... of a Poisson number with mean one.
+_POISSON = [math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1)) for k in range(12)]
+
+
+@frees_scratch
+def fit_balanced_forest(train: DataFrame, trees: int = FOREST_TREES, depth: int = FOREST_DEPTH,
+                        leave_out: Sequence[str] = (), at_once: int = 4) -> FittedModel:
+    """Random forest whose trees each balance the classes of their own bootstrap (see ``balanced_bootstrap``).
+
+    Every tree is a fit of its own, ``at_once`` at a time: MLlib's forest, which grows trees together, takes one
+    weight for a row. ``fit_forest`` with weights of the whole training part needs far fewer passes.
+    """
+    numeric, categorical = feature_groups(train, leave_out)
+    labelled = durable(with_label(train))
+
+    def grow(rows: DataFrame, bins: int) -> RandomForestClassificationModel:
+        def one(tree: int):
+            learner = RandomForestClassifier(
+                labelCol="_label", weightCol="_weight", numTrees=1, bootstrap=False, maxDepth=depth, maxBins=bins, seed=SEED + tree,
+                minInstancesPerNode=FOREST_MIN_ROWS, featureSubsetStrategy="sqrt")
+            return learner.fit(balanced_bootstrap(rows, tree)).trees[0]
+
+        spark = rows.sparkSession
+        with ThreadPool(min(at_once, trees)) as pool:
+            grown = pool.map(inheritable_thread_target(spark)(one), range(trees))
+        java, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+        array = gateway.new_array(java.org.apache.spark.ml.classification.DecisionTreeClassificationModel, trees)
+        for i, tree in enumerate(grown):
+            array[i] = tree._java_obj
+        whole = java.org.apache.spark.ml.classification.RandomForestClassificationModel(
+            f"BalancedForest_{grown[0].uid}", array, grown[0].numFeatures, grown[0].numClasses)
+        whole.set(whole.getParam("numTrees"), trees)
+        return RandomForestClassificationModel(whole)
+
+    return _fit_trees(labelled, labelled, numeric, categorical, grow)
+
+
 @frees_scratch
 def fit_boosting(train: DataFrame, settings: Boosting, validation: DataFrame | None = None,
                  holdout: float = 0.15, leave_out: Sequence[str] = ()) -> FittedModel:
@@ -184,7 +245,6 @@ def importance_table(spark: SparkSession, model: FittedModel) -> DataFrame:
 def part_metrics(scored: DataFrame, name: str) -> DataFrame:
     """Six metrics at 0.5 for each part of a scored table."""
     measured = metrics.classification_metrics(durable(
-        scored.select(F.concat_ws("|", F.lit(name), "part").alias("model"), TARGET, "p")))
-    return measured.select(F.substring_index("model", "|", 1).alias("model"),
-                           F.substring_index("model", "|", -1).alias("part"),
+        scored.select(F.col("part").alias("model"), TARGET, "p")))
+    return measured.select(F.lit(name).alias("model"), F.col("model").alias("part"),
                            *[c for c in measured.columns if c not in ("model", "threshold")])

@@ -36,15 +36,26 @@ def customers(spark: SparkSession, folder: str) -> DataFrame:
 
 def _facts(df: DataFrame, model: models.FittedModel, name: str) -> DataFrame:
     """Per part that was not fitted on: customers, different customers, churners, probabilities in range,
-    and probabilities that are the same after saving and loading the model."""
-    rows = durable(df.filter("part <> 'train'"))
+    and probabilities that are the same after saving and loading the model.
+
+    And of the model: that its loss on the rows it was fitted on is below that of their churn rate, that it tells
+    the part's customers apart, and that each of its inputs has one name of its own.
+    """
     path = new_scratch_path(df.sparkSession)
     models.save(model.pipeline, path)
-    again = durable(models.score(models.load(df.sparkSession, path), rows).select(ID, F.col("p").alias("_again")))
-    both = durable(model.score(rows).select(ID, TARGET, "part", "p")).join(again, ID, "left")
+    kept = df.select(ID, TARGET, "part").columns
+    scored = durable(model.score(df).select(*kept, "p"))
+    again = durable(models.score(models.load(df.sparkSession, path), df.filter("part <> 'train'")).select(ID, F.col("p").alias("_again")))
+    rate = F.avg(TARGET)
+    loss = F.avg(-F.log(F.greatest(F.when(F.col(TARGET) == 1, F.col("p")).otherwise(1 - F.col("p")), F.lit(1e-15))))
+    learned = scored.filter("part = 'train'").agg((loss < -(rate * F.log(rate) + (1 - rate) * F.log(1 - rate))).alias("learned")).scalar()
+    named = len(set(model.inputs)) == len(model.inputs) == model.pipeline.stages[-1].numFeatures
+    both = scored.filter("part <> 'train'").join(again, ID, "left")
     return both.groupBy("part").agg(
         F.count(F.lit(1)).alias("customers"), F.countDistinct(ID).alias("scored_once"), F.sum(F.col(TARGET).cast("long")).alias("churners"),
-        F.count_if(F.col("p").between(0, 1)).alias("in_range"), F.count_if(F.col("p") == F.col("_again")).alias("reload_equal")).withColumn("model", F.lit(name))
+        F.count_if(F.col("p").between(0, 1)).alias("in_range"), F.count_if(F.col("p") == F.col("_again")).alias("reload_equal"),
+        (F.max("p") > F.min("p")).alias("tells_apart")).select(
+        "*", learned.alias("learned"), F.lit(named).alias("inputs_named"), F.lit(name).alias("model"))
 
 
 def model_logistic(spark, folder):
@@ -57,6 +68,13 @@ def model_forest(spark, folder):
     return _facts(df, models.fit_forest(training.part(df, "train"), **FOREST), "random_forest")
 
 
+def model_balanced_forest(spark, folder):
+    """Trees that balance their own bootstraps; a tenth of the published number, each being a fit of its own."""
+    df = customers(spark, folder)
+    fitted = models.fit_balanced_forest(training.part(df, "train"), max(FOREST["trees"] // 10, 1), FOREST["depth"])
+    return _facts(df, fitted, "balanced_forest")
+
+
 def model_gbt_base(spark, folder):
     df = customers(spark, folder)
     return _facts(df, models.fit_boosting(training.part(df, "train"), PRESETS["gbt_base"]), "gradient_boosting")
@@ -130,6 +148,7 @@ def model_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "model_logistic": model_logistic,
         "model_forest": model_forest,
+        "model_balanced_forest": model_balanced_forest,
         "model_gbt_base": model_gbt_base,
         "model_cat_d6": categorical_model("cat_d6"),
         "model_cat_d7": categorical_model("cat_d7"),

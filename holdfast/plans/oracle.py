@@ -489,8 +489,8 @@ def oracle_queries() -> dict[str, str]:
              "customer_care_calls_per_100_calls": "Customer Care Calls Per 100 Calls"}
     others = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in plain.items())
     facts = """COUNT(*) AS customers, COUNT(DISTINCT {id}) AS scored_once, SUM(churn)::BIGINT AS churners,
-      COUNT(*) AS in_range, COUNT(*) AS reload_equal""".format(id=ID)
-    for key, name in (("model_logistic", "logistic_regression"), ("model_forest", "random_forest"),
+      COUNT(*) AS in_range, COUNT(*) AS reload_equal, true AS tells_apart, true AS learned, true AS inputs_named""".format(id=ID)
+    for key, name in (("model_logistic", "logistic_regression"), ("model_forest", "random_forest"), ("model_balanced_forest", "balanced_forest"),
                       ("model_gbt_base", "gradient_boosting"), ("model_cat_d6", "cat_d6"), ("model_cat_d7", "cat_d7"),
                       ("model_cat_d8", "cat_d8"), ("model_gbt_engineered", "gbt_engineered")):
         q[key] = f"WITH {SPLIT} SELECT part, {facts}, '{name}' AS model FROM parts WHERE part <> 'train' GROUP BY part"

@@ -331,6 +331,7 @@ def run_metadata(spark, folder):
         names = ("roc_auc", "pr_auc", "accuracy", "precision", "recall", "f1")
         return F.struct(*[F.lit(row[m]).alias(m) for m in names])
 
+    # The field names of the published result documents.
     document = parts.agg(F.struct(*sizes.values()).alias("split_rows"), F.avg(TARGET).alias("target_rate")).select(
         F.lit(TARGET).alias("target"), F.lit("final").alias("selected_model"),
         F.lit("validation ROC-AUC").alias("selection_metric"), F.lit(threshold).alias("decision_threshold"),

@@ -53,6 +53,41 @@ def test_models_rank_and_reload(spark, customers, fit):
     assert {r[ID]: r.p for r in again.collect()} == {r[ID]: r.p for r in scored.collect()}
 
 
+def test_drawn_classes_weigh_the_same_in_every_tree(spark, customers):
+    rows = models.with_label(customers.where(f"{TARGET} = 1 or {ID} % 5 = 0"))
+    for tree in range(4):
+        drawn = models.balanced_bootstrap(rows, tree)
+        totals = {r["_label"]: r["w"] for r in drawn.groupBy("_label").agg(F.sum("_weight").alias("w")).collect()}
+        assert totals[0.0] == pytest.approx(totals[1.0])
+        share = drawn.count() / rows.count()
+        assert 0.5 < share < 0.75  # about 1 - 1/e of the rows are drawn
+        again = models.balanced_bootstrap(rows.repartition(7), tree)
+        assert sorted(again.select(ID, "_weight").collect()) == sorted(drawn.select(ID, "_weight").collect())
+
+
+def test_balanced_forest_ranks_and_reloads(spark, customers):
+    model = models.fit_balanced_forest(training.part(customers, "train"), 5, 4)
+    test = training.part(customers, "test")
+    scored = durable(model.score(test))
+    assert auc(scored) > 0.7 and model.pipeline.stages[-1].getNumTrees == 5
+    path = new_scratch_path(spark)
+    models.save(model.pipeline, path)
+    assert {r[ID]: r.p for r in models.score(PipelineModel.load(path), test).collect()} == {r[ID]: r.p for r in scored.collect()}
+
+
+def test_linear_inputs_have_names(customers):
+    model = models.fit_logistic(training.part(customers, "train"), iterations=5)
+    assert model.inputs == ["numeric__driver", "numeric__noise", "categorical__kind_a", "categorical__kind_b", "categorical__kind_c"]
+    assert model.pipeline.stages[-1].numFeatures == 5
+
+
+def test_permuted_names_may_hold_any_character(customers):
+    odd = customers.withColumnRenamed("noise", "no|ise")
+    table = importance.permutation_importance(odd, lambda d: d.withColumn("p", F.coalesce("driver", F.lit(0.0))), ["driver", "no|ise"])
+    drops = {r.feature: r.importance_mean for r in table.collect()}
+    assert set(drops) == {"driver", "no|ise"} and drops["no|ise"] == 0 and drops["driver"] > 0.05
+
+
 def test_gain_and_permutation_find_the_driver(customers):
     model = models.fit_boosting(training.part(customers, "train"), SMALL)
     gains = dict(models.gain_importance(model))
