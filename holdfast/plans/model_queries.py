@@ -22,7 +22,7 @@ from holdfast.session import durable, new_scratch_path
 from holdfast.sources.subscriber import subscriber_table
 
 #: A round costs the same number of Spark jobs however small the table is; the library's own limit is the published one.
-ROUNDS = 40
+ROUNDS = 20
 PRESETS = {name: s._replace(rounds=min(s.rounds, ROUNDS)) for name, s in models.BOOSTING.items()}
 # With so few rounds the published step of 0.015 would hardly leave the start.
 PRESETS["gbt_engineered"] = PRESETS["gbt_engineered"]._replace(step=0.1)
