@@ -95,10 +95,15 @@ def csv_scan_nulls(spark, folder):
 
 
 def csv_two_files(spark, folder):
-    """Both customer files written with every missing-value marker, read, checked and joined."""
+    """Both customer files written with every missing-value marker, read, checked and joined.
+
+    The files hold the customers that both tables have; others would rightly fail the check of equal ids.
+    """
     path = new_scratch_path(spark)
+    client, record = durable(client_table(spark, folder)), durable(record_table(spark, folder))
+    client, record = client.join(record.select(ID), ID, "left_semi"), record.join(client.select(ID), ID, "left_semi")
     marker = F.element_at(F.array(*map(F.lit, MISSING_MARKERS)), (F.pmod(F.xxhash64(ID), F.lit(len(MISSING_MARKERS))) + 1).cast("int"))
-    for name, df in (("Client.csv", client_table(spark, folder)), ("Record.csv", record_table(spark, folder))):
+    for name, df in (("Client.csv", client), ("Record.csv", record)):
         marked = df.select(*[F.coalesce(F.col(c).cast("string"), marker).alias(c) for c in df.columns])
         marked.write.option("header", True).option("escape", '"').csv(f"{path}/{name}")
     columns = join_one_to_one(spark, folder).columns
