@@ -5,18 +5,19 @@ intervals ``[valid_from, valid_to)``, and every capture is evaluated against the
 when it was fetched. An entry is a domain (it covers its subdomains), a host, or a host with a first path
 segment. An entry on an allow list overrides any block entry.
 
-Time is cut into cells of ``CELL_DAYS``. Intervals are built inside (list, entry, cell) from the cell's own
-changes and the state carried in from the last earlier cell that has any, and captures meet them on
-(entry, cell); so neither an entry with very many changes nor one with a long life gathers in one place.
+Time is cut into hours. Captures say which (entry, hour) pairs are asked for; only these get intervals, made of
+the hour's own changes and the state at its beginning, which is that of the last earlier hour with a change. So
+neither an entry with very many changes nor one with a long life gathers in one place, and an entry that stays on
+a list costs nothing in the hours nobody asks for.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType
 
-CELL_DAYS = 7
+from holdfast.session import durable
+
 BLOCK, ALLOW = "block", "allow"
 ADD, REMOVE = "add", "remove"
 
@@ -44,32 +45,30 @@ def keys(url: Column) -> Column:
 
 
 def _cell(at: Column) -> Column:
-    return F.floor(F.datediff(at, F.lit("1970-01-01").cast("date")) / CELL_DAYS).cast("long")
-
-
-def _cell_start(cell: Column, kind: DataType) -> Column:
-    return F.date_add(F.lit("1970-01-01").cast("date"), (cell * CELL_DAYS).cast("int")).cast(kind)
+    """Number of an hour; it never falls as time goes on, whatever the time zone does."""
+    return (F.datediff(at, F.lit("1970-01-01").cast("date")) * 24 + F.hour(at)).cast("long")
 
 
-def intervals(changes: DataFrame, last_cell: int) -> DataFrame:
-    """(``list``, ``entry``, ``cell``, ``valid_from``, ``valid_to``) of a log (``list``, ``entry``, ``action``, ``at``).
+def intervals(changes: DataFrame, asked: DataFrame) -> DataFrame:
+    """(``list``, ``entry``, ``cell``, ``valid_from``, ``valid_to``) of a log (``list``, ``entry``, ``action``, ``at``)
+    in the different (``entry``, ``cell``) pairs of ``asked``.
 
-    Of changes at one time a removal wins. Rows with a NULL entry, list, action or time are not changes.
-    Intervals are clipped to cells and reach to the end of ``last_cell``.
+    NULL as ``valid_from`` means from the beginning of the cell, as ``valid_to`` to its end. Of changes at one
+    time a removal wins. Rows with a NULL entry, list, action or time are not changes.
     """
-    kind = changes.schema["at"].dataType
     known = changes.where("list is not null and entry is not null and action is not null and at is not null")
     moments = known.groupBy("list", "entry", "at").agg(F.min(F.col("action") == ADD).alias("on")).withColumn("cell", _cell(F.col("at")))
-    ends = moments.groupBy("list", "entry", "cell").agg(F.max_by("on", "at").alias("on"))
-    following = F.lead("cell").over(Window.partitionBy("list", "entry").orderBy("cell"))
-    carried = ends.withColumn("until", F.greatest(F.coalesce(following, F.lit(last_cell)), F.col("cell"))).where("on and until > cell").select(
-        "list", "entry", F.explode(F.sequence(F.col("cell") + 1, F.col("until"))).alias("cell"))
-    # A change at the very start of a cell comes after the state that is carried into it.
-    states = moments.select("list", "entry", "cell", "at", "on", F.lit(1).alias("own")).unionByName(
-        carried.select("list", "entry", "cell", _cell_start(F.col("cell"), kind).alias("at"), F.lit(True).alias("on"), F.lit(0).alias("own")))
-    order = Window.partitionBy("list", "entry", "cell").orderBy("at", "own")
-    to = F.coalesce(F.lead("at").over(order), _cell_start(F.col("cell") + 1, kind))
-    return states.withColumn("valid_to", to).where("on and valid_to > at").select(
+    ends = moments.groupBy("list", "entry", "cell").agg(F.max_by("on", "at").alias("on"), F.lit(False).alias("asked"))
+    wanted = ends.select("list", "entry").distinct().join(asked, "entry").select(
+        "list", "entry", "cell", F.lit(None).cast("boolean").alias("on"), F.lit(True).alias("asked"))
+    cells = ends.unionByName(wanted).groupBy("list", "entry", "cell").agg(F.max("on").alias("on"), F.max("asked").alias("asked"))
+    earlier = Window.partitionBy("list", "entry").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    carried = cells.withColumn("before", F.last("on", ignorenulls=True).over(earlier)).where("asked and before").select(
+        "list", "entry", "cell", F.lit(None).cast(changes.schema["at"].dataType).alias("at"), F.lit(True).alias("on"))
+    states = moments.join(asked, ["entry", "cell"], "left_semi").select("list", "entry", "cell", "at", "on").unionByName(carried)
+    # The state at the beginning has no time and so comes first.
+    order = Window.partitionBy("list", "entry", "cell").orderBy("at")
+    return states.withColumn("valid_to", F.lead("at").over(order)).where("on").select(
         "list", "entry", "cell", F.col("at").alias("valid_from"), "valid_to")
 
 
@@ -81,12 +80,13 @@ def filter_captures(captures: DataFrame, changes: DataFrame, id_col: str = "page
     Captures with a NULL or relative URL or without a time are covered by nothing. Repeated rows are one
     capture. Empty lists block nothing.
     """
-    seen = captures.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(time_col).alias("fetched_at")).distinct()
-    latest = captures.agg(F.max(_cell(F.col(time_col)))).first()[0]
-    valid = intervals(changes, 0 if latest is None else latest).alias("v")
-    asked = seen.withColumn("entry", F.explode_outer(keys(F.col("url")))).withColumn("cell", _cell(F.col("fetched_at"))).alias("a")
+    seen = durable(captures.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(time_col).alias("fetched_at")).distinct())
+    asked = seen.withColumn("entry", F.explode_outer(keys(F.col("url")))).withColumn("cell", _cell(F.col("fetched_at")))
+    valid = intervals(changes, asked.select("entry", "cell").where("entry is not null and cell is not null").distinct()).alias("v")
+    asked = asked.alias("a")
     covers = ((F.col("a.entry") == F.col("v.entry")) & (F.col("a.cell") == F.col("v.cell"))
-              & (F.col("a.fetched_at") >= F.col("v.valid_from")) & (F.col("a.fetched_at") < F.col("v.valid_to")))
+              & (F.col("v.valid_from").isNull() | (F.col("a.fetched_at") >= F.col("v.valid_from")))
+              & (F.col("v.valid_to").isNull() | (F.col("a.fetched_at") < F.col("v.valid_to"))))
     met = asked.join(valid, covers, "left").groupBy("a.id", "a.url", "a.fetched_at").agg(
         F.count(F.when(F.col("v.list") == BLOCK, 1)).alias("n_block"), F.count(F.when(F.col("v.list") == ALLOW, 1)).alias("n_allow"))
     return met.withColumn("blocked", (F.col("n_block") > 0) & (F.col("n_allow") == 0))

@@ -45,6 +45,35 @@ def test_validity_in_time(spark):
     assert url_filter.filter_captures(seen, log.where("false")).where("blocked").count() == 0
 
 
+def test_intervals_only_where_captures_ask(spark):
+    """An entry that stays on a list has as many intervals as hours are asked for, however late they are."""
+    log = spark.createDataFrame([("block", f"h{i}.com", "add", at(i)) for i in range(50)], "list string, entry string, action string, at timestamp")
+    late = dt.datetime(9998, 5, 1, 12)
+    captures = [(i, f"http://h{i}.com/", late) for i in range(50)] + [(50, "http://h1.com/", at(1)), (51, "http://h1.com/", at(0, 23)), (52, "http://no.com", late)]
+    seen = spark.createDataFrame(captures, "page_id long, url string, fetched_at timestamp")
+    asked = seen.select(F.explode(url_filter.keys(F.col("url"))).alias("entry"), url_filter._cell(F.col("fetched_at")).alias("cell")).distinct()
+    rows = url_filter.intervals(log, asked).collect()
+    assert len(rows) == 51 and sum(r.valid_from is None for r in rows) == 50
+    got = {r.id for r in url_filter.filter_captures(seen, log).where("blocked").collect()}
+    assert got == set(range(51))
+
+
+def test_many_changes_in_an_hour_and_zones(spark):
+    """Against a plain walk through the log, across a change of clocks, at times of changes and between them."""
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        begin = dt.datetime(2024, 11, 3, 3, 0)
+        times = [begin + dt.timedelta(minutes=7 * i) for i in range(60)]
+        log = [("block", "x.com", "add" if i % 3 else "remove", t) for i, t in enumerate(times)]
+        seen = [(i, "http://x.com/", begin + dt.timedelta(minutes=5 * i - 20)) for i in range(100)]
+        changes = spark.createDataFrame(log, "list string, entry string, action string, at timestamp")
+        rows = url_filter.filter_captures(spark.createDataFrame(seen, "page_id long, url string, fetched_at timestamp"), changes).collect()
+        want = {i for i, _, t in seen if (past := [a for _, _, a, x in log if x <= t]) and past[-1] == "add"}
+        assert len(rows) == 100 and {r.id for r in rows if r.blocked} == want and 0 < len(want) < 100
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_licence_lines_are_found(documents):
     model = licences.train(documents)
     notice = re.compile("licensed under|released under the", re.I)
