@@ -64,13 +64,13 @@ def _score(hashes: Column, table: Column, buckets: int) -> Column:
         F.aggregate(found, F.lit(0.0), lambda total, b: total + F.get(table, b.cast("int"))), F.size(found)))
 
 
-def measured(docs: DataFrame, table: list[float] | None, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` as struct ``row`` and their figures as struct ``rules``: ``n_words``,
+def measured(docs: DataFrame, table: list[float] | None, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (all by default) as struct ``row`` and their figures as struct ``rules``: ``n_words``,
     ``word_chars``, ``n_symbols``, ``n_dup_lines``, ``n_repeat_words``, ``base_failed`` and ``score``.
 
     ``score`` is NULL for a text without words. Every text is split and hashed once.
     """
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    row = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)]).alias("row")
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     # One constant that the optimizer folds, instead of an expression for each number.
     listed = F.split(F.lit(",".join(map(repr, table or [0.0]))), ",").cast("array<double>")
@@ -93,8 +93,10 @@ def _counts(docs: DataFrame, text_col: str, buckets: int) -> DataFrame:
 
 
 def trusted_sample(docs: DataFrame, trusted: DataFrame, id_col: str, rows: int) -> DataFrame:
-    """The rows of ``docs`` whose id is among the ``rows`` trusted ids (``doc_id``) of smallest hash."""
-    ids = trusted.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    """The rows of ``docs`` whose id is among the ``rows`` trusted ids (``doc_id``) of smallest hash that
+    ``docs`` has."""
+    known = docs.select(F.col(f"`{id_col}`").alias("doc_id"))
+    ids = trusted.select("doc_id").distinct().join(known, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     return docs.join(F.broadcast(durable(ids).withColumnRenamed("doc_id", "_trusted_id")), F.col(f"`{id_col}`") == F.col("_trusted_id"), "left_semi")
 
 
@@ -110,16 +112,19 @@ def ratios(corpus: DataFrame, target: DataFrame, text_col: str = "text", buckets
     return [r["r"] for r in both.orderBy("bucket").select(F.round(ratio, 6).alias("r")).collect()]
 
 
-def threshold(target: DataFrame, table: list[float], text_col: str = "text", spreads: float = SPREADS) -> float:
-    """``spreads`` standard deviations below the mean score of the trusted documents that pass the rules."""
-    passed = measured(target, table, text_col).where("not rules.base_failed")
-    got = passed.agg(F.avg("rules.score").alias("m"), F.stddev_pop("rules.score").alias("d")).first()
+def threshold(scored: DataFrame, trusted: DataFrame, id_col: str = "doc_id", spreads: float = SPREADS) -> float:
+    """``spreads`` standard deviations below the mean score of all rows of ``scored`` (see ``measured``) that pass
+    the rules and whose id is among ``trusted``; minus infinity if there are none."""
+    passed = scored.where("not rules.base_failed").select(F.col(f"row.`{id_col}`").alias("doc_id"), "rules.score")
+    got = passed.join(trusted.select("doc_id").distinct(), "doc_id", "left_semi").agg(
+        F.avg("score").alias("m"), F.stddev_pop("score").alias("d")).first()
     return float("-inf") if got["m"] is None else got["m"] - spreads * got["d"]
 
 
 def rate(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-         trusted_rows: int = TRUSTED_ROWS) -> DataFrame:
-    """The rows of ``docs`` as struct ``row``, with ``rules`` (see ``measured``) and ``kept``.
+         trusted_rows: int = TRUSTED_ROWS, keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (all by default; the id among them) as struct ``row``, with ``rules``
+    (see ``measured``) and ``kept``.
 
     ``trusted`` has the ids (``doc_id``) of trusted documents; ids that ``docs`` does not have count for
     nothing. NULL and empty texts have no words and fail the rules. Without any trusted document all
@@ -128,7 +133,7 @@ def rate(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col:
     """
     # Written, so that the costly figures are not computed before the rows are chosen.
     target = durable(trusted_sample(docs, trusted, id_col, trusted_rows))
-    table = ratios(docs, target, text_col)
-    least = threshold(target, table, text_col)
-    verdict = F.coalesce(F.col("rules.score") >= least, F.lit(False))
-    return measured(docs, table, text_col).withColumn("kept", ~F.col("rules.base_failed") & verdict)
+    # Written too: every text is scored once, then its score is read for the threshold and for the verdict.
+    scored = durable(measured(docs, ratios(docs, target, text_col), text_col, keep))
+    verdict = F.coalesce(F.col("rules.score") >= threshold(scored, trusted, id_col), F.lit(False))
+    return scored.withColumn("kept", ~F.col("rules.base_failed") & verdict)

@@ -91,7 +91,7 @@ def op9_language(spark: SparkSession, folder: str) -> DataFrame:
 def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Quality rules and verdict of every document; documents labelled good are the trusted ones."""
     trusted = table(spark, folder, "labels").where("quality = 1")
-    rated = quality.rate(table(spark, folder, "documents"), trusted)
+    rated = quality.rate(table(spark, folder, "documents"), trusted, keep=["doc_id"])
     return rated.select("row.doc_id", "rules.n_words", "rules.word_chars", "rules.n_symbols", "rules.n_dup_lines",
                         "rules.n_repeat_words", "rules.base_failed", "kept", "rules.score")
 

@@ -58,6 +58,19 @@ def test_scores(spark):
     assert got[4] is None
 
 
+def test_threshold_is_that_of_all_trusted_documents(spark, documents):
+    """Fitted on three documents, the threshold is still the mean and spread of every trusted one."""
+    trusted = documents.where("doc_id % 2 = 0").select("doc_id").unionByName(spark.range(10_000_000, 10_000_100).toDF("doc_id"))
+    few = quality.trusted_sample(documents, trusted, "doc_id", 3).collect()
+    assert len({r.doc_id for r in few}) == 3
+    rows = quality.rate(documents, trusted, trusted_rows=3, keep=["doc_id"]).collect()
+    assert len(rows) == documents.count() and rows[0].row.__fields__ == ["doc_id"]
+    scores = [r.rules.score for r in rows if r.row.doc_id is not None and r.row.doc_id % 2 == 0 and not r.rules.base_failed]
+    mean = sum(scores) / len(scores)
+    least = mean - quality.SPREADS * math.sqrt(sum((s - mean) ** 2 for s in scores) / len(scores))
+    assert len(scores) > 10 and [r.kept for r in rows] == [not r.rules.base_failed and r.rules.score >= least for r in rows]
+
+
 def test_awkward_rows(spark, awkward, empty):
     trusted = spark.createDataFrame([(1,), (None,), (99,)], "doc_id long")
     rated = quality.rate(awkward, trusted)
