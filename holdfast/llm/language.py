@@ -34,10 +34,11 @@ SYMBOLS = 1 << BITS
 CELLS = 1 << 22
 FOLDS = 5
 #: Of each language's rightly predicted calibration documents the share ``QUANTILE`` with the smallest
-#: excesses over the mean, in spreads, sets mean, spread and limit; of three or more at least one is left
-#: out. A text is rejected beyond the largest excess among them, or beyond ``SPREADS`` if that is more.
+#: excesses over the mean, in spreads, sets mean and spread; of three or more at least one is left out. A text
+#: is rejected beyond ``MARGIN`` times the largest excess among them, or beyond ``SPREADS`` if that is more.
 QUANTILE = 0.99
-SPREADS = 12.0
+MARGIN = 1.5
+SPREADS = 8.0
 SHARPNESS = tuple(float(2**k) for k in range(-1, 10))
 GRAMS_HELD = 1 << 18
 
@@ -337,7 +338,11 @@ def _scored_joined(docs: DataFrame, keep: dict[str, Column], text_col: str, mode
 
 def calibrate(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang") -> Model:
     """Set sharpness, and each language's limit of cross-entropy, from labelled documents that
-    took no part in the counts. Without any, the score's sharpness stays 1 and nothing is rejected."""
+    took no part in the counts. Without any, the score's sharpness stays 1 and nothing is rejected.
+
+    NULL labels, labels the model does not know, NULL and empty texts and texts without a letter are not used;
+    repeated rows count as often as they occur.
+    """
     labelled = docs.where(F.col(lang_col).isNotNull())
     got = durable(_scored(labelled, {"row": _numbers(model.languages, lang_col)}, text_col, model).where("n > 0 and row is not null"))
     losses = [F.avg(F.expr(f"ln(aggregate(ces, 0D, (s, c) -> s + exp({b}D * (ces[row] - c))))")).alias(f"l{i}") for i, b in enumerate(SHARPNESS)]
@@ -354,7 +359,7 @@ def calibrate(docs: DataFrame, model: Model, text_col: str = "text", lang_col: s
     right = durable(right.where(_excess(model) <= F.get(least, F.col("best"))))
     _fit_spreads(right, model)
     for r in right.groupBy("best").agg(F.max(_excess(model)).alias("z")).collect():
-        model.limits[r["best"]] = (*model.limits[r["best"]][:3], max(r["z"], SPREADS))
+        model.limits[r["best"]] = (*model.limits[r["best"]][:3], max(MARGIN * r["z"], SPREADS))
     return model
 
 
@@ -414,7 +419,11 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", keep:
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """Models from the labelled documents of folds 2 to 4, calibrated on fold 1; fold 0 is not read."""
+    """Models from the labelled documents of folds 2 to 4, calibrated on fold 1; fold 0 is not read.
+
+    Rows with a NULL id or label are not read either; ``None`` if no row is left. Repeated rows count as often
+    as they occur.
+    """
     part = fold(F.col(id_col))
     model = fit_models(docs.where(part > 1), text_col, lang_col)
     return model and calibrate(docs.where(part == 1), model, text_col, lang_col)

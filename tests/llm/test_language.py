@@ -139,6 +139,31 @@ def test_models_beyond_the_workers_give_the_same(documents, awkward, monkeypatch
     assert [(r.row, r.lang_pred, r.rejected) for r in got] == [(r.row, r.lang_pred, r.rejected) for r in awkwardly]
 
 
+def test_limits_follow_the_calibration_documents(spark, documents, monkeypatch):
+    """A language whose calibration documents have a long tail gets a wider limit than one without."""
+    model = language.fit_models(documents.where(language.fold(F.col("doc_id")) > 1))
+    tail = [1.0 + 0.001 * (i % 10) + (0.5 if i < 8 else 0.0) for i in range(300)]
+    rows = [(i, x) for i, ces in enumerate((tail, [1.0 + 0.001 * (i % 10) for i in range(300)])) for x in ces]
+    scored = spark.createDataFrame([(i, i, x, 400, [x if k == i else 9.0 for k in range(len(model.languages))]) for i, x in rows],
+                                   "row int, best int, ce double, n long, ces array<double>")
+    monkeypatch.setattr(language, "_scored", lambda *_: scored)
+    limits = language.calibrate(documents, model).limits
+    assert limits[1][3] == language.SPREADS < limits[0][3] < 20
+
+
+def test_foreign_texts_are_rejected(spark, documents):
+    model = language.learn(documents)
+    texts = [
+        "La nave attraversava lentamente il porto mentre la gente sul molo aspettava notizie delle proprie famiglie lontane e poi tutti tornavano verso casa",
+        "O navio atravessava lentamente o porto enquanto as pessoas no cais esperavam notícias das suas famílias distantes e depois voltavam para casa",
+        "Het schip voer langzaam door de haven terwijl de mensen op de kade stonden te wachten op nieuws van hun familie overzee en daarna gingen zij naar huis",
+        "Laiva kulki hitaasti sataman halki kun ihmiset laiturilla odottivat uutisia perheistään ja sitten he menivät kotiin",
+        "Gemi limandan yavaşça geçerken rıhtımdaki insanlar ailelerinden haber bekliyordu ve sonra evlerine gittiler",
+        "Корабль медленно шёл через гавань, пока люди на причале ждали вестей от своих семей", "船慢慢地穿过港口码头上的人们在等待家人的消息"]
+    rows = language.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), model).collect()
+    assert len(rows) == len(texts) and all(r.rejected for r in rows)
+
+
 def test_a_mislabelled_document_does_not_lift_the_limit(spark, documents):
     """One mixed document that is labelled and predicted 'en' leaves foreign text rejected."""
     own = documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "lang")
