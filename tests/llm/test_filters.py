@@ -1,9 +1,13 @@
 """URL filters and licence scans."""
 
 import datetime as dt
+import math
 import re
+import struct
 
 import duckdb
+import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from holdfast.llm import licences, queries, url_filter
@@ -74,8 +78,12 @@ def test_many_changes_in_an_hour_and_zones(spark):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
-def test_licence_lines_are_found(documents):
-    model = licences.train(documents)
+@pytest.fixture(scope="module")
+def model(documents):
+    return licences.train(documents)
+
+
+def test_licence_lines_are_found(documents, model):
     notice = re.compile("licensed under|released under the", re.I)
     want = {(r.doc_id, i) for r in documents.collect() for i, x in enumerate((r.text or "").split("\n")) if notice.search(x)}
     got = {(r.doc_id, r.paragraph) for r in licences.scan(documents, model).where("confirmed").collect()}
@@ -86,9 +94,8 @@ def test_licence_lines_are_found(documents):
     assert all(r.doc_id == r.family for r in rows) and len(rows) >= 0.9 * sum(map(len, licences.TEMPLATES.values()))
 
 
-def test_licence_notice_inside_a_long_line(documents):
+def test_licence_notice_inside_a_long_line(documents, model):
     """A notice amid 5,000 words of one line is found wherever it stands; without one the line is not."""
-    model = licences.train(documents)
     words = " ".join(r.text for r in documents.where("text is not null").orderBy("doc_id").collect())
     words = re.sub("licen[sc]e\\w*|released", "", words, flags=re.I).split()[:5000]
     notices = {f: s[1] for f, s in licences.TEMPLATES.items()}
@@ -98,6 +105,68 @@ def test_licence_notice_inside_a_long_line(documents):
     assert len(words) == 5000 and got == {(i, i.split(" ")[0]) for i, _ in rows}
 
 
+def _plain_best(text, model):
+    """The best family of a paragraph by plain Python: hashed words and pairs, logits, softmax, windows."""
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    step = lambda h, seed: xxhash.xxh64_intdigest(struct.pack("<q", signed(h)), seed)
+    hashes = [xxhash.xxh64_intdigest(w, 42) for w in re.sub("[^a-z0-9]+", " ", text.lower()).split()]
+    best = (0.0, 0)
+    for at in range(0, max(len(hashes) - licences.WINDOW, 0) + licences.STEP, licences.STEP):
+        part = hashes[at:at + licences.WINDOW]
+        terms = part + [step(b, step(a, 42)) for a, b in zip(part, part[1:])]
+        buckets = {t % licences.BUCKETS for t in terms}
+        z = [c + sum(w[b] for b in buckets) for w, c in zip(model.weights, model.intercepts)]
+        e = [math.exp(x - max(z)) for x in z]
+        family = max(range(1, len(e)), key=lambda i: (e[i], -i))
+        best = max(best, (e[family] / sum(e), family), key=lambda x: x[0])
+    return best
+
+
+def test_licence_probabilities_same_as_plain(spark, documents, model):
+    """Also shows that no window which the bound leaves out could have had a family."""
+    lines = {x for r in documents.where("text is not null").limit(300).collect() for x in r.text.split("\n") if x.isascii()}
+    lines |= {x for listed in licences.TEMPLATES.values() for x in listed} | {x.replace("License", "Licence text") for x in sorted(lines)[:20]}
+    lines |= {" ".join(sorted(lines)[:40]), "", "MIT", "the GNU General Public License"}
+    frame = spark.createDataFrame([(x,) for x in sorted(lines)], "line string").repartition(8)
+    got = {r.line: r.v for r in frame.select("line", licences._best(F.col("line"), model).alias("v")).collect()}
+    likely = 0
+    for line, v in got.items():
+        probability, family = _plain_best(line, model)
+        if probability >= licences.LEAST_PROBABILITY:
+            likely += 1
+            assert v.probability == pytest.approx(probability, abs=1e-9) and v.best == family
+        else:
+            assert v.probability < licences.LEAST_PROBABILITY
+    assert likely >= sum(map(len, licences.TEMPLATES.values()))
+
+
+CONFIRMED = {
+    "Licensed under CC BY-SA 4.0.": "CC-BY-SA-4.0", "Licensed under CC BY 4.0.": "CC-BY-4.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+    "This work is licensed under a Creative Commons Attribution 4.0 International License.": "CC-BY-4.0",
+    "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "CC-BY-SA-4.0",
+    "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0",
+    "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
+    "This work is licensed under the GNU Lesser General Public License, version 3.": "LGPL-3.0",
+    "This work is licensed under the GNU Affero General Public License, version 3.": "AGPL-3.0",
+    "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Licensed under the Apache License, Version 1.1.": "Apache-1.1",
+    "Licensed under the Mozilla Public License, version 2.0.": "MPL-2.0", "SPDX-License-Identifier: MIT": "MIT", "// SPDX-License-Identifier: MIT": "MIT",
+    "The MIT License (MIT)": "MIT", "Released under the MIT License.": "MIT", "Licensed under CC0 1.0 Universal.": "CC0-1.0",
+    "SPDX-License-Identifier: GPL-2.0-or-later": "GPL-2.0", "# SPDX-License-Identifier: Apache-2.0": "Apache-2.0",
+}
+DENIED = (
+    "Not licensed under the Apache License, Version 2.0.", "This work is not licensed under the GNU General Public License, version 3.",
+    "This is not released under the MIT License.", "Licensed under the Apache License, Version 9.0.", "Licensed under CC BY-NC 2.0.",
+    "This work is licensed under the GNU General Public License, version 1.", "SPDX-License-Identifier: WTFPL",
+    "Licensed under the BSD 4-Clause License.", "The driver must hold a licence of version 3.", "released under the moon",
+)
+
+
+def test_versions_variants_and_denials(spark, model):
+    rows = [(x, x) for x in [*CONFIRMED, *DENIED]]
+    got = {r.doc_id: r.family for r in licences.scan(spark.createDataFrame(rows, "doc_id string, text string"), model).where("confirmed").collect()}
+    assert got == CONFIRMED
+
+
 def test_licence_scan_of_awkward_rows(awkward, empty):
     model = licences.train(awkward)
     assert licences.scan(awkward, model).count() == 0
