@@ -1,8 +1,8 @@
 """Licence scans: a trained paragraph classifier confirmed by comparison with templates.
 
 Every line of a text is a paragraph. Its words and pairs of neighbouring words (ASCII letters and digits,
-lower-cased) are hashed into ``BUCKETS`` binary features, and a sparse multinomial logistic regression
-gives the probability of each licence family and of none. A paragraph of more than ``WINDOW`` words is scored
+lower-cased) are hashed into ``BUCKETS`` binary features, of which those that occur in template passages count, and a
+sparse multinomial logistic regression gives the probability of each licence family and of none. A paragraph of more than ``WINDOW`` words is scored
 in overlapping windows, one beginning every ``STEP`` words, so that the features of a long one do not fill all
 buckets; its window with the most probable family speaks for it. The classifier is trained on passages cut from the
 templates and on paragraphs of a bounded sample of documents. A family must reach a probability that only
@@ -206,9 +206,10 @@ _SAME = sum(1 << i for i in range(len(REQUIRED) + len(VERSIONS), len(_MARKS)))
 
 @dataclass
 class Model:
-    """Weights by family and bucket, intercepts, and the probability that counts as a detection."""
+    """The weighted buckets, weights by family over them, intercepts, and the probability that counts as a detection."""
 
     families: list[str]
+    buckets: list[int]
     weights: list[list[float]]
     intercepts: list[float]
     least: float
@@ -326,12 +327,16 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     rows = durable(rows.select(labels[F.col("family")].alias("label"), "paragraph", "weight", F.explode(let(_hashes(F.col("paragraph")), _windows)).alias("window"),
                                (F.pmod(F.xxhash64("paragraph"), F.lit(5)) == 0).alias("holds"))
                    .withColumn("terms", _buckets(F.col("window")).cast("array<string>")))
-    sparse = CountVectorizerModel.from_vocabulary([str(b) for b in range(BUCKETS)], "terms", "features").setBinary(True)
+    # At most ``BUCKETS`` numbers.
+    vocabulary = sorted(int(r[0]) for r in rows.where("label > 0").select(F.explode("terms")).distinct().collect())
+    sparse = CountVectorizerModel.from_vocabulary([str(b) for b in vocabulary], "terms", "features").setBinary(True)
     fitted = LogisticRegression(regParam=0.001, elasticNetParam=0.5, maxIter=60, family="multinomial", weightCol="weight").fit(
         sparse.transform(rows.where("label > 0 or not holds")))
-    matrix, n = fitted.coefficientMatrix.toArray(), fitted.numClasses
-    weights = [[round(float(x), 6) for x in matrix[c]] if c < n else [0.0] * BUCKETS for c in range(len(families))]
-    model = Model(families, weights, [float(fitted.interceptVector[c]) if c < n else -50.0 for c in range(len(families))], LEAST_PROBABILITY)
+    matrix, n = fitted.coefficientMatrix.toArray().round(6), fitted.numClasses
+    used = [i for i in range(len(vocabulary)) if matrix[:, i].any()]
+    weights = [[float(matrix[c, i]) for i in used] if c < n else [0.0] * len(used) for c in range(len(families))]
+    intercepts = [float(fitted.interceptVector[c]) if c < n else -50.0 for c in range(len(families))]
+    model = Model(families, [vocabulary[i] for i in used], weights, intercepts, LEAST_PROBABILITY)
     held = rows.where("label = 0 and holds").select("paragraph").distinct().select(_best(F.col("paragraph"), model)["probability"].alias("p"))
     highest = held.agg(F.expr(f"percentile(p, {CALIBRATION})")).first()[0]
     model.least = max(LEAST_PROBABILITY, min(highest or 0.0, 0.99))
@@ -343,12 +348,11 @@ def _best(paragraph: Column, model: Model) -> Column:
     ``model.families``) and ``probability``; of equal ones the first. Place and probability are 0 where no
     family can reach ``LEAST_PROBABILITY``."""
     n = len(model.families)
-    used = [b for b in range(BUCKETS) if any(w[b] for w in model.weights)]
-    place = {b: i + 1 for i, b in enumerate(used)}
+    place = {b: i + 1 for i, b in enumerate(model.buckets)}
     slot = _constant([place.get(b, 0) for b in range(BUCKETS)], "int")
-    weights = [[0.0, *[w[b] for b in used]] for w in model.weights]
+    weights = [[0.0, *w] for w in model.weights]
     # How far a feature lifts, at most, any family above none; a family of probability one half lies above none.
-    lifts = [max(w[i] for w in weights[1:]) - weights[0][i] for i in range(len(used) + 1)]
+    lifts = [max(w[i] for w in weights[1:]) - weights[0][i] for i in range(len(place) + 1)]
     start = max(model.intercepts[1:]) - model.intercepts[0]
 
     def total(found: Column, values: list[float], first: float) -> Column:
@@ -385,7 +389,9 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """
     listed = templates(docs.sparkSession)
     lines = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("paragraph", "line"))
-    scored = lines.withColumn("v", _best(F.col("line"), model)).where((F.col("v.best") > 0) & (F.col("v.probability") >= model.least))
+    # Made by a generator, a verdict is reached once a line; a condition on a column would repeat its whole expression.
+    found = F.filter(F.array(_best(F.col("line"), model)), lambda v: (v["best"] > 0) & (v["probability"] >= model.least))
+    scored = lines.select("*", F.explode(found).alias("v"))
     named = scored.withColumn("family", F.get(F.array(*map(F.lit, model.families)), F.col("v.best")))
 
     def judged(like: Column, marks: Column) -> Column:
@@ -396,7 +402,7 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             F.array_max(F.transform(F.filter(r, lambda t: t["agrees"]), lambda t: t["like"])).alias("most"),
             F.array_max(F.transform(F.filter(r, lambda t: t["agrees"] & (t["family"] == F.col("family"))), lambda t: t["like"])).alias("own")))
 
-    compared = named.withColumn("c", let(_similarities(F.col("line"), listed), lambda like: let(_marks(F.col("line")), lambda m: judged(like, m))))
+    compared = named.select("*", F.explode(F.array(let(_similarities(F.col("line"), listed), lambda like: let(_marks(F.col("line")), lambda m: judged(like, m))))).alias("c"))
     return compared.select(
         "doc_id", F.col("paragraph").cast("long").alias("paragraph"), "family", F.round("v.probability", 6).alias("probability"),
         "c.similarity", F.coalesce((F.col("c.own") >= SIMILARITY) & (F.col("c.own") == F.col("c.most")), F.lit(False)).alias("confirmed"))

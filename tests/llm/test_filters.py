@@ -115,7 +115,7 @@ def _plain_best(text, model):
         part = hashes[at:at + licences.WINDOW]
         terms = part + [step(b, step(a, 42)) for a, b in zip(part, part[1:])]
         buckets = {t % licences.BUCKETS for t in terms}
-        z = [c + sum(w[b] for b in buckets) for w, c in zip(model.weights, model.intercepts)]
+        z = [c + sum(x for x, b in zip(w, model.buckets) if b in buckets) for w, c in zip(model.weights, model.intercepts)]
         e = [math.exp(x - max(z)) for x in z]
         family = max(range(1, len(e)), key=lambda i: (e[i], -i))
         best = max(best, (e[family] / sum(e), family), key=lambda x: x[0])
