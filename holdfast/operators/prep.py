@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.functions.scalars import MISSING, fill_category, hash_key, long_cells
@@ -145,23 +145,41 @@ def ordered_target_encode(df: DataFrame, columns: Sequence[str], part: str = "pa
     prior = df.filter(train).agg(F.avg(target)).first()[0]
     cells = long_cells(fill_categories(df.select(key, part, target, *columns), columns),
                        [key, part, target], columns)
-    seen = cells.filter(train).select(
-        key, part, "feature", "value", hash_key(F.col(key), seed).alias("_h"),
-        F.col(target).cast("long").alias("_y"), F.lit(1).cast("long").alias("_one"))
-    running = running_sums(seen, [F.col("_h"), F.col(key)], {"_sy": "_y", "_sn": "_one"},
-                           group=["feature", "value"])
-
-    def smoothed(positives, rows):
-        return (positives + F.lit(smoothing * prior)) / (rows + F.lit(smoothing))
-
-    own = running.select(key, part, "feature", "value",
-                         smoothed(F.col("_sy") - F.col("_y"), F.col("_sn") - 1).alias("encoded"))
     totals = cells.filter(train).groupBy("feature", "value").agg(
         F.sum(target).alias("_sy"), F.count(F.lit(1)).alias("_sn"))
     others = cells.filter(~train).join(durable(totals), ["feature", "value"], "left").select(
         key, part, "feature", "value",
-        smoothed(F.coalesce("_sy", F.lit(0)), F.coalesce("_sn", F.lit(0))).alias("encoded"))
-    return own.unionByName(others)
+        _smoothed(F.coalesce("_sy", F.lit(0)), F.coalesce("_sn", F.lit(0)), prior, smoothing).alias("encoded"))
+    return _rows_before(cells.filter(train), prior, [key, part], key, target, smoothing, seed).unionByName(others)
+
+
+def _smoothed(positives: Column, rows: Column, prior: float, smoothing: float) -> Column:
+    return (positives + F.lit(smoothing * prior)) / (rows + F.lit(smoothing))
+
+
+def _rows_before(cells: DataFrame, prior: float, keep: Sequence[str], key: str, target: str, smoothing: float,
+                 seed: int | str) -> DataFrame:
+    """Training cells with the smoothed mean of the cells before them: columns ``keep``, feature, value, encoded."""
+    seen = cells.select(*keep, "feature", "value", hash_key(F.col(key), seed).alias("_h"),
+                        F.col(target).cast("long").alias("_y"), F.lit(1).cast("long").alias("_one"))
+    running = running_sums(seen, [F.col("_h"), F.col(key)], {"_sy": "_y", "_sn": "_one"}, group=["feature", "value"])
+    before = _smoothed(F.col("_sy") - F.col("_y"), F.col("_sn") - 1, prior, smoothing)
+    return running.select(*keep, "feature", "value", before.alias("encoded"))
+
+
+def encode_ordered(df: DataFrame, columns: Sequence[str], part: str = "part", key: str = ID, target: str = TARGET,
+                   smoothing: float = 1.0, seed: int | str = "ordered", suffix: str = "_te") -> DataFrame:
+    """Add ``<column>_te``, the values of ``ordered_target_encode``, to every row.
+
+    Only training rows, whose values depend on the rows before them, go through one row per cell and back;
+    all others, NULL parts among them, look up the totals of the training part.
+    """
+    train = F.coalesce(F.col(part) == "train", F.lit(False))
+    fitting = df.filter(train)
+    lookup, prior = fit_target_lookup(fitting, columns, target, smoothing)
+    cells = long_cells(fill_categories(fitting.select(key, target, *columns), columns), [key, target], columns)
+    own = encoded_columns(fitting, _rows_before(cells, prior, [key], key, target, smoothing, seed), columns, key, suffix)
+    return own.unionByName(apply_target_lookup(df.filter(~train), lookup, prior, columns, suffix))
 
 
 def fit_target_lookup(train: DataFrame, columns: Sequence[str], target: str = TARGET,
@@ -170,7 +188,7 @@ def fit_target_lookup(train: DataFrame, columns: Sequence[str], target: str = TA
     prior = train.agg(F.avg(target)).first()[0]
     totals = long_cells(fill_categories(train.select(target, *columns), columns), [target], columns).groupBy(
         "feature", "value").agg(F.sum(target).alias("s"), F.count(F.lit(1)).alias("n"))
-    encoded = (F.col("s") + F.lit(smoothing * prior)) / (F.col("n") + F.lit(smoothing))
+    encoded = _smoothed(F.col("s"), F.col("n"), prior, smoothing)
     return totals.select("feature", "value", encoded.alias("encoded")), prior
 
 

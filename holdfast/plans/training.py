@@ -58,8 +58,7 @@ def fit_side_by_side(fits: Mapping[str, Callable[[], FittedModel]], at_once: int
 def encode_categories(df: DataFrame) -> DataFrame:
     """Replace text predictors by their ordered target statistic."""
     _, categorical = models.feature_groups(df)
-    encoded = prep.ordered_target_encode(df, categorical)
-    return durable(prep.encoded_columns(df, encoded, categorical).drop(*categorical))
+    return durable(prep.encode_ordered(df, categorical).drop(*categorical))
 
 
 def fit_categorical(encoded: DataFrame, name: str, presets: Mapping[str, Boosting] = BOOSTING) -> FittedModel:

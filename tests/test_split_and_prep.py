@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from holdfast.functions import scalars
 from holdfast.operators import features, prep, split
-from holdfast.schema import ID
+from holdfast.schema import ID, TARGET
 
 
 def labelled(spark, n, every=3):
@@ -122,3 +122,20 @@ def test_ordered_encoding_never_sees_its_own_label(spark):
     prior = sum(r[2] for r in rows if r[1] == "train") / 40
     want = (sum(r[2] for r in hot) + prior) / (len(hot) + 1)
     assert all(base[r[0]] == pytest.approx(want) for r in rows if r[1] == "test" and r[3] == "hot")
+
+
+def test_columns_encoded_in_order_same_as_long_form(spark):
+    """Also for unseen categories, NULL values and rows without a part."""
+    parts = ["train", "train", "train", "validation", "test"]
+    rows = [(i, parts[i % 5], i % 3 % 2, None if i % 11 == 0 else "abc"[i % 3], "new" if i % 25 == 4 else "xy"[i % 2], i * 1.5) for i in range(400)]
+    df = spark.createDataFrame(rows, f"{ID} long, part string, {TARGET} int, c string, d string, n double").repartition(4)
+    long = prep.ordered_target_encode(df, ["c", "d"])
+    want = {r[ID]: r for r in prep.encoded_columns(df, long, ["c", "d"]).collect()}
+    got = {r[ID]: r for r in prep.encode_ordered(df, ["c", "d"]).collect()}
+    assert len(got) == len(rows) and got.keys() == want.keys()
+    for key, r in got.items():
+        assert (r.part, r.c, r.d, r.n) == (want[key].part, want[key].c, want[key].d, want[key].n)
+        assert abs(r.c_te - want[key].c_te) < 1e-12 and abs(r.d_te - want[key].d_te) < 1e-12
+    extra = spark.createDataFrame([(1000, None, None, "a", "z", 0.0)], df.schema)
+    added = prep.encode_ordered(df.unionByName(extra), ["c", "d"]).where(f"{ID} = 1000").first()
+    assert added.d_te == prep.fit_target_lookup(df.where("part = 'train'"), ["d"])[1]
