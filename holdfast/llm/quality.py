@@ -6,8 +6,8 @@ in ``BUCKETS`` buckets): one of trusted documents, one of the whole raw corpus.
 mean log-likelihood ratio per feature; a document scoring below the threshold is rejected. The
 threshold is derived from the trusted documents alone and applied to every document alike.
 
-The corpus is counted in full. The trusted side may be bounded by ``TRUSTED_ROWS`` labelled rows, the ones
-with the smallest hashes of their ids; that bound is what allows their ids to be broadcast.
+Corpus and trusted documents are counted in full. A caller may bound the trusted side of the counts to the
+labelled rows with the smallest hashes of their ids.
 """
 
 from __future__ import annotations
@@ -19,7 +19,6 @@ from holdfast.llm.common import let, words
 from holdfast.session import durable
 
 BUCKETS = 1 << 14
-TRUSTED_ROWS = 10_000
 MIN_WORDS = 50
 #: A document may score this many standard deviations of the trusted scores below their mean.
 SPREADS = 8.0
@@ -92,12 +91,14 @@ def _counts(docs: DataFrame, text_col: str, buckets: int) -> DataFrame:
     return docs.select(F.explode(let(_word_hashes(words(F.col(text_col))), lambda h: _buckets(h, buckets))).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
-def trusted_sample(docs: DataFrame, trusted: DataFrame, id_col: str, rows: int) -> DataFrame:
-    """The rows of ``docs`` whose id is among the ``rows`` trusted ids (``doc_id``) of smallest hash that
-    ``docs`` has."""
-    known = docs.select(F.col(f"`{id_col}`").alias("doc_id"))
-    ids = trusted.select("doc_id").distinct().join(known, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.join(F.broadcast(durable(ids).withColumnRenamed("doc_id", "_trusted_id")), F.col(f"`{id_col}`") == F.col("_trusted_id"), "left_semi")
+def trusted_sample(docs: DataFrame, trusted: DataFrame, id_col: str, rows: int | None = None) -> DataFrame:
+    """The rows of ``docs`` whose id is a trusted one (``doc_id``); with ``rows``, among the ``rows`` trusted ids of
+    smallest hash that ``docs`` has."""
+    ids = trusted.select("doc_id")
+    if rows is not None:
+        known = docs.select(F.col(f"`{id_col}`").alias("doc_id"))
+        ids = durable(ids.distinct().join(known, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
+    return docs.join(ids.withColumnRenamed("doc_id", "_trusted_id"), F.col(f"`{id_col}`") == F.col("_trusted_id"), "left_semi")
 
 
 def ratios(corpus: DataFrame, target: DataFrame, text_col: str = "text", buckets: int = BUCKETS) -> list[float]:
@@ -122,18 +123,18 @@ def threshold(scored: DataFrame, trusted: DataFrame, id_col: str = "doc_id", spr
 
 
 def rate(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-         trusted_rows: int = TRUSTED_ROWS, keep: list[str] | None = None) -> DataFrame:
+         trusted_rows: int | None = None, keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` of ``docs`` (all by default; the id among them) as struct ``row``, with ``rules``
     (see ``measured``) and ``kept``.
 
     ``trusted`` has the ids (``doc_id``) of trusted documents; ids that ``docs`` does not have count for
     nothing. NULL and empty texts have no words and fail the rules. Without any trusted document all
-    documents that pass the rules are kept. Rows with equal ids are rated one by one. An empty table gives
+    documents that pass the rules are kept. All trusted documents are counted unless ``trusted_rows`` bounds
+    them. Rows with equal ids are rated one by one. An empty table gives
     no rows.
     """
-    # Written, so that the costly figures are not computed before the rows are chosen.
-    target = durable(trusted_sample(docs, trusted, id_col, trusted_rows))
-    # Written too: every text is scored once, then its score is read for the threshold and for the verdict.
+    target = trusted_sample(docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([id_col, text_col])]), trusted, id_col, trusted_rows)
+    # Written: every text is scored once, then its score is read for the threshold and for the verdict.
     scored = durable(measured(docs, ratios(docs, target, text_col), text_col, keep))
     verdict = F.coalesce(F.col("rules.score") >= threshold(scored, trusted, id_col), F.lit(False))
     return scored.withColumn("kept", ~F.col("rules.base_failed") & verdict)

@@ -71,6 +71,13 @@ def test_threshold_is_that_of_all_trusted_documents(spark, documents):
     assert len(scores) > 10 and [r.kept for r in rows] == [not r.rules.base_failed and r.rules.score >= least for r in rows]
 
 
+def test_all_trusted_documents_are_counted(spark, monkeypatch):
+    docs = spark.range(0, 10_050, 1, 2).selectExpr("id as doc_id", "concat('w', id % 7) as text")
+    trusted, counted, ratios = docs.select("doc_id").where("doc_id <> 3"), [], quality.ratios
+    monkeypatch.setattr(quality, "ratios", lambda corpus, target, *rest: counted.append(target.count()) or ratios(corpus, target, *rest))
+    assert quality.rate(docs, trusted.unionByName(trusted)).count() == 10_050 and counted == [10_049]
+
+
 def test_awkward_rows(spark, awkward, empty):
     trusted = spark.createDataFrame([(1,), (None,), (99,)], "doc_id long")
     rated = quality.rate(awkward, trusted)
