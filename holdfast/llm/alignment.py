@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdfast.llm.bpe import byte_symbols
-from holdfast.llm.common import map_texts, slices
+from holdfast.llm.common import map_texts, slices, worker_tables
 from holdfast.session import durable
 
 VOCABULARY_A = public_tokenizers.path("byte_bpe_50k.json")
@@ -179,6 +179,7 @@ def group_labels(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np
     return label[:n_a], label[n_a:]
 
 
+@worker_tables
 @lru_cache(maxsize=1)
 def shared_aligner(path_a: str, path_b: str) -> Aligner:
     """The aligner of a worker process; what it remembers is kept from task to task."""

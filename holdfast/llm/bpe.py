@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from holdfast.llm.common import map_texts
+from holdfast.llm.common import map_texts, worker_tables
 from holdfast.llm.lookup import KeyTable, equal_spans, span_hashes
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -248,6 +248,7 @@ class WordBpe:
         return " ".join(map(self.names.__getitem__, ids))
 
 
+@worker_tables
 @lru_cache(maxsize=1)
 def shared_bpe(path: str) -> WordBpe:
     """The encoder of a worker process; its tables and cache are kept from task to task."""

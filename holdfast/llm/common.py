@@ -48,6 +48,24 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         yield batch.slice(start)
 
 
+_TABLES: list[Callable[[], None]] = []
+_LAST = [""]
+
+
+def worker_tables(cached: Callable) -> Callable:
+    """Mark a cached function whose tables a worker keeps from task to task of one operator."""
+    _TABLES.append(cached.cache_clear)
+    return cached
+
+
+def begin(operator: str) -> None:
+    """At the start of a task: a worker that last served another operator drops the tables it kept for that one."""
+    if _LAST[0] != operator:
+        _LAST[0] = operator
+        for clear in _TABLES:
+            clear()
+
+
 def map_texts(docs: DataFrame, keep: list[str | Column], text_col: str, schema: str,
               make: Callable[[], Callable[[pa.RecordBatch, list[bytes]], pa.RecordBatch]]) -> DataFrame:
     """Run a worker function over (columns ``keep``, text as UTF-8 bytes) in small parts.
@@ -59,6 +77,7 @@ def map_texts(docs: DataFrame, keep: list[str | Column], text_col: str, schema:
                          F.col(text_col).cast("binary").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin(make.__module__)
         work = make()
         for batch in batches:
             for part in slices(batch, "t"):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.llm.common import map_texts, slices
+from holdfast.llm.common import begin, map_texts, slices
 from holdfast.llm.lookup import KeyTable
 from holdfast.session import durable
 
@@ -102,6 +102,7 @@ def count_grams(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     source = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).cast("binary").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin(__name__)
         symbols = Symbols()
         held: dict[str, tuple[KeyTable, np.ndarray, np.ndarray]] = {}
 

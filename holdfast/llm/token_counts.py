@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
 from holdfast.llm.bpe import byte_symbols
-from holdfast.llm.common import map_texts
+from holdfast.llm.common import map_texts, worker_tables
 from holdfast.llm.lookup import KeyTable
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -205,6 +205,7 @@ class Counter:
         return extra
 
 
+@worker_tables
 @lru_cache(maxsize=1)
 def shared_counter(path: str) -> Counter:
     """The counter of a worker process; its compiled transitions are kept from task to task."""
