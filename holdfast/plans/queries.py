@@ -363,7 +363,8 @@ def gains(spark, folder) -> DataFrame:
 
 
 def importance_blend(spark, folder):
-    base = engineered(spark, folder)
+    inputs = dict.fromkeys(t.feature for m in blend.TREE_ONLY_ENSEMBLE for t in scorecard.SCORECARDS[m])
+    base = durable(engineered(spark, folder).select(*inputs))  # every member reads it
     tables = {m: scorecard.scorecard_importance(base, scorecard.SCORECARDS[m]) for m in blend.TREE_ONLY_ENSEMBLE}
     return rounded(importance.blend_importance(tables, blend.TREE_ONLY_ENSEMBLE))
 
