@@ -6,14 +6,11 @@ has them. Training rows stay distributed; what reaches the driver is the model.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Sequence
-from multiprocessing.pool import ThreadPool
 from typing import NamedTuple
 
-from pyspark import inheritable_thread_target
 from pyspark.ml import Model, Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +19,7 @@ from pyspark.sql import functions as F
 from holdfast.functions.scalars import hash_fraction, numeric_columns, text_columns
 from holdfast.operators import metrics, prep
 from holdfast.operators.boosting import Boosting, boost
+from holdfast.operators.forest import POISSON, grow_forest
 from holdfast.operators.stages import CategoryFill, MedianImputer, RareCategoryGrouper, Standardiser
 from holdfast.schema import ID, TARGET
 from holdfast.session import durable, frees_scratch
@@ -152,13 +150,11 @@ def _fit_trees(fitting: DataFrame, training: DataFrame, numeric: list[str], cate
 @frees_scratch
 def fit_forest(train: DataFrame, trees: int = FOREST_TREES, depth: int = FOREST_DEPTH,
                leave_out: Sequence[str] = ()) -> FittedModel:
-    """Random forest with balanced classes and square-root feature subsets."""
+    """Random forest with balanced classes and square-root feature subsets (see ``forest``)."""
     numeric, categorical = feature_groups(train, leave_out)
-    weighted = durable(with_class_weights(with_label(train)))
-    classifier = RandomForestClassifier(
-        labelCol="_label", weightCol="_weight", numTrees=trees, maxDepth=depth, seed=SEED,
-        minInstancesPerNode=FOREST_MIN_ROWS, featureSubsetStrategy="sqrt")
-    return _fit_trees(weighted, weighted, numeric, categorical, lambda rows, bins: classifier.setMaxBins(bins).fit(rows))
+    labelled = durable(with_label(train))
+    return _fit_trees(labelled, labelled, numeric, categorical,
+                      lambda rows, bins: grow_forest(rows, trees, depth, FOREST_MIN_ROWS, bins))
 
 
 def balanced_bootstrap(rows: DataFrame, tree: int, key: str = ID, label: str = "_label", seed: int = SEED) -> DataFrame:
@@ -168,7 +164,7 @@ def balanced_bootstrap(rows: DataFrame, tree: int, key: str = ID, label: str = "
     ``_weight`` is draws x drawn rows / (classes x drawn rows of the class).
     """
     u = F.pmod(F.xxhash64(F.col(key), F.lit(seed), F.lit(tree)), F.lit(1 << 52)) / float(1 << 52)
-    draws = sum((F.when(u >= below, 1).otherwise(0) for below in _POISSON), F.lit(0))
+    draws = sum((F.when(u >= below, 1).otherwise(0) for below in POISSON), F.lit(0))
     drawn = rows.withColumn("_draws", draws).where("_draws > 0")
     totals = {r[label]: r["n"] for r in drawn.groupBy(label).agg(F.sum("_draws").alias("n")).collect()}
     whole, weight = sum(totals.values()), F.lit(1.0)
@@ -177,41 +173,14 @@ def balanced_bootstrap(rows: DataFrame, tree: int, key: str = ID, label: str = "
     return drawn.withColumn("_weight", weight * F.col("_draws")).drop("_draws")
 
 
-#: Chances of at most 0, 1, 2, ... of a Poisson number with mean one.
-_POISSON = [math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1)) for k in range(12)]
-
-
 @frees_scratch
 def fit_balanced_forest(train: DataFrame, trees: int = FOREST_TREES, depth: int = FOREST_DEPTH,
-                        leave_out: Sequence[str] = (), at_once: int = 4) -> FittedModel:
-    """Random forest whose trees each balance the classes of their own bootstrap (see ``balanced_bootstrap``).
-
-    Every tree is a fit of its own, ``at_once`` at a time: MLlib's forest, which grows trees together, takes one
-    weight for a row. ``fit_forest`` with weights of the whole training part needs far fewer passes.
-    """
+                        leave_out: Sequence[str] = ()) -> FittedModel:
+    """Random forest whose trees each balance the classes of their own bootstrap (see ``balanced_bootstrap``)."""
     numeric, categorical = feature_groups(train, leave_out)
     labelled = durable(with_label(train))
-
-    def grow(rows: DataFrame, bins: int) -> RandomForestClassificationModel:
-        def one(tree: int):
-            learner = RandomForestClassifier(
-                labelCol="_label", weightCol="_weight", numTrees=1, bootstrap=False, maxDepth=depth, maxBins=bins, seed=SEED + tree,
-                minInstancesPerNode=FOREST_MIN_ROWS, featureSubsetStrategy="sqrt")
-            return learner.fit(balanced_bootstrap(rows, tree)).trees[0]
-
-        spark = rows.sparkSession
-        with ThreadPool(min(at_once, trees)) as pool:
-            grown = pool.map(inheritable_thread_target(spark)(one), range(trees))
-        java, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
-        array = gateway.new_array(java.org.apache.spark.ml.classification.DecisionTreeClassificationModel, trees)
-        for i, tree in enumerate(grown):
-            array[i] = tree._java_obj
-        whole = java.org.apache.spark.ml.classification.RandomForestClassificationModel(
-            f"BalancedForest_{grown[0].uid}", array, grown[0].numFeatures, grown[0].numClasses)
-        whole.set(whole.getParam("numTrees"), trees)
-        return RandomForestClassificationModel(whole)
-
-    return _fit_trees(labelled, labelled, numeric, categorical, grow)
+    return _fit_trees(labelled, labelled, numeric, categorical,
+                      lambda rows, bins: grow_forest(rows, trees, depth, FOREST_MIN_ROWS, bins, by_tree=True))
 
 
 @frees_scratch
