@@ -7,13 +7,17 @@ mean log-likelihood ratio per feature; a document scoring below the threshold is
 threshold is derived from the trusted documents alone and applied to every document alike.
 
 Corpus and trusted documents are counted in full. A caller may bound the trusted side of the counts to the
-labelled rows with the smallest hashes of their ids.
+labelled rows with the smallest hashes of their ids. Texts stay where they are: trusted ids reach them as bits
+of a hashed bitmap, and the few other ids that share a bit are found by a join of ids alone.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from holdfast.llm.common import let, words
 from holdfast.session import durable
@@ -23,6 +27,12 @@ MIN_WORDS = 50
 #: A document may score this many standard deviations of the trusted scores below their mean.
 SPREADS = 8.0
 SYMBOLS = "[^#*$%&|<>]+"
+#: Bits of the bitmap of trusted ids for each of them; of the other ids about one in as many shares a bit.
+BITS_PER_ID = 32
+#: Bits in a row of the bitmap (Spark's bitmaps are 4 kB), and most rows it has (32 MB); beyond, more ids share bits.
+ROW_BITS, BITMAP_ROWS = 8 * 4096, 8192
+#: Types whose equal values have equal hashes; ids of others are joined to the texts.
+_HASHED = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BinaryType)
 
 
 def _lines_twice(text: Column) -> Column:
@@ -98,7 +108,39 @@ def trusted_sample(docs: DataFrame, trusted: DataFrame, id_col: str, rows: int |
     if rows is not None:
         known = docs.select(F.col(f"`{id_col}`").alias("doc_id"))
         ids = durable(ids.distinct().join(known, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
-    return docs.join(ids.withColumnRenamed("doc_id", "_trusted_id"), F.col(f"`{id_col}`") == F.col("_trusted_id"), "left_semi")
+    kind = ids.schema["doc_id"].dataType
+    if kind != docs.schema[id_col].dataType or not (isinstance(kind, _HASHED) or kind == T.StringType()):
+        return docs.join(ids.withColumnRenamed("doc_id", "_trusted_id"), F.col(f"`{id_col}`") == F.col("_trusted_id"), "left_semi")
+    return _with_ids(docs, ids, id_col)
+
+
+def _slot(key: Column, rows: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(rows * ROW_BITS))
+
+
+def _with_ids(docs: DataFrame, ids: DataFrame, id_col: str, bitmap_rows: int = BITMAP_ROWS) -> DataFrame:
+    """The rows of ``docs`` whose id is among ``ids`` (``doc_id``, of the same type), without moving other columns.
+
+    A bitmap of the hashed ids is broadcast, at most ``bitmap_rows`` rows. Ids of ``docs`` that share a bit with one of
+    ``ids`` without being one are listed and left out; where they are too many to broadcast, that join moves the rows
+    that have a bit.
+    """
+    known = durable(ids.where("doc_id is not null").distinct())
+    rows = min(max(math.ceil(known.count() * BITS_PER_ID / ROW_BITS), 1), bitmap_rows)
+    slot = _slot(F.col("doc_id"), rows)
+    bitmap = F.broadcast(durable(known.groupBy(F.floor(slot / ROW_BITS).alias("_cell")).agg(
+        F.bitmap_construct_agg(F.pmod(slot, F.lit(ROW_BITS))).alias("_bits"))))
+
+    def marked(frame: DataFrame) -> DataFrame:
+        own = _slot(F.col(f"`{id_col}`"), rows)
+        at = F.pmod(own, F.lit(ROW_BITS)).cast("int")
+        octet = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+        with_bits = frame.where(F.col(f"`{id_col}`").isNotNull()).join(bitmap, F.floor(own / ROW_BITS) == F.col("_cell"))
+        return with_bits.where(F.getbit(octet, F.pmod(at, F.lit(8))) == 1).select(*[F.col(f"`{c}`") for c in frame.columns])
+
+    candidates = marked(docs.select(F.col(f"`{id_col}`"))).select(F.col(f"`{id_col}`").alias("_other")).distinct()
+    others = durable(candidates.join(known, F.col("_other") == F.col("doc_id"), "left_anti"))
+    return marked(docs).join(others, F.col(f"`{id_col}`") == F.col("_other"), "left_anti")
 
 
 def ratios(corpus: DataFrame, target: DataFrame, text_col: str = "text", buckets: int = BUCKETS) -> list[float]:

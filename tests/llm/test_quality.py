@@ -78,6 +78,32 @@ def test_all_trusted_documents_are_counted(spark, monkeypatch):
     assert quality.rate(docs, trusted.unionByName(trusted)).count() == 10_050 and counted == [10_049]
 
 
+def test_trusted_texts_are_not_moved(spark):
+    """Trusted ids too many to broadcast: the texts stay in place, and the rows found are exactly theirs."""
+    docs = spark.range(0, 4_000, 1, 3).selectExpr("if(id % 97 = 0, null, id % 3900 - 50) as doc_id", "concat('w', id) as text")
+    trusted = spark.range(-50, 10_000, 2).selectExpr("if(id % 31 = 0, null, id) as doc_id")
+    trusted = trusted.unionByName(trusted)
+    want = sorted(tuple(r) for r in docs.collect() if r.doc_id is not None and r.doc_id % 2 == 0 and r.doc_id % 31)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+    try:
+        for rows in (quality.BITMAP_ROWS, 1):  # in one row of the bitmap many ids share a bit
+            found = quality._with_ids(docs, trusted.select("doc_id"), "doc_id", rows)
+            assert sorted(tuple(r) for r in found.collect()) == want
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
+        found = quality.trusted_sample(docs, trusted, "doc_id")
+        assert sorted(tuple(r) for r in found.collect()) == want
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    narrow = trusted.selectExpr("cast(doc_id as int) as doc_id")
+    assert sorted(tuple(r) for r in quality.trusted_sample(docs, narrow, "doc_id").collect()) == want
+    texts = docs.selectExpr("cast(doc_id as string) as doc_id", "text")
+    named = trusted.selectExpr("cast(doc_id as string) as doc_id")
+    assert quality.trusted_sample(texts, named, "doc_id").count() == len(want)
+
+
 def test_awkward_rows(spark, awkward, empty):
     trusted = spark.createDataFrame([(1,), (None,), (99,)], "doc_id long")
     rated = quality.rate(awkward, trusted)
