@@ -64,9 +64,9 @@ class Top(NamedTuple):
     left: np.ndarray
 
 
-def _hash_int(value: int, seeds: np.ndarray) -> np.ndarray:
+def _hash_int(value: int | np.ndarray, seeds: np.ndarray) -> np.ndarray:
     """Spark's ``xxhash64`` of one more integer after those whose hashes are ``seeds``."""
-    h = (seeds + _P5 + np.uint64(4)) ^ np.uint64(value * int(_P1) & 0xFFFFFFFFFFFFFFFF)
+    h = (seeds + _P5 + np.uint64(4)) ^ (np.atleast_1d(value).astype(np.uint64) * _P1)
     h = ((h << np.uint64(23)) | (h >> np.uint64(41))) * _P2 + _P3
     h = (h ^ (h >> np.uint64(33))) * _P2
     h = (h ^ (h >> np.uint64(29))) * _P3
@@ -81,7 +81,7 @@ def draws(hashes: np.ndarray, tree: int) -> np.ndarray:
 
 def _features_of(keys: np.ndarray, shape: Shape) -> np.ndarray:
     """The features that each node looks at, ascending."""
-    order = np.stack([_hash_int(f, keys.astype(np.uint64) * _P1 + np.uint64(shape.seed)) for f in range(len(shape.arity))], axis=1)
+    order = _hash_int(np.arange(len(shape.arity)), (keys.astype(np.uint64) * _P1 + np.uint64(shape.seed))[:, None])
     return np.sort(np.argsort(order, axis=1, kind="stable")[:, :shape.chosen], axis=1)
 
 
