@@ -6,6 +6,9 @@ without a depth limit have mostly such nodes. Here features are cut into bins on
 rows of a smaller node are then moved together, once, and its subtree is grown there; no task holds more rows of a
 node than that.
 
+What a task moves of a small node's rows are records of many rows; the nodes of a tree are put together by one task and
+written to a file (see ``forest_model``), so the driver holds only the large nodes.
+
 A row's draws for a tree are Poisson numbers from its hash (see ``models.balanced_bootstrap``), so they are computed
 again wherever they are needed and do not depend on partitions. All counts are whole numbers, so neither do the trees.
 As MLlib's, nodes look at the square root of the number of features, and two leaves of one prediction are one.
@@ -19,22 +22,21 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from holdfast.operators.forest_model import Bins, ForestModel, Tree, full_path, store_of, write_tree
 from holdfast.schema import ID
-from holdfast.session import durable, scratch_folder
+from holdfast.session import durable, new_model_path
 
 SEED = 42
 #: A node of more rows is split by histograms; the subtree of one with fewer is grown by a single task.
 NODE_ROWS = 4096
 #: Nodes whose bins a task counts in one pass.
 NODES_AT_ONCE = 8192
-#: Rows of a batch; with all trees' draws a task holds a few of these.
-BATCH_ROWS = 4096
+#: Rows of a batch; with one tree's draws a task holds a few of these.
+BATCH_ROWS = 1 << 16
 #: Chances of at most 0, 1, 2, ... of a Poisson number with mean one.
 POISSON = [math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1)) for k in range(12)]
 
@@ -42,26 +44,49 @@ _P1, _P2, _P3, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4E
 
 
 class Shape(NamedTuple):
-    """What all nodes share. ``arity``: categories of each feature, 0 for numbers; ``cuts``: thresholds of the numbers."""
+    """What all nodes share. ``of``: how features are cut."""
 
-    cuts: list[np.ndarray]
-    arity: np.ndarray
-    bins: int
+    of: Bins
     min_rows: int
     count_draws: bool
     seed: int
 
+    @property
+    def arity(self) -> np.ndarray:
+        return self.of.arity
+
+    @property
+    def bins(self) -> int:
+        return self.of.bins
+
     @property
     def chosen(self) -> int:
         return math.ceil(math.sqrt(len(self.arity)))
 
 
 class Top(NamedTuple):
-    """Splits of large nodes by ascending key (``tree << 32 | path``; the root's path is 1, a node's children 2p and 2p + 1)."""
+    """Large nodes by ascending key (``tree << 32 | path``; the root's path is 1, a node's children 2p and 2p + 1).
+
+    ``feature`` is -1 without a split; ``n0`` and ``n1`` are draws by class.
+    """
 
     keys: np.ndarray
     feature: np.ndarray
+    cut: np.ndarray
     left: np.ndarray
+    n0: np.ndarray
+    n1: np.ndarray
+
+    def where(self, some: np.ndarray) -> Top:
+        return Top(*(c[some] for c in self))
+
+    def added(self, more: Top) -> Top:
+        both = Top(*(np.concatenate(pair) for pair in zip(self, more)))
+        return both.where(np.argsort(both.keys))
+
+    def of_tree(self, tree: int) -> Top:
+        a, b = np.searchsorted(self.keys, [tree << 32, (tree + 1) << 32])
+        return self.where(slice(a, b))
 
 
 def _hash_int(value: int | np.ndarray, seeds: np.ndarray) -> np.ndarray:
@@ -98,10 +123,8 @@ class _Best(NamedTuple):
     feature: np.ndarray  # -1: no split
     cut: np.ndarray
     left: np.ndarray
-    gain: np.ndarray
-    impurity: np.ndarray
-    weights: np.ndarray
-    raw: np.ndarray
+    n0: np.ndarray
+    n1: np.ndarray
     rows: np.ndarray
     left_rows: np.ndarray
 
@@ -109,18 +132,17 @@ class _Best(NamedTuple):
 def _best(cells: np.ndarray, features: np.ndarray, class_weights: np.ndarray, shape: Shape) -> _Best:
     """The split of the largest Gini gain for each node. ``class_weights``: two columns, by node."""
     _, nodes, m, b = cells.shape
-    order = np.broadcast_to(np.arange(b), (nodes, m, b)).copy()
     weights = cells[:2] * class_weights.T[:, :, None, None]
+    total, count = weights[:, :, 0].sum(axis=-1), cells[:, :, 0].sum(axis=-1)
+    placed = np.stack([*weights, cells[0] + cells[1] if shape.count_draws else cells[2], cells[2]])
     by_rate = shape.arity[features] > 0
     if by_rate.any():
         sub = weights[:, by_rate]
         whole = sub.sum(axis=0)
         rate = np.where(whole > 0, sub[1] / np.where(whole > 0, whole, 1), 2.0)  # categories without rows come last
-        order[by_rate] = np.argsort(rate, axis=-1, kind="stable")
-    total, count = weights[:, :, 0].sum(axis=-1), cells[:, :, 0].sum(axis=-1)
-    counted = cells[0] + cells[1] if shape.count_draws else cells[2]
-    placed = np.stack([np.take_along_axis(x, order, axis=-1) for x in (*weights, counted, cells[2])]).cumsum(axis=-1)
-    l0, l1, n, left_rows = placed
+        order = np.argsort(rate, axis=-1, kind="stable")
+        placed[:, by_rate] = np.take_along_axis(placed[:, by_rate], np.broadcast_to(order, (4, *order.shape)), axis=-1)
+    l0, l1, n, left_rows = placed.cumsum(axis=-1, out=placed)
     r0, r1 = total[0][:, None, None] - l0, total[1][:, None, None] - l1
     w = total.sum(axis=0)
     parent = 2 * total[0] * total[1] / np.maximum(w, 1e-300)
@@ -134,98 +156,110 @@ def _best(cells: np.ndarray, features: np.ndarray, class_weights: np.ndarray, sh
     flat = gain.reshape(nodes, -1)
     at = flat.argmax(axis=1)
     each, j, cut = np.arange(nodes), at // b, at % b
-    got = flat[each, at]
-    rank = np.empty((nodes, b), np.int64)
-    np.put_along_axis(rank, order[each, j], np.broadcast_to(np.arange(b), (nodes, b)), axis=1)
-    return _Best(np.where(got > 1e-12, features[each, j], -1), cut, rank <= cut[:, None], got, parent / np.maximum(w, 1e-300),
-                 total, count[0] + count[1], count[2], left_rows[each, j, cut])
-
-
-def _descend(bins: np.ndarray, tree: int, top: Top) -> np.ndarray:
-    """The path of the node below all splits of ``top`` that each row ends in."""
-    path, live = np.ones(len(bins), np.int64), np.arange(len(bins) if len(top.keys) else 0)
+    left = np.arange(b) <= cut[:, None]
+    named = by_rate[each, j]
+    if named.any():
+        rank = np.empty((int(named.sum()), b), np.int64)
+        which = (np.cumsum(by_rate) - 1).reshape(nodes, m)[each, j][named]
+        np.put_along_axis(rank, order[which], np.broadcast_to(np.arange(b), rank.shape), axis=1)
+        left[named] = rank <= cut[named, None]
+    return _Best(np.where(flat[each, at] > 1e-12, features[each, j], -1), cut, left, count[0], count[1], count[2], left_rows[each, j, cut])
+
+
+def _descend(bins: np.ndarray, tree: int, splits: Top) -> np.ndarray:
+    """The path of the node below all ``splits`` that each row ends in."""
+    path, live = np.ones(len(bins), np.int64), np.arange(len(bins) if len(splits.keys) else 0)
     while len(live):
         key = path[live] | tree << 32
-        at = np.minimum(np.searchsorted(top.keys, key), len(top.keys) - 1)
-        hit = top.keys[at] == key
+        at = np.minimum(np.searchsorted(splits.keys, key), len(splits.keys) - 1)
+        hit = splits.keys[at] == key
         live, at = live[hit], at[hit]
-        path[live] = 2 * path[live] + ~top.left[at, bins[live, top.feature[at]]]
+        path[live] = 2 * path[live] + ~splits.left[at, bins[live, splits.feature[at]]]
     return path
 
 
-def _parts(batches: Iterator[pa.RecordBatch], width: int, kind: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _matrix(column: pa.Array, kind: str) -> np.ndarray:
+    """One row for each of the column's byte strings of one length."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
+
+
+def _parts(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """All rows, up to ``BATCH_ROWS`` at a time: hashes, labels and bins."""
+    held, rows = [], 0
     for batch in batches:
         for start in range(0, batch.num_rows, BATCH_ROWS):
             part = batch.slice(start, BATCH_ROWS)
-            bins = np.frombuffer(b"".join(part.column("bins").to_pylist()), kind).reshape(-1, width)
-            yield part.column("hash").to_numpy(), part.column("label").to_numpy(), bins.astype(np.int64)
-
-
-def _split_values(feature: int, cut: int, left: np.ndarray, shape: Shape) -> tuple[list[float], int]:
-    if shape.arity[feature]:
-        return np.flatnonzero(left[:shape.arity[feature]]).astype(float).tolist(), int(shape.arity[feature])
-    return [float(shape.cuts[feature][cut])], -1
-
-
-_NODE = ("tree int, path long, id int, prediction double, impurity double, stats array<double>, raw long, gain double, "
-         "left int, right int, feature int, split array<double>, categories int")
-_NODE_ARROW = pa.schema([
-    ("tree", pa.int32()), ("path", pa.int64()), ("id", pa.int32()), ("prediction", pa.float64()), ("impurity", pa.float64()),
-    ("stats", pa.list_(pa.float64())), ("raw", pa.int64()), ("gain", pa.float64()), ("left", pa.int32()), ("right", pa.int32()),
-    ("feature", pa.int32()), ("split", pa.list_(pa.float64())), ("categories", pa.int32())])
+            if rows + part.num_rows > BATCH_ROWS:
+                yield tuple(map(np.concatenate, zip(*held)))
+                held, rows = [], 0
+            held.append((part.column("hash").to_numpy(), part.column("label").to_numpy(), _matrix(part.column("bins"), kind)))
+            rows += part.num_rows
+    if held:
+        yield tuple(map(np.concatenate, zip(*held)))
 
 
 def grow_subtree(tree: int, root: int, bins: np.ndarray, label: np.ndarray, drawn: np.ndarray, depth: int,
-                 class_weights: np.ndarray, shape: Shape) -> pa.Table:
-    """All nodes below ``root`` (a path), itself included, level by level; children come after their parents."""
+                 class_weights: np.ndarray, shape: Shape) -> Tree:
+    """All nodes below ``root`` (a path), itself included, level by level."""
     rows, node = np.arange(len(label)), np.zeros(len(label), np.int64)
     paths, found, starts = np.array([root], np.int64), [], [0]
     while len(paths):
-        features = _features_of(paths | tree << 32, shape)
-        best = _best(_cells(node, len(paths), bins[rows], features, label[rows], drawn[rows], shape), features,
-                     np.broadcast_to(class_weights, (len(paths), 2)), shape)
-        splits = (best.feature >= 0) & (len(found) < depth)
-        found.append((best, splits))
+        n1, n, raw = (np.bincount(node, w, len(paths)) for w in (drawn[rows] * label[rows], drawn[rows], None))
+        n0, counted = n - n1, n if shape.count_draws else raw
+        may = np.flatnonzero((counted >= 2 * shape.min_rows) & (n0 > 0) & (n1 > 0) & (len(found) < depth))
+        feature, cut, lefts = np.full(len(paths), -1), np.zeros(len(paths), np.int64), np.zeros((len(paths), shape.bins), bool)
+        if len(may):
+            place = np.full(len(paths), -1)
+            place[may] = np.arange(len(may))
+            mine = np.flatnonzero(place[node] >= 0)
+            rows, node = rows[mine], node[mine]
+            features = _features_of(paths[may] | tree << 32, shape)
+            best = _best(_cells(place[node], len(may), bins[rows], features, label[rows], drawn[rows], shape), features,
+                         np.broadcast_to(class_weights, (len(may), 2)), shape)
+            feature[may], cut[may], lefts[may] = best.feature, best.cut, best.left
+        splits = feature >= 0
+        found.append((feature, cut, lefts, n0, n1))
         starts.append(starts[-1] + len(paths))
         goes = splits[node]
         rows, node = rows[goes], node[goes]
-        left = best.left[node, bins[rows, best.feature[node]]]
+        left = lefts[node, bins[rows, feature[node]]]
         node = 2 * (np.cumsum(splits) - 1)[node] + ~left
         paths = np.stack([2 * paths[splits], 2 * paths[splits] + 1], axis=1).ravel()
-    size = starts[-1]
-    first = np.full(size, -1)  # the left child; the right one is next to it
-    for level, (_, splits) in enumerate(found):
-        first[starts[level] + np.flatnonzero(splits)] = starts[level + 1] + 2 * np.arange(splits.sum())
-    weights = np.concatenate([best.weights for best, _ in found], axis=1)
-    prediction = (weights[1] > weights[0]).astype(float)
-    for level in reversed(range(len(found))):  # two leaves of one prediction are one
-        at = starts[level] + np.flatnonzero(found[level][1])
-        one = (first[first[at]] < 0) & (first[first[at] + 1] < 0) & (prediction[first[at]] == prediction[first[at] + 1])
-        first[at[one]] = -1
-    alive = np.zeros(size, bool)
-    alive[0] = True
+        if not splits.any():
+            break
+    feature, cut, lefts, n0, n1 = (np.concatenate(c) for c in zip(*found))
+    left = np.full(len(feature), -1)  # the right child is next to it
     for level in range(len(found) - 1):
-        at = np.arange(starts[level], starts[level + 1])
-        at = at[alive[at] & (first[at] >= 0)]
-        alive[first[at]] = alive[first[at] + 1] = True
+        at = starts[level] + np.flatnonzero(found[level][0] >= 0)
+        left[at] = starts[level + 1] + 2 * np.arange(len(at))
+    return merged(feature, cut, lefts, left, n0, n1, class_weights, shape, np.flatnonzero(feature >= 0))
+
+
+def merged(feature: np.ndarray, cut: np.ndarray, lefts: np.ndarray, left: np.ndarray, n0: np.ndarray, n1: np.ndarray,
+           class_weights: np.ndarray, shape: Shape, inner: np.ndarray) -> Tree:
+    """A tree of these nodes, children after their parents; two leaves of one prediction below a node of ``inner`` are one."""
+    prediction = (n1 * class_weights[1] > n0 * class_weights[0]).tolist()
+    children = left.tolist()
+    for i in inner[::-1].tolist():
+        a = children[i]
+        if children[a] < 0 and children[a + 1] < 0 and prediction[a] == prediction[a + 1]:
+            children[i] = -1
+    left = np.array(children)
+    alive = np.zeros(len(left), bool)
+    alive[0] = True
+    level = np.zeros(1, np.int64)
+    while len(level):
+        level = left[level[left[level] >= 0]]
+        level = np.concatenate([level, level + 1])
+        alive[level] = True
     number = np.cumsum(alive) - 1
-    inner = first >= 0
-
-    def every(name: str) -> np.ndarray:
-        return np.concatenate([getattr(best, name) for best, _ in found])
-
-    feature, cut, lefts = every("feature"), every("cut"), every("left")
     kept = np.flatnonzero(alive)
-    splits = [_split_values(feature[i], cut[i], lefts[i], shape) if inner[i] else ([], -1) for i in kept.tolist()]
-    keep = inner[kept]
-    n = len(kept)
-    return pa.table([
-        np.full(n, tree, np.int32), np.full(n, root, np.int64), np.arange(n, dtype=np.int32), prediction[kept], every("impurity")[kept],
-        pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * n + 1, 2), pa.int32()), pa.array(weights[:, kept].T.ravel())),
-        every("raw")[kept].astype(np.int64), np.where(keep, every("gain")[kept], -1.0),
-        np.where(keep, number[first[kept]], -1).astype(np.int32), np.where(keep, number[first[kept]] + 1, -1).astype(np.int32),
-        np.where(keep, feature[kept], -1).astype(np.int32), pa.array([s[0] for s in splits], pa.list_(pa.float64())),
-        np.array([s[1] for s in splits], np.int32)], schema=_NODE_ARROW)
+    splits = left[kept] >= 0
+    feature = np.where(splits, feature[kept], -1)
+    named = splits & (shape.arity[feature] > 0)
+    return Tree(feature.astype(np.int32), np.where(splits, cut[kept], -1).astype(np.int32),
+                np.where(splits, number[left[kept]], -1).astype(np.int32), n0[kept].astype(np.int32), n1[kept].astype(np.int32),
+                np.where(named, np.cumsum(named) - 1, -1), lefts[kept[named]])
 
 
 def categories_by_feature(rows: DataFrame, features: int) -> np.ndarray:
@@ -252,7 +286,7 @@ def _cuts(rows: DataFrame, arity: np.ndarray, bins: int) -> list[np.ndarray]:
 
 
 def grow_forest(rows: DataFrame, trees: int, depth: int, min_rows: int, bins: int = 32, by_tree: bool = False,
-                key: str = ID, seed: int = SEED) -> RandomForestClassificationModel:
+                key: str = ID, seed: int = SEED) -> ForestModel:
     """A forest of ``trees`` trees on ``rows`` (``key``, ``features``, ``_label`` 0 or 1) with balanced classes.
 
     The classes weigh the same over all rows; with ``by_tree`` they do in the draws of each tree, and ``min_rows``
@@ -264,24 +298,22 @@ def grow_forest(rows: DataFrame, trees: int, depth: int, min_rows: int, bins: in
         raise ValueError("A forest needs rows to fit on.")
     arity = categories_by_feature(rows, first["n"])
     bins = max(bins, int(arity.max(initial=0)))
-    shape = Shape(_cuts(rows, arity, bins), arity, bins, min_rows, not by_tree, seed)
-    width, kind = len(arity), "<u1" if bins <= 256 else "<u2"
+    shape = Shape(Bins(_cuts(rows, arity, bins), arity, bins), min_rows, not by_tree, seed)
+    width, kind = len(arity), shape.of.kind
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = batch.column("x").flatten().to_numpy().reshape(-1, width)
-            of = np.stack([x[:, i] if shape.arity[i] else np.searchsorted(shape.cuts[i], x[:, i], "left") for i in range(width)], axis=1)
-            binned = [r.tobytes() for r in of.astype(kind)]
-            yield pa.RecordBatch.from_arrays([batch.column("hash"), batch.column("label"), pa.array(binned, pa.binary())], ["hash", "label", "bins"])
+            of = shape.of.of(batch.column("x").flatten().to_numpy().reshape(-1, width))
+            yield pa.RecordBatch.from_arrays([batch.column("hash"), batch.column("label"), _strings(of, np.arange(len(of) + 1))], ["hash", "label", "bins"])
 
     table = durable(rows.select(F.xxhash64(F.col(key), F.lit(seed)).alias("hash"), F.col("_label").cast("int").alias("label"),
                                 vector_to_array("features").alias("x")).mapInArrow(cut_up, "hash long, label int, bins binary"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((trees, 4), np.int64)
-        for hashes, label, _ in _parts(batches, width, kind):
+        for hashes, label, _ in _parts(batches, kind):
             for t in range(trees):
                 drawn = draws(hashes, t)
                 sums[t] += [drawn[label == 0].sum(), drawn[label == 1].sum(), (drawn > 0).sum(), (label == 1).sum()]
@@ -295,73 +327,105 @@ def grow_forest(rows: DataFrame, trees: int, depth: int, min_rows: int, bins: in
     classes = (of_class > 0).sum(axis=1, keepdims=True)
     class_weights = of_class.sum(axis=1, keepdims=True) / (np.maximum(classes, 1) * np.maximum(of_class, 1))
 
-    top = Top(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, bins), bool))
-    nodes: dict[tuple[int, int], dict] = {}
-    waiting = [(t, 1) for t in range(trees) if totals[t]["rows"] > NODE_ROWS]
+    none = np.zeros(0, np.int64)
+    top = Top(none, none, none, np.zeros((0, bins), bool), none, none)
+    waiting = np.array([t << 32 | 1 for t in range(trees) if totals[t]["rows"] > NODE_ROWS], np.int64)
     level = 0
-    while waiting:
-        found = []
+    while len(waiting):
+        splits, after = top.where(top.feature >= 0), []
         for start in range(0, len(waiting), NODES_AT_ONCE):
-            found += _split_large(table, waiting[start:start + NODES_AT_ONCE], top, class_weights, shape, kind)
-        if level == depth:
-            found = [(k, s | {"feature": -1}) for k, s in found]
-        nodes |= dict(found)
-        level += 1
-        waiting = sorted((t, 2 * p + side) for (t, p), s in found if s["feature"] >= 0
-                         for side, n in enumerate((s["left_rows"], s["rows"] - s["left_rows"])) if n > NODE_ROWS)
-        ordered = sorted(k for k, s in nodes.items() if s["feature"] >= 0)
-        if not ordered:
-            break
-        top = Top(np.array([t << 32 | p for t, p in ordered], np.int64), np.array([nodes[k]["feature"] for k in ordered], np.int64),
-                  np.stack([np.frombuffer(nodes[k]["lefts"], bool) for k in ordered]))
-
-    # Large nodes without a split are leaves already; their rows are not moved.
-    ends = np.array(sorted(t << 32 | p for (t, p), s in nodes.items() if s["feature"] < 0), np.int64)
-    shared = spark.sparkContext.broadcast((top, shape, class_weights, ends))
+            found, rows_of, left_rows = _split_large(table, waiting[start:start + NODES_AT_ONCE], splits, class_weights, shape, kind)
+            if level == depth:
+                found = found._replace(feature=np.full(len(found.keys), -1))
+            top = top.added(found)
+            for side, n in enumerate((left_rows, rows_of - left_rows)):
+                more = (found.feature >= 0) & (n > NODE_ROWS)
+                after.append((found.keys[more] >> 32 << 32) | (2 * (found.keys[more] & 0xFFFFFFFF) + side))
+        waiting, level = np.sort(np.concatenate(after)), level + 1
+
+    folder = full_path(spark, new_model_path(spark))
+    store, path = store_of(folder)
+    store.create_dir(path, recursive=True)
+    shared = spark.sparkContext.broadcast((top, shape, class_weights))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top, _, _, ends = shared.value
-        for hashes, label, binned in _parts(batches, width, kind):
-            packed = np.array([r.tobytes() for r in binned.astype(kind)] or [b""], object)
+        top, _, _ = shared.value
+        # Large nodes without a split are leaves already; their rows are not moved.
+        splits, ends = top.where(top.feature >= 0), top.keys[top.feature < 0]
+        for hashes, label, binned in _parts(batches, kind):
+            cells = binned.view("u1").reshape(len(binned), -1)
             for t in range(trees):
                 drawn = draws(hashes, t)
                 at = np.flatnonzero(drawn)
-                path = _descend(binned[at], t, top)
+                path = _descend(binned[at], t, splits.of_tree(t))
                 if len(ends):
                     goes = ~np.isin(path | t << 32, ends)
                     at, path = at[goes], path[goes]
+                order = np.argsort(path, kind="stable")
+                at, path = at[order], path[order]
+                begins = np.flatnonzero(np.diff(path, prepend=-1))
+                packed = np.concatenate([label[at, None].astype("u1"), drawn[at, None].astype("u1"), cells[at]], axis=1)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(at), t), pa.int32()), pa.array(path), pa.array(label[at], pa.int32()),
-                     pa.array(drawn[at], pa.int32()), pa.array(packed[at], pa.binary())], ["tree", "path", "label", "drawn", "bins"])
+                    [pa.array(np.full(len(begins), t), pa.int32()), pa.array(path[begins]), _strings(packed, np.append(begins, len(at)))],
+                    ["tree", "path", "rows"])
 
     def subtree(group: pa.Table) -> pa.Table:
-        _, shape, class_weights, _ = shared.value
+        _, shape, class_weights = shared.value
         tree, path = group.column("tree")[0].as_py(), group.column("path")[0].as_py()
-        binned = np.frombuffer(b"".join(group.column("bins").to_pylist()), kind).reshape(-1, width).astype(np.int64)
-        return grow_subtree(tree, path, binned, group.column("label").to_numpy(), group.column("drawn").to_numpy(),
-                            depth - path.bit_length() + 1, class_weights[tree], shape)
-
-    placed = table.mapInArrow(place, "tree int, path long, label int, drawn int, bins binary")
-    grown = durable(placed.groupBy("tree", "path").applyInArrow(subtree, _NODE))
-    return _assemble(spark, grown, nodes, trees, shape)
-
-
-def _split_large(table: DataFrame, waiting: list[tuple[int, int]], top: Top, class_weights: np.ndarray, shape: Shape,
-                 kind: str) -> list[tuple[tuple[int, int], dict]]:
-    """The best split of every waiting node (``feature`` is -1 if it has none): bins counted by tasks, added up and searched by node."""
-    keys = np.array([t << 32 | p for t, p in waiting], np.int64)
-    of_tree = {t: np.flatnonzero(keys >> 32 == t) for t in sorted({t for t, _ in waiting})}
-    shared = table.sparkSession.sparkContext.broadcast((keys, top, class_weights, shape))
-    features, width = _features_of(keys, shape), len(shape.arity)
+        packed = np.frombuffer(b"".join(group.column("rows").to_pylist()), "u1").reshape(-1, 2 + width * np.dtype(kind).itemsize)
+        binned = np.ascontiguousarray(packed[:, 2:]).view(kind)
+        grown = grow_subtree(tree, path, binned, packed[:, 0].astype(np.int64), packed[:, 1].astype(np.int64),
+                             depth - path.bit_length() + 1, class_weights[tree], shape).table()
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, grown.schema) as out:
+            out.write_table(grown)
+        return pa.table({"tree": pa.array([tree], pa.int32()), "path": pa.array([path], pa.int64()), "nodes": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+    def written(group: pa.Table) -> pa.Table:
+        top, shape, class_weights = shared.value
+        number = group.column("tree")[0].as_py()
+        subtrees = {r["path"]: Tree.of(pa.ipc.open_stream(r["nodes"]).read_all(), shape.bins) for r in group.to_pylist() if r["path"]}
+        tree = joined(number, top.of_tree(number), subtrees, class_weights[number], shape)
+        write_tree(folder, number, tree)
+        return pa.table({"tree": pa.array([number], pa.int32()), "size": pa.array([len(tree.left)], pa.int32()),
+                         "gains": [tree.gains(class_weights[number], len(shape.arity)).tolist()]})
+
+    subtrees = table.mapInArrow(place, "tree int, path long, rows binary").groupBy("tree", "path").applyInArrow(
+        subtree, "tree int, path long, nodes binary")
+    tops = spark.createDataFrame([(t, 0, b"") for t in range(trees) if totals[t]["rows"] > NODE_ROWS], "tree int, path long, nodes binary")
+    done = subtrees.unionByName(tops).groupBy("tree").applyInArrow(written, "tree int, size int, gains array<double>").collect()  # one row a tree
+    sizes, gains = [0] * trees, np.zeros((trees, width))
+    for r in done:
+        sizes[r["tree"]], gains[r["tree"]] = r["size"], r["gains"]
+    whole_gain = gains.sum(axis=0)
+    return ForestModel(folder, shape.of, class_weights, sizes, whole_gain / whole_gain.sum() if whole_gain.sum() else whole_gain)
+
+
+def _strings(rows: np.ndarray, begins: np.ndarray) -> pa.Array:
+    """Byte strings, each of the rows from one of ``begins`` to the next."""
+    data = np.ascontiguousarray(rows)
+    offsets = (begins * data.shape[1] * data.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(begins) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def _split_large(table: DataFrame, keys: np.ndarray, splits: Top, class_weights: np.ndarray, shape: Shape,
+                 kind: str) -> tuple[Top, np.ndarray, np.ndarray]:
+    """The best split of every node of ``keys`` (``feature`` is -1 if it has none), their rows and those that go left.
+
+    Bins are counted by tasks, added up and searched by node.
+    """
+    of_tree = {t: np.flatnonzero(keys >> 32 == t) for t in np.unique(keys >> 32).tolist()}
+    shared = table.sparkSession.sparkContext.broadcast((keys, splits, class_weights, shape))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, top, _, shape = shared.value
+        keys, splits, _, shape = shared.value
+        features = _features_of(keys, shape)
         cells = np.zeros((3, len(keys), shape.chosen, shape.bins), np.int64)
-        for hashes, label, binned in _parts(batches, width, kind):
+        for hashes, label, binned in _parts(batches, kind):
             for t, own in of_tree.items():
                 drawn = draws(hashes, t)
                 rows = np.flatnonzero(drawn)
-                key = _descend(binned[rows], t, top) | t << 32
+                key = _descend(binned[rows], t, splits.of_tree(t)) | t << 32
                 at = np.minimum(np.searchsorted(keys[own], key), len(own) - 1)
                 hit = keys[own][at] == key
                 rows = rows[hit]
@@ -374,68 +438,40 @@ def _split_large(table: DataFrame, waiting: list[tuple[int, int]], top: Top, cla
         key = np.array([group.column("key")[0].as_py()], np.int64)
         cells = sum(np.frombuffer(c, np.int64) for c in group.column("cells").to_pylist()).reshape(3, 1, shape.chosen, shape.bins)
         best = _best(cells.astype(float), _features_of(key, shape), class_weights[key >> 32], shape)
-        return pa.table({
-            "key": key, "feature": best.feature.astype(np.int32), "cut": best.cut.astype(np.int32), "lefts": pa.array([best.left[0].tobytes()], pa.binary()),
-            "gain": best.gain, "impurity": best.impurity, "w0": best.weights[0], "w1": best.weights[1], "raw": best.raw.astype(np.int64),
-            "rows": best.rows.astype(np.int64), "left_rows": best.left_rows.astype(np.int64)})
+        numbers = {c: getattr(best, c).astype(np.int64) for c in ("feature", "cut", "n0", "n1", "rows", "left_rows")}
+        return pa.table({"key": key, **numbers, "lefts": pa.array([best.left[0].tobytes()], pa.binary())})
 
     got = table.mapInArrow(count, "key long, cells binary").groupBy("key").applyInArrow(
-        search, "key long, feature int, cut int, lefts binary, gain double, impurity double, w0 double, w1 double, raw long, rows long, left_rows long")
+        search, "key long, feature long, cut long, n0 long, n1 long, rows long, left_rows long, lefts binary").toArrow()
     # One row for more than NODE_ROWS rows.
-    return [((r["key"] >> 32, r["key"] & 0xFFFFFFFF), r.asDict() | {"lefts": bytes(r["lefts"])}) for r in got.collect()]
-
-
-def _assemble(spark: SparkSession, grown: DataFrame, nodes: dict[tuple[int, int], dict], trees: int, shape: Shape,
-              ) -> RandomForestClassificationModel:
-    """The classifier of the large nodes and the subtrees, through the table of nodes that MLlib saves models as.
-
-    A tree's large nodes come first, by path, then its subtrees, by path; MLlib wants ids without gaps.
-    """
-    if nodes:
-        leaves = {(r["tree"], r["path"]): r["prediction"] for r in grown.where("id = 0 and left < 0").select("tree", "path", "prediction").collect()}
-        leaves |= {k: float(s["w1"] > s["w0"]) for k, s in nodes.items() if s["feature"] < 0}
-        gone = []
-        for t, p in sorted(nodes, reverse=True):  # children before parents
-            below = [(t, 2 * p), (t, 2 * p + 1)]
-            if nodes[t, p]["feature"] >= 0 and all(c in leaves for c in below) and leaves[below[0]] == leaves[below[1]]:
-                leaves[t, p] = leaves[below[0]]
-                nodes = {k: s for k, s in nodes.items() if k not in below} | {(t, p): nodes[t, p] | {"feature": -1}}
-                gone += below
-        if gone:
-            grown = grown.join(spark.createDataFrame(gone, "tree int, path long"), ["tree", "path"], "left_anti")
-    place: dict[int, dict[int, int]] = {}
-    for t, p in sorted(nodes):
-        place.setdefault(t, {})[p] = len(place.get(t, {}))
-    large = spark.createDataFrame([(t, len(of)) for t, of in place.items()], "tree int, large int")
-    sizes = grown.groupBy("tree", "path").agg(F.count(F.lit(1)).alias("size"))
-    before = F.sum("size").over(Window.partitionBy("tree").orderBy("path").rowsBetween(Window.unboundedPreceding, -1))
-    starts = durable(sizes.join(large, "tree", "left").select(
-        "tree", "path", (F.coalesce("large", F.lit(0)) + F.coalesce(before, F.lit(0))).cast("int").alias("start")))
-    node = F.struct(
-        (F.col("id") + F.col("start")).alias("id"), "prediction", "impurity", F.col("stats").alias("impurityStats"), F.col("raw").alias("rawCount"), "gain",
-        F.when(F.col("left") < 0, -1).otherwise(F.col("left") + F.col("start")).alias("leftChild"),
-        F.when(F.col("right") < 0, -1).otherwise(F.col("right") + F.col("start")).alias("rightChild"),
-        F.struct(F.col("feature").alias("featureIndex"), F.col("split").alias("leftCategoriesOrThreshold"), F.col("categories").alias("numCategories")).alias("split"))
-    table = grown.join(starts, ["tree", "path"]).select(F.col("tree").alias("treeID"), node.alias("nodeData"))
-    if nodes:
-        begins = {(r["tree"], r["path"]): r["start"] for r in starts.collect()}  # one row a subtree
-        listed = []
-        for (t, p), s in sorted(nodes.items()):
-            values, categories, children, gain = [], -1, [-1, -1], -1.0
-            if s["feature"] >= 0:
-                children = [place[t][c] if c in place[t] else begins[t, c] for c in (2 * p, 2 * p + 1)]
-                values, categories = _split_values(s["feature"], s["cut"], np.frombuffer(s["lefts"], bool), shape)
-                gain = s["gain"]
-            listed.append((t, (place[t][p], float(s["w1"] > s["w0"]), s["impurity"], [s["w0"], s["w1"]], s["raw"], gain,
-                               *children, (s["feature"], values, categories))))
-        table = spark.createDataFrame(listed, table.schema).unionByName(table)
-    zeros = Vectors.sparse(len(shape.arity), [])
-    stub = RandomForestClassifier(labelCol="_label", numTrees=trees, maxDepth=0, seed=shape.seed).fit(
-        spark.createDataFrame([(zeros, 0.0), (zeros, 1.0)], ["features", "_label"]))
-    with scratch_folder(spark) as folder:
-        stub.write().save(f"{folder}/stub")
-        spark.read.text(f"{folder}/stub/metadata").coalesce(1).write.text(f"{folder}/forest/metadata")
-        spark.read.parquet(f"{folder}/stub/treesMetadata").write.parquet(f"{folder}/forest/treesMetadata")
-        wanted = spark.read.parquet(f"{folder}/stub/data").schema
-        table.select(*[F.col(f.name).cast(f.dataType) for f in wanted]).write.parquet(f"{folder}/forest/data")
-        return RandomForestClassificationModel.load(f"{folder}/forest")
+    columns = {c: got.column(c).to_numpy() for c in got.column_names if c != "lefts"}
+    lefts = np.frombuffer(b"".join(got.column("lefts").to_pylist()), bool).reshape(-1, shape.bins)
+    return (Top(columns["key"], columns["feature"], columns["cut"], lefts, columns["n0"], columns["n1"]),
+            columns["rows"], columns["left_rows"])
+
+
+def joined(number: int, top: Top, subtrees: dict[int, Tree], class_weights: np.ndarray, shape: Shape) -> Tree:
+    """The tree of its large nodes and of the subtrees below them, by path."""
+    if not len(top.keys):
+        return subtrees[1]
+    paths = (top.keys & 0xFFFFFFFF).tolist()
+    splits = np.flatnonzero(top.feature >= 0)
+    slot = {1: 0}  # the large nodes and the roots of subtrees, a pair of children after the other
+    for i in splits.tolist():
+        slot[2 * paths[i]], slot[2 * paths[i] + 1] = len(slot), len(slot) + 1
+    size = len(slot) + sum(len(s.left) - 1 for s in subtrees.values())
+    feature, cut, left, n0, n1 = (np.full(size, -1, np.int64) for _ in range(5))
+    lefts = np.zeros((size, shape.bins), bool)
+    at = np.array([slot[p] for p in paths])
+    feature[at], cut[at], lefts[at], n0[at], n1[at] = top.feature, top.cut, top.left, top.n0, top.n1
+    left[at[splits]] = [slot[2 * paths[i]] for i in splits]
+    end = len(slot)
+    for path in sorted(subtrees):
+        s = subtrees[path]
+        to = np.append(slot[path], end + np.arange(len(s.left) - 1))
+        feature[to], cut[to], n0[to], n1[to] = s.feature, s.cut, s.n0, s.n1
+        left[to] = np.where(s.left >= 0, s.left + (end - 1), -1)
+        named = s.named >= 0
+        lefts[to[named]] = s.lefts[s.named[named]]
+        end += len(s.left) - 1
+    return merged(feature, cut, lefts, left, n0, n1, class_weights, shape, np.sort(at[splits]))

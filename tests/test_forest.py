@@ -1,16 +1,18 @@
 """Forests grown by histograms and subtrees: the same trees however large nodes are split, with the stated draws."""
 
+import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from holdfast.operators import forest, models
+from holdfast.operators import forest, forest_model, models
 from holdfast.schema import ID
-from holdfast.session import durable
+from holdfast.session import durable, new_scratch_path
 
 
 @pytest.fixture(scope="module")
@@ -76,3 +78,26 @@ def test_leaves_hold_their_rows(rows):
     for got in by_leaf.values():
         share = sum(w for y, w, _, _ in got if y) / sum(w for _, w, _, _ in got)
         assert sum(n for _, _, n, _ in got) >= 5 and model.predictProbability(got[0][3])[1] == pytest.approx(share)
+
+
+def test_trees_are_files_and_nothing_of_them_is_on_the_driver(spark, rows):
+    model = forest.grow_forest(rows, 3, 30, 5)
+    assert not hasattr(model, "_java_obj") and sorted(os.listdir(model.folder)) == ["0.arrow", "1.arrow", "2.arrow"]
+    path = new_scratch_path(spark)
+    model.write().save(path)
+    again = forest_model.ForestModel.load(path)
+    assert again.folder != model.folder and sorted(os.listdir(again.folder)) == sorted(os.listdir(model.folder))
+    assert scored(again, rows) == scored(model, rows) and again.toDebugString.splitlines()[1:] == model.toDebugString.splitlines()[1:]
+    assert again.featureImportances == model.featureImportances and sum(model.featureImportances) == pytest.approx(1)
+    one = rows.first()
+    got = model.transform(rows.limit(1)).first()
+    assert model.predictProbability(one.features) == got.probability and model.predict(one.features) == got.prediction
+
+
+def test_rows_are_scored_in_bounded_chunks(monkeypatch):
+    monkeypatch.setattr(forest_model, "SCORE_ROWS", 10)
+    shape = forest_model.Bins([np.array([0.5]), np.zeros(0)], np.array([0, 3]), 32)
+    x = [[i % 2, i % 3] for i in range(47)]
+    batches = [pa.array([list(map(float, r)) for r in x[a:b]], pa.list_(pa.float64())) for a, b in ((0, 3), (3, 30), (30, 30), (30, 47))]
+    chunks = list(forest_model._chunks(iter(batches), shape))
+    assert max(map(len, chunks)) <= 10 and np.concatenate(chunks).tolist() == x
